@@ -36,7 +36,8 @@ def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxha
         recipes = cut(recipes)
     else:
         recipes = cut(_told_apart(text, chunks, pairs, shared, chunk_hash))
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(groups.filter("group_size > 1"))  # cut, so that the join has its own exchange and a large group can be split
     return recipes.join(groups, "recipe", "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"), "text_sha256",
