@@ -337,5 +337,16 @@ _BODIES["hist_quantile"] = (
     + "0.0, " + ", ".join(map(str, _BOUNDS)) + "][k + 1] AS lo, [0.0, " + ", ".join(map(str, _BOUNDS)) + "][k + 2] AS hi, CASE WHEN k > 0 THEN cum[k] ELSE 0 END AS below, cum[k + 1] AS upto FROM (SELECT *, len(list_filter(cum, lambda c: c < 0.95 * n)) AS k FROM (SELECT event_type, count(*) AS n, ["
     + ", ".join(f"count(*) FILTER (value <= {b})" for b in _BOUNDS) + "] AS cum FROM events GROUP BY 1)))"
 )
+_MEASURES = {
+    "promo_wmape": ("acc_by_promo", "wmape", "promo"), "wmape": ("accuracy_vs_actual", "wmape", "true"), "bias": ("accuracy_vs_actual", "bias", "true"),
+    "coverage": ("accuracy_vs_actual", "coverage", "true"), "planning_bias": ("planning_bias", "planning_bias", "true"), "completeness": ("data_freshness", "completeness", "true"),
+    "revision": ("revision_volatility", "volatility", "true"), "run_coverage": ("run_coverage", "min(coverage)", "true"), "psi": ("drift_psi", "psi", "feature = 'sell_price'"), "ks": ("drift_ks", "ks", "feature = 'sell_price'"),
+}
+_BODIES["gauges"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {v} AS value FROM ({_BODIES[b]}) WHERE {c}" for n, (b, v, c) in _MEASURES.items()) + ") WHERE value IS NOT NULL"
+_FIRES = """CASE name WHEN 'wmape' THEN value > 0.5 WHEN 'bias' THEN abs(value) > 0.2 WHEN 'coverage' THEN value < 0.6 WHEN 'psi' THEN value > 0.25 WHEN 'ks' THEN value > 0.2 WHEN 'planning_bias' THEN value > 0.15
+    WHEN 'promo_wmape' THEN value > 0.5 WHEN 'completeness' THEN value < 0.9 WHEN 'revision' THEN value > 0.3 WHEN 'run_coverage' THEN value < 0.99 END"""
+_BODIES["alerts"] = f"SELECT name, {_FIRES} AS firing FROM ({_BODIES['gauges']})"
+_BODIES["gate"] = f"""SELECT coalesce(string_agg(w, ',' ORDER BY k), '') AS warnings, count(*) > 0 AS degraded FROM (SELECT DISTINCT CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END AS w,
+    list_position(['wmape', 'bias', 'coverage', 'drift', 'planning_bias', 'promo_wmape', 'completeness', 'revision', 'run_coverage'], CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END) AS k FROM ({_BODIES['alerts']}) WHERE firing)"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}
