@@ -13,14 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import json_literal
+from .common import cut, json_literal
 
 #: White space as Unicode defines it; Java's class is another.
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Words of the literal table of encoded words, the most frequent of a sample. It saves time only: other words are folded in place.
-TABLE_WORDS = 98304
-TABLE_SAMPLE = 4000
+#: Words of the table of encoded words, the most frequent of a sample. It saves time only: other words are folded in place.
+TABLE_WORDS = 262144
+TABLE_SAMPLE = 12000
 LONGEST_TABLE_WORD = 64
+TABLE = "__words_table"
 
 
 def java_pattern(pattern: str) -> str:
@@ -84,6 +85,10 @@ class Vocabulary:
 BUCKETS, SPREAD, PAIR = 32768, 40503, 1 << 20
 #: Words of more bytes are merged at all places of a pair at once.
 SHORT = 64
+PLACE_BITS = 8
+PLACES = 1 << PLACE_BITS
+#: Ends a word in which nothing merges any more, so that the steps that are left do nothing.
+DONE = -1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,58 +101,56 @@ def rank_map(merges: dict[tuple[int, int], int]) -> Column:
     for (a, b), to in merges.items():
         k = (a * SPREAD + b) % BUCKETS
         buckets[k] = (buckets[k] or {}) | {a * PAIR + b: to}
-    return json_literal(buckets, "array<map<string,int>>").cast("array<map<bigint,int>>")
+    return json_literal(buckets, "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def _merge_of(ranks: Column, a: Column, b: Column) -> Column:
-    a, b = a.cast("long"), b.cast("long")
+    """What two ids merge to, null if they don't."""
     return F.try_element_at(F.get(ranks, F.pmod(a * SPREAD + b, F.lit(BUCKETS)).cast("int")), a * PAIR + b)
 
 
 def _merges_of(ranks: Column, ids: Column) -> Column:
-    """What each pair of neighbours merges to, null where they don't."""
-    later = F.slice(ids, 2, F.size(ids))
-    return F.slice(F.zip_with(ids, later, lambda a, b: F.when(b.isNotNull(), _merge_of(ranks, a, b))), 1, F.greatest(F.size(ids) - 1, F.lit(0)))
+    """What each id and the next merge to."""
+    return F.transform(ids, lambda a, i: _merge_of(ranks, a, F.get(ids, i + 1)))
 
 
 def _fold_short(ids: Column, ranks: Column) -> Column:
-    """Merge the leftmost pair of the lowest rank until no pair merges; only the pairs beside it are looked up again."""
+    """Merge the leftmost pair of the lowest rank until no pair merges.
 
-    def merged(s: Column, to: Column, at: Column) -> Column:
-        ids, n = s["ids"], F.size(s["ids"])
-        none = F.array().cast("array<int>")
-        before = F.when(at > 1, F.array(_merge_of(ranks, F.get(ids, at - 2), to))).otherwise(none)
-        after = F.when(at + 1 < n, F.array(_merge_of(ranks, to, F.get(ids, at + 1)))).otherwise(none)
-        return F.struct(  # flatten is much cheaper than concat here
-            F.flatten(F.array(F.slice(ids, 1, at - 1), F.array(to), F.slice(ids, at + 2, n))).alias("ids"),
-            F.flatten(F.array(F.slice(s["to"], 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(s["to"], at + 2, n))).alias("to"),
-        )
+    The state is the ids alone, and rank and place of the pair are one number: structs and concat cost more here than looking pairs up again.
+    """
+
+    def step(ids: Column, _: Column) -> Column:
+        first = F.array_min(F.transform(ids, lambda a, i: _merge_of(ranks, a, F.get(ids, i + 1)) * PLACES + i))
+        swapped = _let(first, lambda f: F.when(f.isNotNull(), _swap(ids, f)))
+        return F.when(F.get(ids, F.size(ids) - 1) == DONE, ids).otherwise(F.coalesce(swapped, F.array_append(ids, F.lit(DONE).cast("bigint"))))
 
-    def step(s: Column, _: Column) -> Column:
-        found = lambda to: F.when(to.isNull(), s).otherwise(_let(F.array_position(s["to"], to).cast("int"), lambda at: merged(s, to, at)))
-        return _let(F.array_min(s["to"]), found)
+    return F.aggregate(F.slice(ids, 2, F.size(ids)), ids, step, lambda ids: F.filter(ids, lambda a: a != DONE))
 
-    start = F.struct(ids.alias("ids"), _merges_of(ranks, ids).alias("to"))
-    return F.aggregate(F.slice(ids, 2, F.size(ids)), start, step, lambda s: s["ids"])
+
+def _swap(ids: Column, first: Column) -> Column:
+    """The ids with the pair at place first % PLACES merged to first / PLACES."""
+    at, to = F.pmod(first, F.lit(PLACES)), F.shiftright(first, PLACE_BITS)
+    return F.array_compact(F.transform(ids, lambda a, i: F.when(i == at, to).when(i != at + 1, a)))
 
 
 def _fold_long(ids: Column, ranks: Column) -> Column:
     """Merge all places of the pair of the lowest rank at once, from the left; ids are kept in a text such as <5><17>."""
 
     def step(text: Column, _: Column) -> Column:
-        now = F.transform(F.split(F.substring(text, F.lit(2), F.length(text) - 2), "><"), lambda x: x.cast("int"))
+        now = F.transform(F.split(F.substring(text, F.lit(2), F.length(text) - 2), "><"), lambda x: x.cast("bigint"))
         pair = lambda now, to, at: F.concat(F.lit("<"), F.get(now, at - 1), F.lit("><"), F.get(now, at), F.lit(">"))
         swap = lambda now, all_to, to: F.replace(text, pair(now, to, F.array_position(all_to, to).cast("int")), F.concat(F.lit("<"), to, F.lit(">")))
         done = lambda now, all_to: _let(F.array_min(all_to), lambda to: F.when(to.isNull(), F.concat(text, F.lit("!"))).otherwise(swap(now, all_to, to)))
         return F.when(text.endswith("!"), text).otherwise(_let(now, lambda now: _let(_merges_of(ranks, now), lambda all_to: done(now, all_to))))
 
     start = F.concat(F.lit("<"), F.array_join(ids.cast("array<string>"), "><"), F.lit(">"))
-    back = lambda text: F.transform(F.split(F.translate(text, "<!", ""), ">"), lambda x: x.try_cast("int"))
+    back = lambda text: F.transform(F.split(F.translate(text, "<!", ""), ">"), lambda x: x.try_cast("bigint"))
     return F.filter(F.aggregate(ids, start, step, back), lambda x: x.isNotNull())
 
 
 def fold_word(word: Column, byte_ids: Column, ranks: Column) -> Column:
-    """The ids of a word, an array of int."""
+    """The ids of a word, an array of bigint."""
     raw = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     ids = F.transform(raw, lambda c: F.get(byte_ids, F.ascii(c)))
     return _let(ids, lambda ids: F.when(F.size(ids) <= SHORT, _fold_short(ids, ranks)).otherwise(_fold_long(ids, ranks)))
@@ -170,31 +173,44 @@ class ByteBpe:
         self.pattern = java_pattern(pattern)
         self.ranks = rank_map(self.vocabulary.merges)
         pieces = self.vocabulary.pieces
-        self.byte_ids = json_literal([self.vocabulary.ranks[bytes([b])] for b in range(256)], "array<int>")
+        self.byte_ids = json_literal([self.vocabulary.ranks[bytes([b])] for b in range(256)], "array<bigint>")
         self.pieces = _strings(pieces)
         self.little_endian = _strings([i.to_bytes(4, "little") for i in range(len(pieces))])
-        self.table, self.table_size = json_literal([None], "array<map<string,array<int>>>"), 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.one_row, self.table, self.table_size = None, json_literal([None], "array<map<string,array<bigint>>>"), 1
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def prepared(self, docs: DataFrame, words: int = TABLE_WORDS, sample: int = TABLE_SAMPLE) -> ByteBpe:
-        """This encoder with a literal table of the most frequent words of a sample of docs; it changes the time only.
+        """This encoder with a table of the most frequent words of a sample of docs, as a scalar subquery; it changes the time only.
 
         The table is bounded by words of at most LONGEST_TABLE_WORD characters; any other word is folded where it stands.
         """
+        self._forget()
         n = docs.count()
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
         counts = picked.filter(F.length("word").between(2, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = counts.orderBy(F.desc("n"), "word").limit(words).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-        self.table_size = 1 << 15
-        rows = top.select("word", F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), self.encode_words(F.array("word"))[0].alias("ids")).collect()
-        buckets: list[dict[str, list[int]] | None] = [None] * self.table_size
-        for r in rows:
-            buckets[r["at"]] = (buckets[r["at"]] or {}) | {r["word"]: r["ids"]}
-        self.table = json_literal(buckets, "array<map<string,array<int>>>")
+        entry = F.struct("word", self.encode_words(F.array("word"))[0].alias("ids"))
+        self.table_size = 1 << 18  # one word a bucket: Spark looks through a map from its start
+        filled = top.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), entry.alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
+        buckets = docs.sparkSession.range(self.table_size).select(F.col("id").alias("at")).join(filled, "at", "left")
+        ordered = F.sort_array(F.collect_list(F.struct("at", "words")))
+        row = cut(buckets.agg(F.transform(ordered, lambda b: F.map_from_entries(b["words"])).alias("table")))
+        self.one_row = row  # bounded by words
+        self.table = F.col(TABLE)
         return self
 
+    def over(self, docs: DataFrame) -> DataFrame:
+        """docs with the table as a column, from which encode reads it.
+
+        It is a scalar subquery, which the optimizer puts in place of the column: it comes once to each task as one block of bytes.
+        """
+        return docs if self.one_row is None else docs.withColumn(TABLE, self.one_row.scalar())
+
     def encode_words(self, words: Column) -> Column:
         """The ids of each of an array of words."""
 
@@ -202,7 +218,8 @@ class ByteBpe:
             known = F.try_element_at(F.get(table, F.pmod(F.xxhash64(word), F.lit(self.table_size)).cast("int")), word)
             return F.coalesce(known, fold_word(word, byte_ids, ranks))
 
-        return _let(self.table, lambda t: _let(self.byte_ids, lambda b: _let(self.ranks, lambda r: F.transform(words, lambda w: one(w, t, b, r)))))
+        env = F.struct(self.table.alias("table"), self.byte_ids.alias("bytes"), self.ranks.alias("ranks"))
+        return _let(env, lambda e: F.transform(words, lambda w: one(w, e["table"], e["bytes"], e["ranks"])))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text, as the tiktoken library's encode_ordinary gives them; null and empty texts have none."""
@@ -218,8 +235,8 @@ class ByteBpe:
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe, text: str = "text") -> DataFrame:
-    """docs with a column ids; rows, columns and their order stay, a null text has no ids, and nothing is shuffled."""
-    return docs.withColumn("ids", bpe.encode(F.col(text)))
+    """docs with a column ids; rows and columns stay (a column ids is replaced), a null text has no ids, and nothing is shuffled."""
+    return bpe.over(docs).select(*(F.col(c) for c in docs.columns if c != "ids"), bpe.encode(F.col(text)).alias("ids"))
 
 
 def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
@@ -227,6 +244,6 @@ def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
 
     Null texts are empty; repeated rows are encoded alike; an empty table gives no rows; other columns aren't read.
     """
-    ids = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    ids = bpe.over(docs.select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
     row = _let(F.col("ids"), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(bpe.packed(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256")))
     return ids.select("doc_id", row.alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
