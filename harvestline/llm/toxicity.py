@@ -22,7 +22,7 @@ DIM = 8
 NGRAMS = (3, 4, 5, 6)
 LONGEST_WORD = 40
 #: Labelled rows that the model is fitted on: at most so many of each class, those with the smallest hashes.
-FIT_ROWS = 2500
+FIT_ROWS = 2000
 #: Share of labels taken to be wrong, so that a text whose label nothing explains doesn't teach its rare words.
 NOISE = 0.02
 #: A bucket that fewer texts of the sample have is not trained.
@@ -38,10 +38,11 @@ def words_of(text: str | None) -> set[str]:
     return (words - long).union(w[i : i + LONGEST_WORD] for w in long for i in range(0, len(w), LONGEST_WORD // 2)) - {""}
 
 
-def grams_of(word: str) -> list[int]:
+def grams_of(word: str) -> np.ndarray:
     """Buckets of the word and of its character n-grams."""
     w = f"<{word}>"
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in {w, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))}]
+    grams = sorted({w, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))})
+    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], dtype=np.int32)
 
 
 @dataclass
@@ -68,8 +69,11 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 100, rate: float = 0.0
     word = np.array([w for b in bags for w in b], dtype=np.int64)
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     y = np.array(toxic, dtype=bool)
-    gram_doc = np.unique(np.repeat(doc, n_grams[word]) * BUCKETS + np.concatenate([grams[w] for w in word])) % BUCKETS
-    common = np.bincount(gram_doc, minlength=BUCKETS) >= LEAST_TEXTS
+    texts_with = np.zeros(BUCKETS, dtype=np.int32)
+    for bag in filter(None, bags):
+        texts_with[np.unique(np.concatenate([grams[w] for w in bag]))] += 1
+    common = texts_with >= LEAST_TEXTS
+    del grams, bags
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (BUCKETS, DIM)) * common[:, None], rng.normal(0, 0.1, (DIM, 2)), np.array([8.0, 0.0])]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
