@@ -27,6 +27,9 @@ FIT_ROWS = 2000
 NOISE = 0.02
 #: A bucket that fewer texts of the sample have is not trained.
 LEAST_TEXTS = 3
+#: Words whose strength a Python worker keeps from task to task; beyond that it starts anew.
+CACHE = 400_000
+_KNOWN: dict[int, dict[str, float]] = {}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
@@ -118,8 +121,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     columns other than doc_id and text are not read.
     """
 
+    mark = zlib.crc32(model.weight.tobytes())
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
+        if mark not in _KNOWN:
+            _KNOWN.clear()
+        known = _KNOWN.setdefault(mark, {})
         for frame in frames:
             scores = []
             for text in frame["text"]:
@@ -130,7 +137,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                         s = known[w] = model.strength(w)
                     total += s
                 scores.append(-np.expm1(-total))
-                if len(known) > 400_000:
+                if len(known) > CACHE:
                     known.clear()
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "score": scores}).astype({"score": "float64"})
 
