@@ -157,12 +157,13 @@ def fold_word(word: Column, byte_ids: Column, ranks: Column) -> Column:
 
 
 def _strings(items: list[bytes]) -> Column:
-    return json_literal([x.decode("latin-1") for x in items], "array<string>")
+    """A constant array of the items as strings that hold their bytes as they are."""
+    return json_literal([base64.b64encode(x).decode() for x in items], "array<binary>").cast("array<string>")
 
 
 def _joined(ids: Column, strings: Column) -> Column:
-    """The bytes that the ids stand for: Latin-1 strings hold binary pieces."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(strings, i)), ""), "ISO-8859-1")
+    """The bytes that the ids stand for, joined as they are: casts between strings and binary keep bytes."""
+    return F.array_join(F.transform(ids, lambda i: F.get(strings, i)), "").cast("binary")
 
 
 class ByteBpe:
