@@ -193,7 +193,7 @@ class ByteBpe:
         self._forget()
         n = docs.count()
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
-        counts = picked.filter(F.length("word").between(2, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        counts = picked.filter(F.length("word").between(1, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = counts.orderBy(F.desc("n"), "word").limit(words).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
         entry = F.struct("word", self.encode_words(F.array("word"))[0].alias("ids"))
         self.table_size = 1 << 18  # one word a bucket: Spark looks through a map from its start
