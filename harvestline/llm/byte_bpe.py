@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,12 +174,17 @@ class ByteBpe:
         self.vocabulary = Vocabulary.load(rank_file)
         self.pattern = java_pattern(pattern)
         self.ranks = rank_map(self.vocabulary.merges)
-        pieces = self.vocabulary.pieces
         self.byte_ids = json_literal([self.vocabulary.ranks[bytes([b])] for b in range(256)], "array<bigint>")
-        self.pieces = _strings(pieces)
-        self.little_endian = _strings([i.to_bytes(4, "little") for i in range(len(pieces))])
         self._forget()
 
+    @cached_property
+    def pieces(self) -> Column:
+        return _strings(self.vocabulary.pieces)
+
+    @cached_property
+    def little_endian(self) -> Column:
+        return _strings([i.to_bytes(4, "little") for i in range(len(self.vocabulary.pieces))])
+
     def _forget(self) -> None:
         self.one_row, self.table, self.table_size = None, json_literal([None], "array<map<string,array<bigint>>>"), 1
 
