@@ -15,8 +15,8 @@ from harvestline.llm.byte_bpe import ByteBpe, encode_documents
 from harvestline.llm.common import shared_folder
 from harvestline.llm.exact_dedup import drop_copies
 from harvestline.llm.mixing import take_mix
+from harvestline.llm.near_text import keep_one
 from harvestline.llm.quality import keep_good
-from harvestline.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

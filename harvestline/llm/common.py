@@ -44,3 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: later steps read it, and lost executors don't lose it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with __row, a key of each row; checkpointed, so that it is the same whenever it is read."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))

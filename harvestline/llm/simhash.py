@@ -143,9 +143,3 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile
     roots = components(near_links(nodes.filter("node is not null").select("fp", "node"), radius, blocks, tile))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), F.col("n").alias("fp_size"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_size")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id, with its columns."""
-    gone = near_dedup(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
