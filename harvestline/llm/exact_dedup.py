@@ -13,51 +13,56 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, with_row
 
 #: A chunk ends after white space that follows a sentence mark, 1,024 to 16,384 characters after its start.
 CHUNK = r"(?s).{1024,16384}?(?:(?<=[.!?;]\s)|\z)|.{1,16384}"
 
 
-def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64, chunk: str = CHUNK) -> DataFrame:
+def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64, chunk: str = CHUNK, row: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text is an empty one (its recipe is the empty list). Of
     equal texts the row with the largest doc_id stays; rows that repeat a doc_id are one document and share its verdict, and
     a null doc_id stays only if its whole group has none. Other columns are not read, so their names can't clash. A group
     may hold any share of the rows: it is summed before the shuffle, and the join that hands out its verdict can be split.
+    With a row key, which is returned too, each row is a document of its own: one row of each group stays, ids null or repeated or not.
     """
-    text = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
+    carry = [row] if row else []
+    text = docs.select("doc_id", *carry, ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
     chunks = F.regexp_extract_all("text", F.lit(chunk), F.lit(0))
     pairs = text.select(F.explode(chunks).alias("chunk")).select(chunk_hash(F.col("chunk")).alias("h"), "chunk").distinct()
     shared = cut(pairs.withColumn("n", F.lit(1)).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    recipes = text.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.transform(chunks, lambda c: chunk_hash(c)).alias("recipe"))
+    recipes = text.select("doc_id", *carry, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.transform(chunks, lambda c: chunk_hash(c)).alias("recipe"))
     if shared.isEmpty():
         recipes = cut(recipes)
     else:
-        recipes = cut(_told_apart(text, chunks, pairs, shared, chunk_hash))
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        recipes = cut(_told_apart(text, chunks, pairs, shared, chunk_hash, carry))
+    last = [F.max(F.struct("doc_id", row))[row].alias("keep_row")] if row else []
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), *last, F.count(F.lit(1)).alias("group_size"))
     groups = cut(groups.filter("group_size > 1"))  # cut, so that the join has its own exchange and a large group can be split
+    kept = F.col(row) == F.coalesce("keep_row", row) if row else F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id"))
     return recipes.join(groups, "recipe", "left").select(
-        "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"), "text_sha256",
+        "doc_id", *carry, F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        kept.alias("kept"), "text_sha256",
     )
 
 
-def _told_apart(text: DataFrame, chunks: Column, pairs: DataFrame, shared: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
+def _told_apart(text: DataFrame, chunks: Column, pairs: DataFrame, shared: DataFrame, chunk_hash: Callable[[Column], Column], carry: list[str]) -> DataFrame:
     """Recipes when some hashes stand for several chunks: those chunks are known by (hash, rank among the hash's chunks)."""
     rank = F.row_number().over(Window.partitionBy("h").orderBy("chunk"))
     ranked = pairs.join(shared, "h", "left_semi").withColumn("rank", rank)
     rows = text.withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), chunks.alias("chunks")))
+    rows = cut(rows.select("row", "doc_id", *carry, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), chunks.alias("chunks")))
     parts = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", chunk_hash(F.col("chunk")))
     named = parts.join(ranked, ["h", "chunk"], "left").select("row", "at", "h", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
     lists = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "rank"))).alias("parts"))
     lists = lists.select("row", F.flatten(F.transform("parts", lambda p: F.array(p["h"].cast("long"), p["rank"]))).alias("recipe"))
-    return rows.join(lists, "row", "left").select("doc_id", "text_sha256", F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"))
+    return rows.join(lists, "row", "left").select("doc_id", *carry, "text_sha256", F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns."""
-    verdict = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(verdict, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, one of each group, with their columns; null and repeated ids are rows like any other."""
+    docs = with_row(docs)
+    gone = exact_dedup(docs, row="__row").filter("not kept").select("__row")
+    return docs.join(gone, "__row", "left_anti").drop("__row")
