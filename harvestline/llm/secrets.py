@@ -19,6 +19,8 @@ BASE = (
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
+#: Parts of a candidate: names and values, with the padding at its end.
+PART = r"[^=]+(?:=+$)?"
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,7 @@ CLASSES = (
     CharClass(r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", 2.9),
     CharClass(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.4),
     CharClass(r"^(?=(?:[^0-9]*[0-9]){3})(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/=_-]+$", 3.7),
+    CharClass(r"^(?=(?:[^0-9]*[0-9]){3})(?=.*[A-Za-z])[A-Za-z0-9+/=_-]+$", 3.7),
 )
 #: Candidates that are known not to be secrets: identifiers, digests of nothing, examples of manuals, words joined by marks.
 ALLOWED = (
@@ -96,6 +99,12 @@ def _looks_secret(text: Column) -> Column:
     return F.when(limit.isNull() | allowed, F.lit(False)).otherwise(max_window_entropy(text) >= limit)
 
 
+def _has_secret(run: Column) -> Column:
+    """Class and allow-list are those of a value, not of the name before its =; only a run whose parts are all shorter than a window is judged whole."""
+    parts = F.filter(F.regexp_extract_all(run, F.lit(PART), F.lit(0)), lambda p: F.length(p) >= WINDOW)
+    return F.when(F.size(parts) > 0, F.exists(parts, _looks_secret)).otherwise(_looks_secret(run))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, rank of the kind, kind, end), ordered, for each row of docs; kind entropy is the method's own.
 
@@ -109,7 +118,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         found = F.filter(_matches(F.col("text"), pattern, group), lambda m: F.length(m["part"]) >= least)  # noqa: B023
         kinds.append(F.when(F.col("text").rlike(pattern), F.transform(found, span(rank, kind))).otherwise(none).alias(kind))
-    candidates = F.when(F.col("text").rlike(CANDIDATE), F.filter(_matches(F.col("text"), CANDIDATE, 0), lambda m: _looks_secret(m["part"])))
+    candidates = F.when(F.col("text").rlike(CANDIDATE), F.filter(_matches(F.col("text"), CANDIDATE, 0), lambda m: _has_secret(m["part"])))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", *kinds, F.coalesce(F.transform(candidates, span(len(BASE), "entropy")), none).alias("entropy"))
     base = F.flatten(F.array(*(F.col(kind) for kind, *_ in BASE)))
     rows = rows.select("doc_id", F.array_sort(base).alias("base"), "entropy")
