@@ -18,12 +18,26 @@ _LATIN_SMALL = (0xDF, 0xFF)
 
 _NOT_IN = r"(?<![A-Za-z0-9])"
 _END = r"(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs; other countries' lengths are open.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The country's own length first, so that a word or number after it is not taken for a part of it."""
+    known = (rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+    return rf"{_NOT_IN}(?:(?:{'|'.join(known)}){_END}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END})"
+
+
 #: kind and pattern, tried in this order at each place of the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": _NOT_IN + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
-    "date": _NOT_IN + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})" + _END,
+    "date": _NOT_IN + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})" + _END,
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![A-Za-z0-9-])",
     "card": _NOT_IN + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})" + _END,
@@ -32,6 +46,11 @@ ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049
 #: DAYS as a product, so that the network permutes exactly the days of 1900 to 2099.
 DAY_PLACES = (319, 229)
+#: Days of the year but 29 February, as MM-dd, for dates with a field of one digit: by order and the widths of day and month.
+SHORT_DAYS = {
+    f"{order}{wd}{wm}": [f"{m:02}-{d:02}" for m in range(1, 13 if wm == 2 else 10) for d in range(13 if order == "mdy" else 1, (32 if wd == 2 else 10)) if d <= (28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31)]
+    for order, wd, wm in (("dmy", 1, 1), ("dmy", 1, 2), ("dmy", 2, 1), ("mdy", 2, 1), ("ymd", 1, 1), ("ymd", 1, 2), ("ymd", 2, 1))
+}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,7 +137,7 @@ def _date(text: Column, key: str) -> Column:
     mark = F.substring(F.regexp_replace(text, "[0-9]", ""), F.lit(1), F.lit(1))
     parts = F.split(text, "[-/.]")
     part = lambda p, i: F.get(p, F.lit(i))
-    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
+    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     iso = F.length(F.get(parts, F.lit(0))) == 4
     day_first = lambda p: day(part(p, 2), part(p, 1), part(p, 0))
     value = lambda p: F.when(iso, day(part(p, 0), part(p, 1), part(p, 2))).otherwise(F.coalesce(day_first(p), day(part(p, 2), part(p, 0), part(p, 1))))
@@ -134,7 +153,32 @@ def _date(text: Column, key: str) -> Column:
     sizes = F.array(*map(F.lit, DAY_PLACES))
     ordinal = lambda p: F.date_diff(value(p), F.to_date(F.lit(FIRST_DAY)))
     keyed = lambda p: feistel(spread(ordinal(p)), sizes, f"{key}|date")
-    return _let(parts, lambda p: F.when(ordinal(p).between(0, DAYS - 1), F.replace(_let(keyed(p), lambda q: back(q, order(p))), F.lit("-"), mark)))
+    full = lambda p: _let(keyed(p), lambda q: back(q, order(p)))
+    in_range = lambda p: ordinal(p).between(0, DAYS - 1)
+    wide = F.length(text) == 10
+    return _let(parts, lambda p: F.when(in_range(p), F.replace(F.when(wide, full(p)).otherwise(_short_date(p, value(p), order(p), key)), F.lit("-"), mark)))
+
+
+def _short_date(p: Column, day: Column, order: Column, key: str) -> Column:
+    """Another date of the same order and widths: year and day of the year are permuted, 29 February among the leap years."""
+    at = lambda ymd, mdy, dmy: F.length(F.when(order == "ymd", F.get(p, F.lit(ymd))).when(order == "mdy", F.get(p, F.lit(mdy))).otherwise(F.get(p, F.lit(dmy))))
+    wide_day, wide_month = at(2, 1, 0), at(1, 0, 1)
+    layout = F.concat(order, wide_day.cast("string"), wide_month.cast("string"))
+    days = F.lit(None).cast("array<string>")
+    for name, values in SHORT_DAYS.items():
+        days = F.when(layout == name, F.array(*map(F.lit, values))).otherwise(days)
+    year, leap = F.year(day) - 1900, F.date_format(day, "MM-dd") == "02-29"
+    n = F.floor((year - 4) / 4).cast("int")
+    leap_day = lambda q: F.concat((1904 + 4 * (7 * F.get(q, F.lit(0)) + F.get(q, F.lit(1)))).cast("string"), F.lit("-02-29"))
+    other = lambda d: _let(feistel(F.array(year, F.array_position(d, F.date_format(day, "MM-dd")).cast("int") - 1), F.array(F.lit(200), F.size(d)), f"{key}|date"), lambda q: F.concat_ws("-", (1900 + F.get(q, F.lit(0))).cast("string"), F.get(d, F.get(q, F.lit(1)))))
+    new = F.when(leap, _let(feistel(F.array(F.floor(n / 7).cast("int"), F.pmod(n, F.lit(7))), F.array(F.lit(7), F.lit(7)), f"{key}|date"), leap_day)).otherwise(_let(days, other))
+
+    def written(d: Column) -> Column:
+        field = lambda i, width: F.when(width == 1, F.substring(d, i + 1, 1)).otherwise(F.substring(d, i, 2))
+        y, m, dd = F.substring(d, 1, 4), field(6, wide_month), field(9, wide_day)
+        return F.when(order == "ymd", F.concat_ws("-", y, m, dd)).when(order == "mdy", F.concat_ws("-", m, dd, y)).otherwise(F.concat_ws("-", dd, m, y))
+
+    return _let(new, written)
 
 
 def _mod97(text: Column) -> Column:
