@@ -20,7 +20,7 @@ from .common import cut, json_literal
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Words of the table of encoded words, the most frequent of a sample. It saves time only: other words are folded in place.
 TABLE_WORDS = 262144
-TABLE_SAMPLE = 12000
+TABLE_SAMPLE = 32000
 LONGEST_TABLE_WORD = 64
 TABLE = "__words_table"
 
@@ -86,10 +86,10 @@ class Vocabulary:
 BUCKETS, SPREAD, PAIR = 32768, 40503, 1 << 20
 #: Words of more bytes are merged at all places of a pair at once.
 SHORT = 64
-PLACE_BITS = 8
-PLACES = 1 << PLACE_BITS
-#: Ends a word in which nothing merges any more, so that the steps that are left do nothing.
-DONE = -1
+#: Bits of an id and of its place in a cell of a short word, and the cell of an id that merges with nothing.
+ID_BITS, PLACE_BITS = 20, 8
+MERGE_AT = ID_BITS + PLACE_BITS
+NO_MERGE = ((1 << ID_BITS) - 1) << MERGE_AT
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,21 +118,27 @@ def _merges_of(ranks: Column, ids: Column) -> Column:
 def _fold_short(ids: Column, ranks: Column) -> Column:
     """Merge the leftmost pair of the lowest rank until no pair merges.
 
-    The state is the ids alone, and rank and place of the pair are one number: structs and concat cost more here than looking pairs up again.
+    A cell is one number: what the id and the next merge to, the id's first place, the id. So the least cell is the pair to merge, and a
+    step looks up only the two pairs that it changes. Arrays are rewritten in place of joined: concat and slice cost more here.
     """
+    low = lambda cell, bits: cell.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    merge = lambda a, b: F.coalesce(F.shiftleft(_merge_of(ranks, a, b), MERGE_AT), F.lit(NO_MERGE))
 
-    def step(ids: Column, _: Column) -> Column:
-        first = F.array_min(F.transform(ids, lambda a, i: _merge_of(ranks, a, F.get(ids, i + 1)) * PLACES + i))
-        swapped = _let(first, lambda f: F.when(f.isNotNull(), _swap(ids, f)))
-        return F.when(F.get(ids, F.size(ids) - 1) == DONE, ids).otherwise(F.coalesce(swapped, F.array_append(ids, F.lit(DONE).cast("bigint"))))
+    def step(cells: Column, _: Column) -> Column:
+        def swap(least: Column, k: Column) -> Column:
+            to = F.shiftright(least, MERGE_AT)
 
-    return F.aggregate(F.slice(ids, 2, F.size(ids)), ids, step, lambda ids: F.filter(ids, lambda a: a != DONE))
+            def cell(x: Column, i: Column) -> Column:
+                merged = merge(to, low(F.get(cells, k + 1), ID_BITS)) + low(least, MERGE_AT) - low(least, ID_BITS) + to
+                return F.when(i > k, x).when(i < k - 2, x).when(i == k - 1, merged).when(i == k - 2, merge(low(x, ID_BITS), to) + low(x, MERGE_AT))
 
+            return F.array_compact(F.transform(cells, cell))
 
-def _swap(ids: Column, first: Column) -> Column:
-    """The ids with the pair at place first % PLACES merged to first / PLACES."""
-    at, to = F.pmod(first, F.lit(PLACES)), F.shiftright(first, PLACE_BITS)
-    return F.array_compact(F.transform(ids, lambda a, i: F.when(i == at, to).when(i != at + 1, a)))
+        next_cells = lambda least: F.when(least >= NO_MERGE, cells).otherwise(_let(F.array_position(cells, least).cast("int"), lambda k: swap(least, k)))
+        return _let(F.array_min(cells), next_cells)
+
+    cells = F.transform(ids, lambda a, i: merge(a, F.get(ids, i + 1)) + F.shiftleft(i.cast("bigint"), ID_BITS) + a)
+    return _let(cells, lambda cells: F.aggregate(F.slice(cells, 2, F.size(cells)), cells, step, lambda cells: F.transform(cells, lambda x: low(x, ID_BITS))))
 
 
 def _fold_long(ids: Column, ranks: Column) -> Column:
@@ -200,10 +206,11 @@ class ByteBpe:
         n = docs.count()
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
         counts = picked.filter(F.length("word").between(1, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.orderBy(F.desc("n"), "word").limit(words).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-        entry = F.struct("word", self.encode_words(F.array("word"))[0].alias("ids"))
+        top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
+        # The words are folded in a plan of their own, which adaptive execution never plans anew: each plan's text holds the rank map.
+        entries = cut(cut(top).select("word", self.encode_words(F.array("word"))[0].alias("ids")))
         self.table_size = 1 << 18  # one word a bucket: Spark looks through a map from its start
-        filled = top.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), entry.alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
+        filled = entries.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), F.struct("word", "ids").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
         buckets = docs.sparkSession.range(self.table_size).select(F.col("id").alias("at")).join(filled, "at", "left")
         ordered = F.sort_array(F.collect_list(F.struct("at", "words")))
         row = cut(buckets.agg(F.transform(ordered, lambda b: F.map_from_entries(b["words"])).alias("table")))
