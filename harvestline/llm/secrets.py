@@ -19,6 +19,8 @@ BASE = (
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
+#: Characters of the blocks that a candidate is scanned in.
+BLOCK = 256
 #: Parts of a candidate: names and values, with the padding at its end.
 PART = r"[^=]+(?:=+$)?"
 
@@ -38,13 +40,15 @@ CLASSES = (
     CharClass(r"^(?=(?:[^0-9]*[0-9]){3})(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/=_-]+$", 3.7),
     CharClass(r"^(?=(?:[^0-9]*[0-9]){3})(?=.*[A-Za-z])[A-Za-z0-9+/=_-]+$", 3.7),
 )
-#: Candidates that are known not to be secrets: identifiers, digests of nothing, examples of manuals, words joined by marks.
+#: Candidates that are known not to be secrets: identifiers, digests of nothing, examples of manuals. Each pattern is flat, for a group that
+#: repeats takes a stack frame a time in Java's matcher.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(?:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",
     r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefghij",
-    r"^(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*$",
 )
+#: Words and numbers joined by marks are allowed too: no letter stands next to a digit.
+JOINED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -65,8 +69,15 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 def max_window_entropy(text: Column, window: int = WINDOW) -> Column:
     """Bits a character of the window of the highest Shannon entropy; a text shorter than the window has none (null).
 
-    A step takes the entering character's count up and the leaving one's down, and changes the sum of n * log2(n) by both.
+    Blocks that overlap by all but one character of a window are scanned one by one, so each window is in one of them and the state that a
+    step carries along stays small however long the text is.
     """
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{BLOCK}}})).{{1,{BLOCK - window + 1}}}"), F.lit(1))
+    return F.array_max(F.transform(blocks, lambda b: _block_entropy(b, window)))
+
+
+def _block_entropy(text: Column, window: int) -> Column:
+    """A step takes the entering character's count up and the leaving one's down, and changes the sum of n * log2(n) by both."""
     n_log_n = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
     index = lambda c: (F.instr(F.lit(ALPHABET), c) - 1)
     chars = F.transform(F.split(text, ""), index)
@@ -93,7 +104,7 @@ def _looks_secret(text: Column) -> Column:
     limit = F.lit(None).cast("double")
     for c in reversed(CLASSES):
         limit = F.when(text.rlike(c.pattern), F.lit(c.bits)).otherwise(limit)
-    allowed = F.lit(False)
+    allowed = text.rlike("^[A-Za-z0-9]") & ~text.rlike(JOINED)
     for pattern in ALLOWED:
         allowed = allowed | text.rlike(pattern)
     return F.when(limit.isNull() | allowed, F.lit(False)).otherwise(max_window_entropy(text) >= limit)
@@ -110,6 +121,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no spans; spans of different kinds may overlap, and a candidate that is within a fixed pattern's span is not
     reported again. Repeated rows have equal spans, an empty table gives no rows, columns other than doc_id and text aren't read.
+    Whole texts are read; candidates of any length are judged, in time that grows with their length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind_rank:int,kind:string,end:int>>")
