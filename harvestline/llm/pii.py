@@ -43,13 +43,20 @@ PATTERNS = {
     "card": _NOT_IN + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
-FIRST_DAY, DAYS = "1900-01-01", 73049
-#: DAYS as a product, so that the network permutes exactly the days of 1900 to 2099.
-DAY_PLACES = (319, 229)
-#: Days of the year but 29 February, as MM-dd, for dates with a field of one digit: by order and the widths of day and month.
-SHORT_DAYS = {
-    f"{order}{wd}{wm}": [f"{m:02}-{d:02}" for m in range(1, 13 if wm == 2 else 10) for d in range(13 if order == "mdy" else 1, (32 if wd == 2 else 10)) if d <= (28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31)]
-    for order, wd, wm in (("dmy", 1, 1), ("dmy", 1, 2), ("dmy", 2, 1), ("mdy", 2, 1), ("ymd", 1, 1), ("ymd", 1, 2), ("ymd", 2, 1))
+#: Years of the dates that are permuted.
+YEARS = (1900, 2099)
+
+
+def _last_day(month: int) -> int:
+    return 28 if month == 2 else 30 if month in (4, 6, 9, 11) else 31
+
+
+#: Days of the year but 29 February, as MM-dd, by the order and widths of day and month. Of day-first dates (dmy) those that could be
+#: month-first as well (any) are a layout of their own, so a pseudonym is read as its value was.
+LAYOUTS = {
+    f"{order}{wd}{wm}": [f"{m:02}-{d:02}" for m in range(1, 13 if wm == 2 else 10) for d in range(first, min(last, _last_day(m), 31 if wd == 2 else 9) + 1)]
+    for order, first, last, widths in (("ymd", 1, 31, (1, 2)), ("any", 1, 12, (1, 2)), ("dmy", 13, 31, (2,)), ("mdy", 13, 31, (2,)))
+    for wd in widths for wm in (1, 2)
 }
 
 
@@ -134,40 +141,27 @@ def _ssn(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str) -> Column:
+    """Another date of the same order, marks and widths of the fields."""
     mark = F.substring(F.regexp_replace(text, "[0-9]", ""), F.lit(1), F.lit(1))
-    parts = F.split(text, "[-/.]")
     part = lambda p, i: F.get(p, F.lit(i))
     day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    iso = F.length(F.get(parts, F.lit(0))) == 4
+    iso = lambda p: F.length(part(p, 0)) == 4
     day_first = lambda p: day(part(p, 2), part(p, 1), part(p, 0))
-    value = lambda p: F.when(iso, day(part(p, 0), part(p, 1), part(p, 2))).otherwise(F.coalesce(day_first(p), day(part(p, 2), part(p, 0), part(p, 1))))
-    order = lambda p: F.when(iso, F.lit("ymd")).when(day_first(p).isNotNull(), F.lit("dmy")).otherwise(F.lit("mdy"))
-    spread = lambda o: F.array(F.floor(o / DAY_PLACES[1]).cast("int"), F.pmod(o, F.lit(DAY_PLACES[1])).cast("int"))
-
-    def back(q: Column, order: Column) -> Column:
-        new = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.get(q, F.lit(0)) * DAY_PLACES[1] + F.get(q, F.lit(1)))
-        y, m, d = (F.date_format(new, f) for f in ("yyyy", "MM", "dd"))
-        # Day-first and month-first texts are told apart by the day alone, so both come back day-first.
-        return F.when(order == "ymd", F.concat_ws("-", y, m, d)).otherwise(F.concat_ws("-", d, m, y))
-
-    sizes = F.array(*map(F.lit, DAY_PLACES))
-    ordinal = lambda p: F.date_diff(value(p), F.to_date(F.lit(FIRST_DAY)))
-    keyed = lambda p: feistel(spread(ordinal(p)), sizes, f"{key}|date")
-    full = lambda p: _let(keyed(p), lambda q: back(q, order(p)))
-    in_range = lambda p: ordinal(p).between(0, DAYS - 1)
-    wide = F.length(text) == 10
-    return _let(parts, lambda p: F.when(in_range(p), F.replace(F.when(wide, full(p)).otherwise(_short_date(p, value(p), order(p), key)), F.lit("-"), mark)))
-
-
-def _short_date(p: Column, day: Column, order: Column, key: str) -> Column:
-    """Another date of the same order and widths: year and day of the year are permuted, 29 February among the leap years."""
+    value = lambda p: F.when(iso(p), day(part(p, 0), part(p, 1), part(p, 2))).otherwise(F.coalesce(day_first(p), day(part(p, 2), part(p, 0), part(p, 1))))
+    order = lambda p: F.when(iso(p), F.lit("ymd")).when(day_first(p).isNull(), F.lit("mdy")).when(F.dayofmonth(day_first(p)) > 12, F.lit("dmy")).otherwise(F.lit("any"))
+    new = lambda p: _let(F.struct(value(p).alias("day"), order(p).alias("order")), lambda v: F.when(F.year(v["day"]).between(*YEARS), _other_date(p, v["day"], v["order"], key)))
+    return _let(F.split(text, "[-/.]"), lambda p: F.replace(new(p), F.lit("-"), mark))
+
+
+def _other_date(p: Column, day: Column, order: Column, key: str) -> Column:
+    """Year and day of the year are permuted among those of the layout, 29 February among the leap years."""
     at = lambda ymd, mdy, dmy: F.length(F.when(order == "ymd", F.get(p, F.lit(ymd))).when(order == "mdy", F.get(p, F.lit(mdy))).otherwise(F.get(p, F.lit(dmy))))
     wide_day, wide_month = at(2, 1, 0), at(1, 0, 1)
     layout = F.concat(order, wide_day.cast("string"), wide_month.cast("string"))
     days = F.lit(None).cast("array<string>")
-    for name, values in SHORT_DAYS.items():
+    for name, values in LAYOUTS.items():
         days = F.when(layout == name, F.array(*map(F.lit, values))).otherwise(days)
-    year, leap = F.year(day) - 1900, F.date_format(day, "MM-dd") == "02-29"
+    year, leap = F.year(day) - YEARS[0], F.date_format(day, "MM-dd") == "02-29"
     n = F.floor((year - 4) / 4).cast("int")
     leap_day = lambda q: F.concat((1904 + 4 * (7 * F.get(q, F.lit(0)) + F.get(q, F.lit(1)))).cast("string"), F.lit("-02-29"))
     other = lambda d: _let(feistel(F.array(year, F.array_position(d, F.date_format(day, "MM-dd")).cast("int") - 1), F.array(F.lit(200), F.size(d)), f"{key}|date"), lambda q: F.concat_ws("-", (1900 + F.get(q, F.lit(0))).cast("string"), F.get(d, F.get(q, F.lit(1)))))
@@ -226,8 +220,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, found (kind, value, pseudonym) for each row of docs, by a secret key.
 
     The whole text is read; values are found from the left without overlap and only valid ones are replaced. A null text
-    stays null, a text without values stays as it is, repeated rows change alike, an empty table gives no rows, and columns other than
-    doc_id and text are not read. Found values are for tests and audits: drop them before the texts are passed on.
+    stays null, a text without values stays as it is, texts of any length are read to the end, repeated rows change alike, an empty table
+    gives no rows, and columns other than doc_id and text are not read. Found values are for tests and audits: drop them before the texts are passed on.
     """
     text = F.col("text")
 
