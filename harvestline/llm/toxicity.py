@@ -23,6 +23,8 @@ NGRAMS = (3, 4, 5, 6)
 LONGEST_WORD = 40
 #: Labelled rows that the model is fitted on: at most so many of each class, those with the smallest hashes.
 FIT_ROWS = 2000
+#: Distinct words of one of these rows that the fit reads at most, those with the smallest hashes; scores read all.
+FIT_WORDS = 20_000
 #: Share of labels taken to be wrong, so that a text whose label nothing explains doesn't teach its rare words.
 NOISE = 0.02
 #: A bucket that fewer texts of the sample have is not trained.
@@ -60,12 +62,12 @@ class Model:
         return float(np.logaddexp(0.0, self.weight[grams_of(word)].mean() + self.bias))
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 100, rate: float = 0.05, decay: float = 0.4, noise: float = NOISE, seed: int = 1) -> Model:
-    """Embeddings and softmax by Adam on the texts' cross-entropy; without both classes the model knows only the share of toxic texts."""
-    if not texts or len(set(toxic)) < 2:
+def fit(bags_of_words: list[list[str]], toxic: list[int], epochs: int = 100, rate: float = 0.05, decay: float = 0.4, noise: float = NOISE, seed: int = 1) -> Model:
+    """Embeddings and softmax by Adam on the cross-entropy of texts, given as their distinct words; without both classes the model knows only the share of toxic texts."""
+    if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS), -20.0)
     index: dict[str, int] = {}
-    bags = [[index.setdefault(w, len(index)) for w in sorted(words_of(t))] for t in texts]
+    bags = [[index.setdefault(w, len(index)) for w in words] for words in bags_of_words]
     grams = [grams_of(w) for w in index]
     gram, n_grams = np.concatenate(grams), np.array([len(g) for g in grams])
     gram_start = np.r_[0, np.cumsum(n_grams)[:-1]]
@@ -105,19 +107,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model of labels.toxic, from rows that are not held out; null labels and labels without a document teach nothing."""
-    marks = labels.select("doc_id", F.col("toxic").alias("y")).filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    """A model of labels.toxic, from rows that are not held out.
+
+    Null labels and labels without a document teach nothing; a doc_id with several labels is toxic if one of them says so, and of several
+    texts with one doc_id the first in order is read. The driver gets the distinct words of fit_rows texts a class at most.
+    """
+    marks = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = F.xxhash64("doc_id")
     chosen = marks.filter("y = 1").orderBy(order).limit(fit_rows).union(marks.filter("y = 0").orderBy(order).limit(fit_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()  # bounded by fit_rows
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+
+    def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words = [sorted(words_of(t), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:FIT_WORDS] for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "words": ["\n".join(sorted(w)) for w in words]})
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))), "doc_id")
+    rows = read.mapInPandas(bags, "doc_id long, y int, words string").groupBy("doc_id", "y").agg(F.min("words").alias("words")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    return fit([r["words"].split("\n") if r["words"] else [] for r in rows], [r["y"] for r in rows])
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    A null or empty text has score 0. Whole texts are read; repeated rows score alike, an empty table gives no rows, and
+    A null or empty text has score 0. Whole texts of any length are read; repeated rows score alike, an empty table gives no rows, and
     columns other than doc_id and text are not read.
     """
 
