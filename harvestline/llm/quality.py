@@ -125,20 +125,25 @@ def cascade(order: list[str], rules: dict[str, Rule], measures: list[str]) -> Ca
 
 
 def quality_rules(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """doc_id, the base measures, base_failed, kept and failed_rule for each row of docs.
+    """doc_id, the base measures, base_failed and kept for each row of docs.
 
     A null text has no words (and so fails for few words). All rows get the base measures; the cascade then runs over base
     rules and the further ones in the estimated order and stops at the first that rejects. Repeated rows are judged alike, an empty table gives
-    no rows, and columns other than doc_id and text are not read. A text is kept if no rule rejects it, whatever the order.
+    no rows, and columns other than doc_id and text are not read. A text is kept if no rule rejects it, whatever the order; which rule came
+    first depends on timings and so is not returned. Whole texts of any length are measured.
     """
     rules = BASE_RULES | (MORE_RULES if rules is None else rules)
     order = order_rules(docs, rules)
     q = docs.select("doc_id", cascade(order, rules, BASE_MEASURES)(F.col("text")).alias("q")).select("doc_id", "q.*")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return q.select("doc_id", *BASE_MEASURES, base_failed.alias("base_failed"), F.col("failed").isNull().alias("kept"), F.col("failed").alias("failed_rule"))
+    return q.select("doc_id", *BASE_MEASURES, base_failed.alias("base_failed"), F.col("failed").isNull().alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """The rows of docs that no rule rejects, with their columns and without a shuffle; nothing is measured past the first rejection."""
+    """The rows of docs that no rule rejects, with their columns and without a shuffle; nothing is measured past the first rejection.
+
+    Each row is judged alone, so null and repeated ids and repeated rows are rows like any other; null texts have too few words; an empty
+    table stays empty; columns of any name stay as they are.
+    """
     rules = BASE_RULES | (MORE_RULES if rules is None else rules)
     return docs.filter(cascade(order_rules(docs, rules), rules, [])(F.col("text"))["failed"].isNull())
