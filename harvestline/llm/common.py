@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import string
 import tempfile
 
@@ -33,11 +34,14 @@ def json_literal(value: object, ddl: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,6 +50,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with __row, a key of each row; checkpointed, so that it is the same whenever it is read."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+def with_row(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key of each row, a string that is the same whenever the frame is read.
+
+    Of a table read from files it is the row's file and place there; any other frame is checkpointed with numbered rows.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.children().isEmpty() and any(a.name() == "_metadata" for a in _items(plan.metadataOutput())):
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumn(key, F.concat_ws(":", place["file_path"], place["row_index"].cast("string")))
+    return cut(docs.withColumn(key, F.monotonically_increasing_id().cast("string")))
+
+
+def _items(seq: object) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of keys that a join may broadcast; larger sides are joined by a shuffle.
+SMALL_ROWS = 20_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """The checkpointed keys, broadcast if they are SMALL_ROWS at most."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, with_row
+from .common import ascii_lower, cut, free_name, small, with_row
 
 #: A chunk ends after white space that follows a sentence mark, 1,024 to 16,384 characters after its start.
 CHUNK = r"(?s).{1024,16384}?(?:(?<=[.!?;]\s)|\z)|.{1,16384}"
@@ -62,7 +62,13 @@ def _told_apart(text: DataFrame, chunks: Column, pairs: DataFrame, shared: DataF
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each group, with their columns; null and repeated ids are rows like any other."""
-    docs = with_row(docs)
-    gone = exact_dedup(docs, row="__row").filter("not kept").select("__row")
-    return docs.join(gone, "__row", "left_anti").drop("__row")
+    """The rows of docs that stay, one of each group of equal texts, with their columns.
+
+    Rows are known by their place and not by doc_id: null and repeated ids are rows like any other, of rows equal in doc_id and text one
+    stays, and one doc_id with two texts is two documents. Null texts are empty ones and so copies of each other; texts of any length are
+    compared whole; an empty table stays empty; columns of any name stay as they are.
+    """
+    key = free_name(docs, "__row")
+    rows = with_row(docs, key)
+    gone = cut(exact_dedup(rows, row=key).filter("not kept").select(key))
+    return rows.join(small(gone), key, "left_anti").select(*docs.columns)

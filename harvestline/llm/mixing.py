@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, with_row
+from .common import cut, free_name, n_words, with_row
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     order); documents without words take 0; an empty table gives no rows. Chances come from hashes of the ids, so reruns agree.
     Rows with the same doc_id are separate units; a row key is returned as row. Columns other than these, text and source are not read.
     """
-    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (F.col(row) if row else F.lit(None)).cast("long").alias("row")))
+    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (F.col(row) if row else F.lit(None)).cast("string").alias("row")))
     targets = cut(source_targets(rows, weights, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio)).withColumn("b", F.ceil(F.col("n") / fan_in).cast("long"))
@@ -73,10 +73,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     keys = ["source", "source_size", "target", "whole"]
     parts = [plain.select("doc_id", "size", "row", *keys, "extra")]
     units = rows.filter((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9) & (F.col("size") > 0))
-    units = units.select(*keys, "b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "b").alias("node"), F.struct("doc_id", "size", "p", "row").alias("unit"))
+    units = units.select(*keys, "b", F.pmod(F.xxhash64("doc_id", "size", "row", F.lit(seed)), "b").alias("node"), F.struct("doc_id", "size", "p", "row").alias("unit"))
     buckets, level = targets.agg(F.max("b")).first()[0] or 0, 0
     while buckets:
-        start = F.struct(F.lit(None).cast("struct<doc_id:bigint,size:bigint,p:double,row:bigint>").alias("carry"), F.array().cast("array<struct<doc_id:bigint,size:bigint,p:double,row:bigint>>").alias("done"))
+        start = F.struct(F.lit(None).cast("struct<doc_id:bigint,size:bigint,p:double,row:string>").alias("carry"), F.array().cast("array<struct<doc_id:bigint,size:bigint,p:double,row:string>>").alias("done"))
         folded = units.groupBy(*keys, "b", "node").agg(F.sort_array(F.collect_list("unit")).alias("units"))
         folded = cut(folded.select(*keys, "b", "node", F.aggregate("units", start, lambda s, x: _pair(s, x, level, seed)).alias("s")))
         decided = folded.select(*keys, F.explode("s.done").alias("u"))
@@ -95,8 +95,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def take_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """docs with each row as often as the mix takes it, ids null or repeated or not; documents that the mix leaves out are gone."""
-    rows = with_row(docs)
-    copies = mix_sources(rows, row="__row", **options).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    joined = rows.join(copies, "__row").filter("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it; documents that the mix leaves out are gone.
+
+    Rows are known by their place and not by doc_id, so null and repeated ids are rows like any other, each with copies of its own. Rows
+    without words (null and empty texts) are not taken; null sources are one source; texts of any length pass whole; an empty table stays
+    empty; columns of any name stay as they are.
+    """
+    key, copies, copy = (free_name(docs, name) for name in ("__row", "__copies", "__copy"))
+    rows = with_row(docs, key)
+    taken = mix_sources(rows, row=key, **options).select(F.col("row").alias(key), F.col("copies").alias(copies))
+    joined = rows.join(taken.filter(F.col(copies) > 0), key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -1,13 +1,15 @@
-"""Near-dedup by exact Jaccard similarity of five-word shingles: prefix filter, verified pairs, connected components.
+"""Near-dedup of whole texts by SimHash: tiles of fingerprints propose pairs, the exact similarity of five-word shingles decides.
 
-Two texts of similarity 0.8 or more share one at least of the first fifth of their shingles in any order that holds for all
-texts, so no pair is missed, whatever a fingerprint's bits would say. The order puts shingles that are common in a sample last,
-which changes the number of candidates only. Shingles are known by 64-bit hashes.
+Fingerprints of the distinct five-word shingles meet in tiles, where numpy compares them by exclusive-or and bit counts; tile pairs whose
+population counts differ beyond the radius are skipped. Which fingerprints meet is said by bands of minimum hashes: texts of a
+similarity of 0.8 share one of 20 bands of four with a chance of 1 - (1 - 0.8^4)^20 = 0.99997, and more similar ones sooner. Their
+fingerprints differ by about 10 bits, so the radius of 24 leaves room for the spread. A proposed pair is a link only if its Jaccard
+similarity, counted on the whole texts, is 0.8 or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -15,12 +17,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row
-from .simhash import SEED, components
+from .common import cut, free_name, small, with_row
+from .simhash import SEED, components, majority
 
 WORDS = 5
-#: Documents whose shingles are counted for the order, and shingles that the order knows as common.
-SAMPLE, COMMON = 3000, 65_536
+BANDS, BAND = 20, 4
+RADIUS = 24
+#: Fingerprints in one tile.
+TILE = 1024
+#: Shingles whose minimum hashes are taken at once, which bounds the memory of long texts.
+BLOCK = 4096
+_rng = np.random.default_rng(SEED)
+_ODD = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -29,98 +38,164 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
     shingles = [b" ".join(x) for x in zip(*(w[k:] for k in range(words)))] if len(w) >= words else [b" ".join(w)] if w else []
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64)).view(np.int64)
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64))
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """node and shingles for rows of node and text."""
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key of each band: the hash of its minimum hashes."""
+    from xxhash import xxh64_intdigest
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"node": frame["node"], "shingles": [shingle_set(t) for t in frame["text"]]})
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(shingles), BLOCK):
+        mixed = shingles[i : i + BLOCK, None] * _ODD + _ADD
+        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return np.array([xxh64_intdigest(low[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
 
-    return rows.select("node", "text").mapInPandas(batches, "node long, shingles array<long>")
 
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, doc_id, digest of the shingle set, n of its shingles, fp and band keys for rows of row, doc_id and text."""
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """Shingles of two documents of the sample or more, the rarest first."""
-    sample = shingle_sets(rows.orderBy(F.xxhash64("node")).limit(SAMPLE))
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()][::-1], dtype=np.int64)
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for text in frame["text"]:
+                s = shingle_set(text)
+                made.append((blake2b(s.tobytes(), digest_size=16).digest(), len(s), majority([s], len(s)), band_keys(s) if len(s) else np.array([], dtype=np.int64)))
+            digest, n, fp, keys = (list(x) for x in zip(*made)) if made else ([], [], [], [])
+            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"].astype("Int64"), "digest": digest, "n": np.array(n, dtype=np.int64), "fp": np.array(fp, dtype=np.uint64).view(np.int64), "keys": keys})
 
+    return rows.mapInPandas(batches, "row string, doc_id long, digest binary, n long, fp long, keys array<long>")
 
-def prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """row, doc_id, digest of the set, n of its shingles, and the prefix: the first n - ceil(0.8 n) + 1 shingles in order."""
-    by_hash = np.argsort(common, kind="stable")
-    known = common[by_hash]
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(known, s)
-        hit = at < len(known)
-        hit[hit] = known[at[hit]] == s[hit]
-        rank = np.full(len(s), -1, dtype=np.int64)
-        rank[hit] = by_hash[at[hit]]
-        return s[np.argsort(rank, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1]
+def _compared(tiles: DataFrame, propose: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """Distinct pairs a < b of nodes that propose(near, root) picks from each tile pair; near has the bits between two nodes, or 65 if they can't be similar."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [shingle_set(t) for t in frame["text"]]
-            yield pd.DataFrame({"node": frame["node"], "doc_id": frame["doc_id"].astype("Int64"), "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": np.array([len(s) for s in sets], dtype=np.int64), "prefix": [prefix(s) for s in sets]})
-
-    return rows.mapInPandas(batches, "node long, doc_id long, digest binary, n long, prefix array<long>")
-
+            out = []
+            for nodes, fps, sizes, roots, sides in zip(*(frame[c] for c in ("node", "fp", "n", "root", "side"))):
+                nodes, fps, sizes, roots, sides = (np.asarray(x, dtype=np.int64) for x in (nodes, fps, sizes, roots, sides))
+                bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]).astype(np.int16)
+                other = (sides[:, None] != sides[None, :]) | (sides[:, None] == 2)
+                sized = 5 * np.minimum.outer(sizes, sizes) >= 4 * np.maximum.outer(sizes, sizes)
+                out += [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in propose(np.where((bits <= RADIUS) & sized & other, bits, 65), roots))]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    cells = [F.col(f"cells.{c}").alias(c) for c in ("node", "fp", "n", "root", "side")]
+    return tiles.select(*cells).mapInPandas(compare, "a long, b long").distinct()
+
+
+def spanning_forest(near: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) of a forest of the closest pairs that spans all nodes that are near each other."""
+    n = len(near)
+    if n == 2:
+        return [(0, 1)] if near[0, 1] <= RADIUS else []
+    best, hung, left, edges = np.full(n, 66, dtype=np.int16), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool), []
+    for _ in range(n):
+        i = int(np.where(left, best, 67).argmin())
+        left[i] = False
+        if best[i] <= RADIUS:
+            edges.append((int(hung[i]), i))
+        closer = left & (near[i] < best)
+        best[closer], hung[closer] = near[i][closer], i
+    return edges
+
+
+def across_roots(near: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """All near pairs whose roots differ."""
+    i, j = np.nonzero(np.triu((near <= RADIUS) & (root[:, None] != root[None, :]), 1))
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def _gathered(rows: DataFrame, a: str, b: str, side: str) -> DataFrame:
+    """One row for each tile pair, of two tiles' rows at most."""
+    cell = F.struct("node", "fp", "n", "root", F.expr(side).alias("side"))
+    return rows.groupBy("key", F.expr(a).alias("ta"), F.expr(b).alias("tb")).agg(F.collect_list(cell).alias("cells")).filter(F.size("cells") > 1)
+
+
+def _own_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """Each key's rows in tiles by hash, each tile with itself: another key deals the same nodes out anew."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
+    return _gathered(rows.join(sizes, "key").withColumn("t", F.expr(f"cast(pmod(xxhash64(node, key), ceil(all / {tile})) as int)")), "t", "t", "2")
+
+
+def _root_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """Tile pairs of the keys whose rows have several roots, without the pairs within a key's largest component.
+
+    The rows of the largest component (main) are dealt out once and meet all others; tiles are made by population count and hash, and
+    tile pairs whose counts differ beyond the radius are skipped. A key that fits into one tile is one.
+    """
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all")).filter("roots > 1").drop("roots")
+    rows = cut(rows.join(main, "key").withColumn("cls", F.expr("if(root = main, 0, 1)")).withColumn("bits", F.bit_count("fp")))
+    one = _gathered(rows.filter(f"all <= {tile}"), "0", "0", "2").select("cells")
+    large = rows.filter(f"all > {tile}")
+    counts = large.groupBy("key", "cls", "bits").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).groupBy("key").agg(F.collect_list(F.struct("cls", "bits", "tiles")).alias("counts"))
+    large = large.join(counts, "key").withColumn("tiles", F.expr("filter(counts, c -> c.cls = cls and c.bits = bits)[0].tiles"))
+    large = large.withColumn("own", F.expr("struct(cls, bits, cast(pmod(xxhash64(node), tiles) as int) as t)"))
+    others = f"flatten(transform(filter(counts, c -> abs(c.bits - bits) <= {RADIUS} and c.cls + cls > 0), c -> transform(sequence(0, c.tiles - 1), t -> struct(c.cls as cls, c.bits as bits, t as t))))"
+    large = large.withColumn("other", F.explode(F.expr(others)))
+    many = _gathered(large, "least(own, other)", "greatest(own, other)", "if(own = other, 2, if(own < other, 0, 1))").select("cells")
+    return one.union(many)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity is 0.8 or more, as links src, dst; rows has the texts."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "row"))
+    texts = cut(rows.select("row", "text").join(small(wanted), "row").select("node", "text"))
+
+    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = []
+            for a, b, x, y in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"]):
+                x, y = shingle_set(x), shingle_set(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 9 * both >= 4 * (len(x) + len(y)):  # 5 * both >= 4 * (len(x) + len(y) - both)
+                    kept.append((a, b))
+            yield pd.DataFrame(kept, columns=["src", "dst"], dtype="int64")
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is 0.8 or more, as links src, dst."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(shingle_sets(rows.join(wanted, "node", "left_semi")))
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(9 * F.size(F.array_intersect("set_a", "set_b")) >= 4 * (F.size("set_a") + F.size("set_b"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(alike, "src long, dst long")
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links that connect all nodes (node, n, prefix) of similarity 0.8 or more, directly or through others; rows has their texts.
+def similar_links(nodes: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links that connect all nodes (node, row, n, fp, keys) of similarity 0.8 or more, directly or through others; rows has their texts.
 
-    First each node is compared with its neighbours in the lists of the shingles of its prefix, which joins most of a group. Then all pairs
-    that share such a shingle and are not joined yet are compared, so a link is left out only where its ends are joined already.
+    First a forest of the closest fingerprints of each tile is verified, which joins most of a group with few pairs. Then the pairs
+    within the radius that are not joined yet are verified, so a pair is left out only where its ends are joined already.
     """
-    keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    lists = keys.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("list")).filter(F.size("list") > 1)
-    lists = cut(lists)
-    near = F.transform(F.slice("list", 2, F.size("list") - 1), lambda x, i: F.struct(F.get("list", i).alias("x"), x.alias("y")))
-    pairs = lists.select(F.explode(near).alias("p")).filter("5 * p.x.n >= 4 * p.y.n").select(F.least("p.x.node", "p.y.node").alias("a"), F.greatest("p.x.node", "p.y.node").alias("b")).distinct()
-    links = cut(_verified(pairs, rows))
-    roots = components(links)
-    members = lists.select("key", F.explode("list").alias("m")).select("key", "m.n", "m.node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    members = cut(members)
-    split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    members = cut(members.join(split, "key", "left_semi"))
-    x, y = members.alias("x"), members.alias("y")
-    more = x.join(y, F.expr("x.key = y.key and x.root < y.root and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n"))
-    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return links.union(_verified(more.join(pairs, ["a", "b"], "left_anti"), rows))
+    met = nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
+    pairs = cut(_compared(_own_tiles(met.withColumn("root", F.col("node")), tile), spanning_forest))
+    links = cut(_verified(pairs, nodes, rows))
+    rooted = met.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = cut(_compared(_root_tiles(rooted, tile), across_roots).join(pairs, ["a", "b"], "left_anti"))
+    return links if more.isEmpty() else links.union(_verified(more, nodes, rows))
 
 
 def near_copies(docs: DataFrame, row: str) -> DataFrame:
     """The row key of each row that goes: of a component, the row with the smallest doc_id stays, a null one only if all are null.
 
-    Equal sets are collapsed first, so that copies cost nothing; a null text is an empty one.
+    Equal sets are collapsed first, so that copies cost nothing; a null text is an empty one, and all texts without words are copies.
     """
-    rows = docs.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(prefixes(rows, _common(rows)))
-    nodes = cut(sets.groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    roots = components(similar_links(nodes.filter("n > 0"), rows))
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = cut(sketches(rows))
+    nodes = sets.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(similar_links(nodes, rows))
     named = cut(nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
-    rooted = cut(sets.select("digest", "doc_id", F.col("node").alias("row")).join(named, "digest").select("row", "doc_id", "root"))
+    rooted = cut(sets.select("digest", "doc_id", "row").join(named, "digest").select("row", "doc_id", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = cut(rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row")))
+    kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row"))
     return rooted.join(kept, "row", "left_anti").select("row")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near copies, with its columns; null and repeated ids are rows like any other."""
-    docs = with_row(docs)
-    gone = near_copies(docs, "__row").select(F.col("row").alias("__row"))
-    return docs.join(gone, "__row", "left_anti").drop("__row")
+    """One row of docs for each group of near copies, with its columns.
+
+    Rows are known by their place and not by doc_id: null and repeated ids are rows like any other. Null and empty texts are copies of each
+    other; whole texts of any length are compared; of ties the smallest doc_id stays; an empty table stays empty; columns of any name stay.
+    """
+    key = free_name(docs, "__row")
+    rows = with_row(docs, key)
+    gone = cut(near_copies(rows, key).select(F.col("row").alias(key)))
+    return rows.join(small(gone), key, "left_anti").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,11 +24,16 @@ def fingerprint_bits(shingles: list[bytes]) -> int:
     """The bits that are set in over half of the shingles' XXH64 values; 0 for none."""
     from xxhash import xxh64_intdigest
 
+    step = 1 << 15
+    return majority((np.array([xxh64_intdigest(s, SEED) for s in shingles[i : i + step]], dtype="<u8") for i in range(0, len(shingles), step)), len(shingles))
+
+
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n hashes, which come in blocks."""
     counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(shingles), 1 << 15):
-        h = np.array([xxh64_intdigest(s, SEED) for s in shingles[i : i + (1 << 15)]], dtype="<u8")
+    for h in hashes:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
