@@ -9,12 +9,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, json_literal
+from .common import cut, free_name, json_literal
 
 #: White space as Unicode defines it; Java's class is another.
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -22,7 +21,7 @@ _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 TABLE_WORDS = 262144
 TABLE_SAMPLE = 32000
 LONGEST_TABLE_WORD = 64
-TABLE = "__words_table"
+ENV = "__bpe"
 
 
 def java_pattern(pattern: str) -> str:
@@ -174,25 +173,27 @@ def _joined(ids: Column, strings: Column) -> Column:
 
 
 class ByteBpe:
-    """An encoder and decoder for one rank file and splitting pattern; its methods take and give columns."""
+    """An encoder and decoder for one rank file and splitting pattern; its methods take and give columns.
+
+    What they read is env, a struct of literals: bytes (the id of each byte), ranks, table, pieces and four (each id's bytes as it is decoded
+    and packed). After prepared, env is one checkpointed row instead, literals and all, so that plans don't repeat them.
+    """
 
     def __init__(self, rank_file: str, pattern: str):
         self.vocabulary = Vocabulary.load(rank_file)
         self.pattern = java_pattern(pattern)
-        self.ranks = rank_map(self.vocabulary.merges)
-        self.byte_ids = json_literal([self.vocabulary.ranks[bytes([b])] for b in range(256)], "array<bigint>")
         self._forget()
 
-    @cached_property
-    def pieces(self) -> Column:
-        return _strings(self.vocabulary.pieces)
-
-    @cached_property
-    def little_endian(self) -> Column:
-        return _strings([i.to_bytes(4, "little") for i in range(len(self.vocabulary.pieces))])
+    def _literals(self) -> dict[str, Column]:
+        v = self.vocabulary
+        return {
+            "bytes": json_literal([v.ranks[bytes([b])] for b in range(256)], "array<bigint>"), "ranks": rank_map(v.merges),
+            "pieces": _strings(v.pieces), "four": _strings([i.to_bytes(4, "little") for i in range(len(v.pieces))]),
+        }
 
     def _forget(self) -> None:
-        self.one_row, self.table, self.table_size = None, json_literal([None], "array<map<string,array<bigint>>>"), 1
+        self.one_row, self.table_size = None, 1
+        self.env = F.struct(json_literal([None], "array<map<string,array<bigint>>>").alias("table"), *(c.alias(name) for name, c in self._literals().items()))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -207,33 +208,33 @@ class ByteBpe:
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
         counts = picked.filter(F.length("word").between(1, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-        # The words are folded in a plan of their own, which adaptive execution never plans anew: each plan's text holds the rank map.
+        # Literals stand in plans that adaptive execution never plans anew, each of one step: a plan's text holds them whole.
         entries = cut(cut(top).select("word", self.encode_words(F.array("word"))[0].alias("ids")))
         self.table_size = 1 << 18  # one word a bucket: Spark looks through a map from its start
         filled = entries.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), F.struct("word", "ids").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
         buckets = docs.sparkSession.range(self.table_size).select(F.col("id").alias("at")).join(filled, "at", "left")
         ordered = F.sort_array(F.collect_list(F.struct("at", "words")))
-        row = cut(buckets.agg(F.transform(ordered, lambda b: F.map_from_entries(b["words"])).alias("table")))
-        self.one_row = row  # bounded by words
-        self.table = F.col(TABLE)
+        table = cut(buckets.agg(F.transform(ordered, lambda b: F.map_from_entries(b["words"])).alias("table")))
+        self.one_row = cut(table.select(F.struct("table", *(c.alias(name) for name, c in self._literals().items())).alias(ENV)))  # bounded by words
+        self.env = F.col(ENV)
         return self
 
     def over(self, docs: DataFrame) -> DataFrame:
-        """docs with the table as a column, from which encode reads it.
+        """docs with env as a column, from which the methods read it.
 
         It is a scalar subquery, which the optimizer puts in place of the column: it comes once to each task as one block of bytes.
         """
-        return docs if self.one_row is None else docs.withColumn(TABLE, self.one_row.scalar())
+        return docs if self.one_row is None else docs.withColumn(ENV, self.one_row.scalar())
 
     def encode_words(self, words: Column) -> Column:
         """The ids of each of an array of words."""
 
-        def one(word: Column, table: Column, byte_ids: Column, ranks: Column) -> Column:
-            known = F.try_element_at(F.get(table, F.pmod(F.xxhash64(word), F.lit(self.table_size)).cast("int")), word)
-            return F.coalesce(known, fold_word(word, byte_ids, ranks))
+        def one(word: Column, env: Column) -> Column:
+            known = F.try_element_at(F.get(env["table"], F.pmod(F.xxhash64(word), F.lit(self.table_size)).cast("int")), word)
+            return F.coalesce(known, fold_word(word, env["bytes"], env["ranks"]))
 
-        env = F.struct(self.table.alias("table"), self.byte_ids.alias("bytes"), self.ranks.alias("ranks"))
-        return _let(env, lambda e: F.transform(words, lambda w: one(w, e["table"], e["bytes"], e["ranks"])))
+        read = F.struct(*(self.env[name].alias(name) for name in ("table", "bytes", "ranks")))
+        return _let(read, lambda env: F.transform(words, lambda w: one(w, env)))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text, as the tiktoken library's encode_ordinary gives them; null and empty texts have none."""
@@ -241,23 +242,30 @@ class ByteBpe:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids."""
-        return _let(self.pieces, lambda pieces: _joined(ids, pieces))
+        return _let(self.env["pieces"], lambda pieces: _joined(ids, pieces))
 
     def packed(self, ids: Column) -> Column:
         """The ids as little-endian unsigned 32-bit integers."""
-        return _let(self.little_endian, lambda four: _joined(ids, four))
+        return _let(self.env["four"], lambda four: _joined(ids, four))
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe, text: str = "text") -> DataFrame:
-    """docs with a column ids; rows and columns stay (a column ids is replaced), a null text has no ids, and nothing is shuffled."""
+    """docs with a column ids; rows and columns stay (a column ids is replaced), and nothing is shuffled.
+
+    A null or empty text has no ids; texts of any length are encoded whole; repeated rows are encoded alike; an empty table stays empty.
+    """
+    env = free_name(docs, ENV)
+    if env != ENV:
+        return encode_documents(docs.withColumnRenamed(ENV, env), bpe, text).withColumnRenamed(env, ENV)
     return bpe.over(docs).select(*(F.col(c) for c in docs.columns if c != "ids"), bpe.encode(F.col(text)).alias("ids"))
 
 
 def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: the ids are made once and read twice.
 
-    Null texts are empty; repeated rows are encoded alike; an empty table gives no rows; other columns aren't read.
+    Null texts are empty; whole texts of any length are read; repeated rows are encoded alike; an empty table gives no rows; other columns
+    aren't read.
     """
     ids = bpe.over(docs.select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    row = _let(F.col("ids"), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(bpe.packed(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256")))
-    return ids.select("doc_id", row.alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
+    row = lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(bpe.packed(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+    return bpe.over(ids).select("doc_id", _let(F.col("ids"), row).alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
