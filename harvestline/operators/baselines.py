@@ -24,6 +24,12 @@ def last_rows_level(rows: DataFrame, k: int = 4) -> DataFrame:
     return rows.withColumn("rn", rn).filter(F.col("rn") <= k).groupBy("id").agg(F.avg("units").alias("level"))
 
 
+def last_rows_peak(rows: DataFrame, k: int = 13) -> DataFrame:
+    """The most units of each series' own last k rows, which spares promotions' peaks."""
+    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("week_start_date")))
+    return rows.withColumn("rn", rn).filter(F.col("rn") <= k).groupBy("id").agg(F.max("units").cast("double").alias("scale"))
+
+
 def moving_average(train: DataFrame, test: DataFrame, k: int = 4) -> DataFrame:
     return test.join(ma_level(train, k), "id", "left").select("id", "week_start_date", F.coalesce("level", F.lit(0.0)).alias("pred"))
 
@@ -126,6 +132,12 @@ def calibration_factor(pred: DataFrame, actual: DataFrame) -> DataFrame:
     return pred.join(a, ["id", "week_start_date"]).agg((F.sum("units") / F.greatest(F.sum("pred"), F.lit(1e-9))).alias("factor"))
 
 
+def calibrated(pred: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Forecasts (pred) times actual over forecast units of the calibration rows (units, pred), one factor for all."""
+    factor = calibration.agg((F.sum("units") / F.greatest(F.sum("pred"), F.lit(1e-9))).alias("factor"))
+    return pred.crossJoin(F.broadcast(factor)).withColumn("pred", F.col("pred") * F.coalesce("factor", F.lit(1.0))).drop("factor")  # one row
+
+
 def seasonal_decompose(train: DataFrame, group: str = "dept_id", period: int = 52) -> DataFrame:
     """Multiplicative index by phase: units over a centred moving average with half weights at its ends, averaged and scaled to mean 1."""
     half = period // 2

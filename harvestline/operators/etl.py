@@ -86,7 +86,7 @@ def price_per_unit(rows: DataFrame) -> DataFrame:
 
 
 def upsert(points: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The last writer of each key; an update wins over what it meets."""
-    both = points.unionByName(updates)
-    order = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return both.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    """The last writer of each key: the highest version, and of equal versions the update."""
+    both = points.withColumn("__update", F.lit(0)).unionByName(updates.withColumn("__update", F.lit(1)))
+    order = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("__update"))
+    return both.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__update")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import ratio
+from harvestline.sources.shared import cut
 
 #: Grouping keys of the twelve levels; fixed by the metric's definition.
 LEVELS = {
@@ -72,6 +73,49 @@ def bias(actual: DataFrame, pred: DataFrame) -> DataFrame:
     return total.select(F.when(F.col("a") > 0, (F.col("p") - F.col("a")) / F.col("a")).alias("bias"))
 
 
+def score_models(train: DataFrame, actual: DataFrame, models: dict[str, DataFrame], levels: dict[int, list[str]] = LEVELS) -> DataFrame:
+    """model, level, sid, rmsse, mase, weight, units, pred of all models: scale and weights are made once, errors by one aggregate.
+
+    Predictions are columns of the actual rows, 0 where a model has none; a key that a model has twice fails the job.
+    """
+    names = list(models)
+    preds = None
+    for name, pred in models.items():
+        one = pred.select("id", "week_start_date", F.lit(name).alias("model"), "pred")
+        preds = one if preds is None else preds.unionByName(one)
+    most = F.greatest(*(F.count_if(F.col("model") == name) for name in names), F.lit(0))
+    wide = preds.groupBy("id", "week_start_date").agg(most.alias("most"), *(F.max(F.when(F.col("model") == name, F.col("pred"))).alias(f"pred_{k}") for k, name in enumerate(names)))
+    wide = wide.withColumn("bad", F.assert_true(F.col("most") <= 1, "a key is twice in the predictions")).filter(F.col("bad").isNull()).drop("bad", "most")
+    rows = actual.join(wide, ["id", "week_start_date"], "left").fillna(0.0, [f"pred_{k}" for k in range(len(names))])
+    both = by_level(rows, levels).groupBy("level", "sid", "week_start_date").agg(F.sum("units").alias("units"), *(F.sum(f"pred_{k}").alias(f"pred_{k}") for k in range(len(names))))
+    each = both.select("level", "sid", "units", F.explode(F.array(*(F.struct(F.lit(name).alias("model"), F.col(f"pred_{k}").alias("pred")) for k, name in enumerate(names)))).alias("m")).select("level", "sid", "units", "m.*")
+    e = F.col("units") - F.col("pred")
+    error = each.groupBy("model", "level", "sid").agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum("units").alias("units"), F.sum("pred").alias("pred"))
+    history = cut(level_agg(train, levels))
+    base = naive_scale(history).join(level_weights(history), ["level", "sid"])
+    joined = error.join(base, ["level", "sid"], "left")
+    return joined.select("model", "level", "sid", F.sqrt(F.col("mse") / F.col("scale")).alias("rmsse"), (F.col("mae") / F.nullif("abs_scale", F.lit(0.0))).alias("mase"), "weight", "units", "pred")
+
+
+def model_levels(scores: DataFrame) -> DataFrame:
+    """model, level, wrmsse and the unweighted means, bias of each level of the scores; levels without weights have no wrmsse."""
+    known = F.col("rmsse").isNotNull() & F.col("weight").isNotNull()
+    total = F.sum(F.when(known, F.col("weight")))
+    return scores.groupBy("model", "level").agg(
+        F.when(total > 0, F.sum(F.when(known, F.col("weight") * F.col("rmsse"))) / total).alias("wrmsse"), F.avg("rmsse").alias("rmsse"), F.avg("mase").alias("mase"),
+        F.when(F.sum("units") > 0, (F.sum("pred") - F.sum("units")) / F.sum("units")).alias("bias"),
+    )
+
+
+def model_metrics(scores: DataFrame) -> DataFrame:
+    """One row for each model: WRMSSE of 12 and 9 levels, unweighted RMSSE and MASE of the lowest level, bias."""
+    low = lambda c: F.max(F.when(F.col("level") == 12, F.col(c)))
+    return model_levels(scores).groupBy("model").agg(
+        F.avg("wrmsse").alias("wrmsse12"), F.avg(F.when(F.col("level").isin(*UNIQUE), F.col("wrmsse"))).alias("wrmsse9"), low("rmsse").alias("rmsse_l12"), low("mase").alias("mase_l12"),
+        F.max(F.when(F.col("level") == 1, F.col("bias"))).alias("bias"),
+    )
+
+
 def all_metrics(train: DataFrame, actual: DataFrame, pred: DataFrame) -> DataFrame:
     """One row: WRMSSE of 12 and 9 levels, unweighted RMSSE and MASE of the lowest level, bias."""
     scores = rmsse(train, actual, pred)

@@ -22,6 +22,8 @@ NUMERIC = [*(f"log_lag_{k}" for k in LAGS[:5]), *(f"log_rmean_{m}" for m in MEAN
 #: What a part of the forecast is without: the columns of each feature group and their neutral values.
 NEUTRAL = {"seasonality": {"woy_sin": 0.0, "woy_cos": 0.0}, "events": {"event_days": 0.0, "snap_days": 0.0}}
 
+NEUTRAL_COLUMNS = [c for values in NEUTRAL.values() for c in values]
+
 
 def prepare(frame: DataFrame) -> DataFrame:
     """Logarithms of counts, so that a log link is close to linear in them; unknown values are 0."""
@@ -41,11 +43,9 @@ def fit_tweedie(frame: DataFrame, power: float = 1.1, ridge: float = 1e-3) -> Pi
 
 
 def predict(model: PipelineModel, frame: DataFrame, factor: float = 1.0) -> DataFrame:
-    """id, week, h, pred: never negative, calibrated, 0 where nothing was available; a runaway forecast is held at ten times the recent maximum."""
-    out = model.transform(frame)
-    top = 10 * F.greatest(F.coalesce(F.col("rmax_13").cast("double"), F.lit(0.0)), F.lit(1.0))
-    pred = F.when(F.col("available_days") == 0, 0.0).otherwise(F.least(F.greatest("raw", F.lit(0.0)), top) * factor)
-    return out.select("id", "dept_id", "week_start_date", "h", "units", pred.alias("pred"))
+    """id, week, h, pred: never negative, 0 where nothing was available; runaway forecasts are left to the fallback."""
+    pred = F.when(F.col("available_days") == 0, 0.0).otherwise(F.greatest("raw", F.lit(0.0)) * factor)
+    return model.transform(frame).select("id", "dept_id", "week_start_date", "h", "units", pred.alias("pred"))
 
 
 def interval(pred: DataFrame, calibration: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -58,13 +58,16 @@ def interval(pred: DataFrame, calibration: DataFrame, low: float = 0.1, high: fl
 
 
 def decompose(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """The forecast as a base and what each feature group adds to it; the parts sum to the whole."""
-    whole = predict(model, frame).select("id", "week_start_date", "h", F.col("pred").alias("total"))
-    for name, values in NEUTRAL.items():
-        without = predict(model, frame.withColumns({c: F.lit(v) for c, v in values.items()})).select("id", "week_start_date", "h", F.col("pred").alias(f"no_{name}"))
-        whole = whole.join(without, ["id", "week_start_date", "h"])
-    parts = {name: F.col("total") - F.col(f"no_{name}") for name in NEUTRAL}
-    out = whole.withColumns(parts)
+    """The raw forecast as a base and what each feature group adds to it; the parts sum to the whole.
+
+    Each row is forecast as it is and once without each group, side by side: no join.
+    """
+    groups = {"": {}} | NEUTRAL
+    copies = F.array(*(F.struct(F.lit(name).alias("without"), *(F.lit(values[c]).alias(c) if c in values else F.col(c).alias(c) for c in NEUTRAL_COLUMNS)) for name, values in groups.items()))
+    rest = [c for c in frame.columns if c not in NEUTRAL_COLUMNS]
+    raw = model.transform(frame.withColumn("copy", F.explode(copies)).select(*rest, "copy.*"))
+    of = lambda name: F.max(F.when(F.col("without") == name, F.col("raw")))
+    out = raw.groupBy("id", "week_start_date", "h").agg(of("").alias("total"), *((of("") - of(name)).alias(name) for name in NEUTRAL))
     base = F.col("total")
     for name in NEUTRAL:
         base = base - F.col(name)

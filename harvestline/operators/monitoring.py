@@ -52,7 +52,7 @@ def promo_flag(matched: DataFrame) -> DataFrame:
 
 def segments(history: DataFrame, origin: DataFrame) -> DataFrame:
     """coldstart under 26 weeks of history, else intermittent under a mean of 1, else frequent; history up to the one-row origin."""
-    past = history.filter("n_days = 7").crossJoin(F.broadcast(origin)).filter("week_start_date <= origin and available_days > 0")
+    past = history.filter("n_days = 7").crossJoin(F.broadcast(origin)).filter("week_start_date <= origin")
     stats = past.groupBy("id").agg(F.count(F.lit(1)).alias("n_weeks"), F.avg("units").alias("mu"))
     segment = F.when(F.col("n_weeks") < 26, "coldstart").when(F.col("mu") < 1, "intermittent").otherwise("frequent")
     return stats.select(F.col("id").alias("series_id"), segment.alias("segment"))
@@ -68,7 +68,7 @@ def fva(matched: DataFrame, past: DataFrame) -> DataFrame:
 
 def freshness(history: DataFrame) -> DataFrame:
     """Latest full week, number of weeks, share of the series of the last 13 weeks that the latest one has."""
-    full = history.filter("n_days = 7 and units > 0")
+    full = history.filter("n_days = 7")
     latest = full.agg(F.max("week_start_date").alias("latest"))
     rows = full.crossJoin(F.broadcast(latest))
     now = F.count_distinct(F.when(F.col("week_start_date") == F.col("latest"), F.col("id")))
@@ -78,7 +78,7 @@ def freshness(history: DataFrame) -> DataFrame:
 
 def churn(history: DataFrame, weeks: int = 13) -> DataFrame:
     """New, dead and active series of two windows side by side; one pass, one row a series."""
-    sold = history.filter("n_days = 7 and units > 0")
+    sold = history.filter("n_days = 7")
     latest = history.filter("n_days = 7").agg(F.max("week_start_date").alias("latest"))
     rows = sold.crossJoin(F.broadcast(latest)).filter(F.col("week_start_date") > F.date_sub("latest", 14 * weeks))
     flags = rows.withColumn("recent", F.col("week_start_date") > F.date_sub("latest", 7 * weeks)).groupBy("id").agg(F.bool_or("recent").alias("now"), F.bool_or(~F.col("recent")).alias("then"))

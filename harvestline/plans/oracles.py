@@ -40,7 +40,7 @@ _CTES = {
     "matched": """SELECT q.*, p.units, p.state_id, p.snap_days, p.event_days FROM last q
         JOIN panel p ON p.id = q.series_id AND p.week_start_date = q.week_start_date AND p.n_days = 7""",
     "seg": """SELECT id AS series_id, CASE WHEN count(*) < 26 THEN 'coldstart' WHEN avg(units) < 1 THEN 'intermittent' ELSE 'frequent' END AS segment
-        FROM panel WHERE n_days = 7 AND back >= 9 AND available_days > 0 GROUP BY id""",
+        FROM panel WHERE n_days = 7 AND back >= 9 GROUP BY id""",
     "cal": """SELECT date, day(date) <= 10 AS a, day(date) % 2 AS b, day(date) > 20 AS c,
         CASE WHEN dayofyear(date) IN (1, 185, 359) THEN 'holiday' WHEN dayofyear(date) % 30 = 7 THEN 'match' END AS name1,
         CASE WHEN dayofyear(date) IN (1, 185) THEN 'National' WHEN dayofyear(date) = 359 THEN 'Religious' WHEN dayofyear(date) % 30 = 7 THEN 'Sporting' END AS type1,
@@ -49,10 +49,10 @@ _CTES = {
     "weekly_ev": """SELECT week_start_date, count(*) FILTER (type2 = 'Cultural') AS n_cultural, count(*) FILTER (type1 = 'National') AS n_national,
         count(*) FILTER (type1 = 'Religious') AS n_religious, count(*) FILTER (type1 = 'Sporting') AS n_sporting FROM cal GROUP BY 1""",
     "daily": """SELECT p_brand AS item_id, n_name AS store_id, r_name AS state_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS units,
-        CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS paid
+        sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS paid
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
-    "wprice": """SELECT store_id, item_id, date_trunc('week', date) AS w, round(sum(paid) / sum(units), 2) AS sell_price FROM daily GROUP BY ALL HAVING sum(units) > 20""",
+    "wprice": """SELECT store_id, item_id, date_trunc('week', date) AS w, floor(CAST(sum(paid) AS DOUBLE) / CAST(sum(units) AS DOUBLE) * 100 + 0.5) / 100 AS sell_price FROM daily GROUP BY ALL HAVING sum(units) > 20""",
     "priced": "SELECT d.*, sell_price FROM daily d LEFT JOIN wprice p ON p.store_id = d.store_id AND p.item_id = d.item_id AND p.w = date_trunc('week', d.date)",
     "promo": """SELECT *, CASE WHEN rel < 0.9 THEN 1 ELSE 0 END AS is_promo FROM (SELECT *, sell_price / nullif(med, 0) AS rel FROM (
         SELECT *, CASE WHEN count(sell_price) OVER w >= 8 THEN quantile_cont(sell_price, 0.5) OVER w END AS med FROM panel
@@ -226,7 +226,7 @@ _BODIES = {
     "level_heatmap": " UNION ALL ".join(f"SELECT level, round(wrmsse, 4) AS wrmsse, '{n}' AS model FROM w_{m}" for m, n in (("ma4", "ma4"), ("snaive", "seasonal_naive"), ("sma", "seasonal_ma"))),
     "segment_wape": """SELECT a.cat_id, a.state_id, round(sum(abs(a.units - a.pred)) / nullif(sum(a.units), 0), 3) AS ma4, round(sum(abs(a.units - b.pred)) / nullif(sum(a.units), 0), 3) AS seasonal_naive
         FROM e_ma4 a JOIN e_snaive b ON a.id = b.id AND a.week_start_date = b.week_start_date GROUP BY 1, 2""",
-    "reconcile_mo": """SELECT id, item_id, week_start_date, round(coalesce(g * CASE WHEN t > 0 THEN pred / t ELSE 1.0 / n END, pred), 4) AS pred FROM (
+    "reconcile_mo": """SELECT id, item_id, week_start_date, floor(coalesce(g * CASE WHEN t > 0 THEN pred / t ELSE CAST(1 AS DOUBLE) / n END, pred) * 10000 + 0.5) / 10000 AS pred FROM (
         SELECT s.id, a.item_id, a.week_start_date, s.pred, sum(s.pred) OVER v AS t, count(*) OVER v AS n FROM snaive s JOIN actual a ON a.id = s.id AND a.week_start_date = s.week_start_date
         WINDOW v AS (PARTITION BY a.item_id, a.week_start_date)) JOIN (SELECT item_id, avg(u) AS g FROM (SELECT item_id, back, sum(units) AS u FROM panel WHERE back BETWEEN 9 AND 12 GROUP BY 1, 2) GROUP BY 1) USING (item_id)""",
     "reconciled_gap": """SELECT 'before' AS stage, round(max(abs(t - g)) FILTER (t > 1e-9), 4) AS gap FROM (SELECT item_id, a.week_start_date, sum(s.pred) AS t FROM snaive s JOIN actual a ON a.id = s.id AND a.week_start_date = s.week_start_date GROUP BY 1, 2)
@@ -259,7 +259,7 @@ _BODIES = {
         UNION ALL SELECT series_id, week_start_date, run_id + 1, p50 + 1 FROM last) GROUP BY 1, 2""",
     "rearrange_quantiles": "SELECT run_id, series_id, week_start_date, h, p10, p50, p90 FROM last",
     "apply_fallback": """SELECT run_id, series_id, week_start_date, h, CASE WHEN bad THEN 0.5 * level ELSE p10 END AS p10, CASE WHEN bad THEN level ELSE p50 END AS p50, CASE WHEN bad THEN 1.5 * level ELSE p90 END AS p90, bad FROM (
-        SELECT q.*, level, series_id LIKE '%NATION_3' OR bool_or(p50 > 10 * greatest(m, 1)) OVER (PARTITION BY series_id) AS bad FROM last q JOIN ma ON ma.id = series_id JOIN (SELECT id, avg(units) AS m FROM train GROUP BY 1) t ON t.id = series_id)""",
+        SELECT q.*, level, series_id LIKE '%NATION_3' OR bool_or(p50 > 10 * greatest(m, 1)) OVER (PARTITION BY series_id) AS bad FROM last q JOIN ma ON ma.id = series_id JOIN (SELECT id, max(units) AS m FROM train WHERE back <= 21 GROUP BY 1) t ON t.id = series_id)""",
     "series_forecast": """SELECT week_start_date, 'history' AS kind, CAST(units AS DOUBLE) AS value FROM panel WHERE back BETWEEN 2 AND 41 AND id = (SELECT id FROM panel GROUP BY id ORDER BY sum(units) DESC, id LIMIT 1)
         UNION ALL SELECT week_start_date, 'forecast', p50 FROM last WHERE series_id = (SELECT id FROM panel GROUP BY id ORDER BY sum(units) DESC, id LIMIT 1)""",
     "chart_context": """SELECT week_start_date, units, 'history' AS kind FROM total JOIN wk USING (week_start_date) WHERE back BETWEEN 9 AND 38
@@ -275,7 +275,7 @@ _BODIES = {
         FROM points q JOIN panel p ON p.id = q.series_id AND p.week_start_date = q.week_start_date AND p.n_days = 7 JOIN (SELECT id, avg(units) AS level FROM panel WHERE back BETWEEN 15 AND 18 GROUP BY 1) l ON l.id = q.series_id WHERE run_id = 4)""",
     "planning_bias": f"SELECT max(abs(bias)) AS planning_bias FROM (SELECT state_id, {_ACC} FROM matched GROUP BY 1)",
     "data_freshness": """SELECT max(l) AS latest, count(DISTINCT week_start_date) AS n_weeks, round(CAST(count(DISTINCT id) FILTER (week_start_date = l) AS DOUBLE) / nullif(count(DISTINCT id) FILTER (week_start_date > l - 91), 0), 4) AS completeness
-        FROM (SELECT *, max(week_start_date) OVER () AS l FROM panel WHERE n_days = 7 AND units > 0)""",
+        FROM (SELECT *, max(week_start_date) OVER () AS l FROM panel WHERE n_days = 7)""",
     "assortment_churn": """SELECT count(*) FILTER (a AND NOT b) AS "new", count(*) FILTER (b AND NOT a) AS dead, count(*) FILTER (a) AS active FROM (
         SELECT id, bool_or(back BETWEEN 2 AND 14) AS a, bool_or(back BETWEEN 15 AND 27) AS b FROM panel WHERE units > 0 AND back BETWEEN 2 AND 27 GROUP BY id)""",
     "run_coverage": "SELECT run_id, round(CAST(count(DISTINCT series_id) AS DOUBLE) / any_value(n_series), 4) AS coverage FROM runs JOIN points USING (run_id) GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.functions import r4, ratio
@@ -18,6 +18,7 @@ from harvestline.operators import models as ML
 from harvestline.operators import monitoring as O
 from harvestline.operators import runs as R
 from harvestline.sources import retail as S
+from harvestline.sources.shared import cut
 from harvestline.streaming import hist_quantile, stream_rate, stream_score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,13 +67,18 @@ QUERIES["weekly_events"] = lambda spark, sf: L.weekly_events(L.calendar(S.calend
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sales(spark, sf).groupBy("item_id", "store_id", "state_id", F.col("day").alias("date")).agg(F.sum("l_quantity").cast("long").alias("units"), F.sum("revenue").cast("double").alias("paid"))
+    return S.sales(spark, sf).groupBy("item_id", "store_id", "state_id", F.col("day").alias("date")).agg(F.sum("l_quantity").cast("long").alias("units"), F.sum("revenue").alias("paid"))
+
+
+def cents(value: Column, places: int) -> Column:
+    """value to the nearest 1 / places, by operations that all engines do alike (round() takes halves in several ways)."""
+    return F.floor(value * places + 0.5) / places
 
 
 def weekly_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """A price for each item, store and week in which over 20 were sold; others have none."""
+    """A price in cents for each item, store and week in which over 20 were sold; others have none. What was paid is summed exactly."""
     rows = daily(spark, sf).withColumn("week_start_date", F.to_date(F.date_trunc("week", "date"))).groupBy("store_id", "item_id", "week_start_date").agg(F.sum("units").alias("u"), F.sum("paid").alias("p"))
-    return rows.filter("u > 20").select("store_id", "item_id", F.col("week_start_date").alias("wm_yr_wk"), F.round(F.col("p") / F.col("u"), 2).alias("sell_price"))
+    return rows.filter("u > 20").select("store_id", "item_id", F.col("week_start_date").alias("wm_yr_wk"), cents(F.col("p").cast("double") / F.col("u"), 100).alias("sell_price"))
 
 
 @query
@@ -164,7 +170,7 @@ def reconciled(t: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bottom, B.group_forecast(t, a, "item_id")
 
 
-on_holdout("reconcile_mo", lambda t, a: rounded(B.middle_out(*reconciled(t, a), "item_id"), "pred"))
+on_holdout("reconcile_mo", lambda t, a: B.middle_out(*reconciled(t, a), "item_id").withColumn("pred", cents(F.col("pred"), 10_000)))
 
 
 def _gap(t: DataFrame, a: DataFrame) -> DataFrame:
@@ -192,16 +198,13 @@ def models_of(t: DataFrame, a: DataFrame) -> dict[str, DataFrame]:
     return {"ma4": B.moving_average(t, a), "seasonal_naive": B.seasonal_naive(t, a), "seasonal_ma": B.seasonal_ma(t, a)}
 
 
-def _by_model(t: DataFrame, a: DataFrame, f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    out = None
-    for name, pred in models_of(t, a).items():
-        one = f(t, a, pred).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def on_cut_holdout(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """For what reads the panel many times: it is made once."""
+    QUERIES[name] = lambda spark, sf: f(*S.holdout(cut(S.panel(spark, sf))))
 
 
-on_holdout("score_models", lambda t, a: rounded(_by_model(t, a, M.all_metrics), "wrmsse12", "wrmsse9", "rmsse_l12", "mase_l12", "bias"))
-on_holdout("level_heatmap", lambda t, a: rounded(_by_model(t, a, lambda t, a, p: M.wrmsse_by_level(M.rmsse(t, a, p))), "wrmsse"))
+on_cut_holdout("score_models", lambda t, a: rounded(M.model_metrics(M.score_models(t, a, models_of(t, a))), "wrmsse12", "wrmsse9", "rmsse_l12", "mase_l12", "bias"))
+on_cut_holdout("level_heatmap", lambda t, a: rounded(M.model_levels(M.score_models(t, a, models_of(t, a))).filter("wrmsse is not null").select("model", "level", "wrmsse"), "wrmsse"))
 
 
 def _segment(t: DataFrame, a: DataFrame) -> DataFrame:
@@ -214,8 +217,8 @@ on_holdout("segment_wape", _segment)
 
 
 def fold_scores(p: DataFrame) -> DataFrame:
-    """WAPE of the models in four folds of eight weeks."""
-    rows = S.with_back(p)
+    """WAPE of the models in four folds of eight weeks; the panel is made once."""
+    rows = cut(S.with_back(p))
     out = None
     for k in range(4):
         a, t = rows.filter(F.col("back").between(8 * k + 1, 8 * k + 8)).drop("back"), rows.filter(F.col("back") > 8 * k + 8).drop("back")
@@ -255,9 +258,9 @@ on_runs("rearrange_quantiles", lambda p, r, q: B.rearrange(last_run(q).withColum
 
 def _fallback(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
     t, _ = S.holdout(p)
+    named = lambda df: df.withColumnRenamed("id", "series_id")
     wild = last_run(q).withColumn("p50", F.when((F.col("h") == 3) & F.col("series_id").like("%NATION_3"), F.lit(1e9)).otherwise(F.col("p50")))
-    scale = t.groupBy(F.col("id").alias("series_id")).agg(F.avg("units").alias("scale"))
-    return B.apply_fallback(wild, scale, B.last_rows_level(t).withColumnRenamed("id", "series_id"))
+    return B.apply_fallback(wild, named(B.last_rows_peak(t)), named(B.last_rows_level(t)))
 
 
 on_runs("apply_fallback", _fallback)
@@ -303,9 +306,20 @@ on_panel("drift_psi", lambda p: O.psi(O.drift_windows(p, S.origin_of(p)), "sell_
 on_panel("drift_ks", lambda p: O.ks(O.drift_windows(p, S.origin_of(p)), "sell_price").unionByName(O.ks(O.drift_windows(p, S.origin_of(p)), "units")))
 
 
+def on_cut_runs(name: str, f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
+    """For what reads panel, runs and points many times: each is made once."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        p = cut(S.panel(spark, sf))
+        r = cut(S.runs(p))
+        return f(p, r, cut(S.points(p, r)))
+
+    QUERIES[name] = run
+
+
 def report(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
     """One row of all measures of the last run. Each part is one row."""
-    m = O.with_actuals(last_run(q), p)
+    m = cut(O.with_actuals(last_run(q), p))
     promo = O.accuracy_by(O.promo_flag(m), "promo").filter("promo").select(F.col("wmape").alias("promo_wmape"))
     parts = [
         O.accuracy(m).select("wmape", "bias", "coverage"), O.planning_bias(O.accuracy_by(m, "state_id")), O.freshness(p).select("completeness"),
@@ -318,9 +332,9 @@ def report(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
     return out
 
 
-on_runs("gate", lambda p, r, q: O.gate(report(p, r, q)).select(F.concat_ws(",", "warnings").alias("warnings"), "degraded"))
-on_runs("gauges", lambda p, r, q: O.gauges(report(p, r, q)))
-on_runs("alerts", lambda p, r, q: O.alerts(O.gauges(report(p, r, q))).select("name", "firing"))
+on_cut_runs("gate", lambda p, r, q: O.gate(report(p, r, q)).select(F.concat_ws(",", "warnings").alias("warnings"), "degraded"))
+on_cut_runs("gauges", lambda p, r, q: O.gauges(report(p, r, q)))
+on_cut_runs("alerts", lambda p, r, q: O.alerts(O.gauges(report(p, r, q))).select("name", "firing"))
 on_holdout("deploy_gate", lambda t, a: M.wrmsse(M.rmsse(t, a, B.moving_average(t, a))).select((F.col("wrmsse") <= O.DEPLOY_WRMSSE).alias("deploy")))
 
 
@@ -353,17 +367,25 @@ on_panel("cold_split", lambda p: ML.cold_split(p, 20).groupBy("item_id", "cold")
 
 
 def _fit(p: DataFrame) -> tuple[object, DataFrame]:
-    frame = ML.prepare(S.with_back(X.build_direct(p)))
-    return ML.fit_tweedie(frame.filter("back > 16 and back <= 16 + 52 and available_days > 0 and lag_1 is not null")), frame
+    """A model of the 104 weeks before the calibration weeks, and the frame that it reads, made once for all passes of the fit."""
+    frame = ML.prepare(S.with_back(X.build_direct(p)).filter("back <= 16 + 104"))
+    used = ["id", "dept_id", "week_start_date", "units", "available_days", "back", "lag_1", "label", "weight", *ML.NUMERIC]
+    frame = cut(frame.select(*used))
+    return ML.fit_tweedie(frame.filter("back > 16 and available_days > 0 and lag_1 is not null")), frame
 
 
 def _score(p: DataFrame) -> DataFrame:
+    """The serving score: calibrated forecasts with intervals, and the moving average for series that run away."""
     model, frame = _fit(p)
     calibration = ML.predict(model, frame.filter("back between 9 and 16 and back = 17 - h"))
-    return ML.interval(ML.predict(model, frame.filter("back <= 8 and back = 9 - h")), calibration)
+    pred = B.calibrated(ML.predict(model, frame.filter("back <= 8 and back = 9 - h")), calibration)
+    points = ML.interval(pred, B.calibrated(calibration, calibration)).withColumn("run_id", F.lit(1).cast("long"))
+    named = lambda df: df.withColumnRenamed("id", "series_id")
+    t, _ = S.holdout(p)
+    return B.apply_fallback(points, named(B.last_rows_peak(t)), named(B.last_rows_level(t))).drop("run_id", "bad")
 
 
-on_panel("score", _score)
+QUERIES["score"] = lambda spark, sf: _score(cut(S.panel(spark, sf)))
 
 
 def _decompose(p: DataFrame) -> DataFrame:
@@ -371,7 +393,7 @@ def _decompose(p: DataFrame) -> DataFrame:
     return ML.decompose(model, frame.filter("back <= 8 and back = 9 - h"))
 
 
-on_panel("decompose", _decompose)
+QUERIES["decompose"] = lambda spark, sf: _decompose(cut(S.panel(spark, sf)))
 
 
 @query

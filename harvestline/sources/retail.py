@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import ratio, week_of
+from harvestline.sources.shared import cut
 
 KEYS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 RUNS, HORIZON, CHUNK = 6, 8, 300
@@ -63,8 +64,9 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense weekly panel: every series in every week, zero where nothing was sold."""
-    cells = weekly_cells(spark, sf_dir)
-    grid = cells.select(*KEYS).distinct().crossJoin(cells.select("week_start_date").distinct())  # series x weeks is the panel itself
+    cells = cut(weekly_cells(spark, sf_dir))  # the table is read and summed once for the series, the weeks and the cells
+    weeks = cells.select("week_start_date").distinct()
+    grid = cells.select(*KEYS).distinct().join(F.broadcast(weeks))  # series x weeks is the panel itself; weeks are few by nature
     by_week = Window.partitionBy("id").orderBy("week_start_date")
     dense = grid.join(cells.select("id", "week_start_date", "units", "revenue"), ["id", "week_start_date"], "left")
     first = F.min(F.when(F.col("units") > 0, F.col("week_start_date"))).over(Window.partitionBy("id"))

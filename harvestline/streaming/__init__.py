@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
+from harvestline.sources.shared import shared_folder
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append") -> None:
@@ -24,21 +21,24 @@ def drain(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFram
 
 
 def stream_rate(spark: SparkSession, sf_dir: str, minutes: int = 10, slide: int = 5) -> DataFrame:
-    """Events a second by type in sliding windows; late ones are waited for an hour. The last windows are closed by a final, empty stretch of time."""
+    """Events a second by type in sliding windows; each batch writes the windows that it changed, and state is kept for an hour of event time.
+
+    An event that comes over an hour behind the latest one is dropped with its window's state.
+    """
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque*")
     counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    folder = f"{_shared(spark)}/rate-{uuid.uuid4().hex}"
-    drain(counts, f"{folder}/out", f"{folder}/state", lambda batch, _: batch.withColumn("seen", F.current_timestamp()), mode="complete")
+    folder = f"{shared_folder(spark)}/rate-{uuid.uuid4().hex}"
+    drain(counts, f"{folder}/out", f"{folder}/state", mode="update")
     last = spark.read.parquet(f"{folder}/out")
-    # Complete mode repeats all windows in each batch; the highest count of a window is the final one.
+    # A window that several batches changed is there with each count; counts only grow, so the highest is the final one.
     out = last.groupBy("window", "event_type").agg(F.max("n").alias("n"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round(F.col("n") / (60.0 * minutes), 6).alias("per_second"))
 
 
 def stream_score(spark: SparkSession, chunks: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score chunks as they come: at least once, written once; rows that a score refuses (p50 null) go to a dead-letter folder."""
-    folder = f"{_shared(spark)}/score-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/score-{uuid.uuid4().hex}"
     chunks.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
 

@@ -120,3 +120,12 @@ def test_contracts_count_and_stop(spark):
     assert (got["n_rows"], got["p10_negative"], got["not_monotone"], got["h_range"]) == (3, 1, 1, 1)
     with pytest.raises(Exception, match="contract"):
         C.enforce(bad, C.OUTPUT).collect()
+
+
+def test_an_update_wins_a_tie(spark):
+    from harvestline.operators import etl
+
+    old = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 1, 1.0)], "k string, v int, x double")
+    new = spark.createDataFrame([("a", 1, 9.0), ("b", 1, 9.0), ("d", 1, 9.0)], "k string, v int, x double")
+    got = {r["k"]: r["x"] for r in etl.upsert(old, new, ["k"], "v").collect()}
+    assert got == {"a": 9.0, "b": 1.0, "c": 1.0, "d": 9.0}

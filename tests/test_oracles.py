@@ -9,7 +9,7 @@ from harvestline.plans.oracles import ORACLES
 from harvestline.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["weekly_panel", "feat_price", "seasonal_ma", "croston", "wrmsse", "accuracy_vs_actual", "drift_ks", "chunk_plan", "eda_pareto", "hist_quantile", "stream_rate"]
+SOME = ["weekly_panel", "join_prices", "reconcile_mo", "score_models", "level_heatmap", "apply_fallback", "gate", "segments", "data_freshness", "upsert_points", "cv_summary", "feat_price", "seasonal_ma", "croston", "wrmsse", "accuracy_vs_actual", "drift_ks", "chunk_plan", "eda_pareto", "hist_quantile", "stream_rate"]
 
 
 @pytest.fixture(scope="module")
