@@ -210,7 +210,7 @@ class ByteBpe:
         top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
         # Literals stand in plans that adaptive execution never plans anew, each of one step: a plan's text holds them whole.
         entries = cut(cut(top).select("word", self.encode_words(F.array("word"))[0].alias("ids")))
-        self.table_size = 1 << 18  # one word a bucket: Spark looks through a map from its start
+        self.table_size = 1 << max(words - 1, 1).bit_length()  # about one word a bucket: Spark looks through a map from its start
         filled = entries.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), F.struct("word", "ids").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
         buckets = docs.sparkSession.range(self.table_size).select(F.col("id").alias("at")).join(filled, "at", "left")
         ordered = F.sort_array(F.collect_list(F.struct("at", "words")))
