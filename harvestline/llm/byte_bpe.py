@@ -222,7 +222,8 @@ class ByteBpe:
     def over(self, docs: DataFrame) -> DataFrame:
         """docs with env as a column, from which the methods read it.
 
-        It is a scalar subquery, which the optimizer puts in place of the column: it comes once to each task as one block of bytes.
+        It is a scalar subquery, which the optimizer puts in place of the column: it comes once to each task as one block of bytes. That
+        holds where a select reads env once; a column that is read twice would be copied into each row.
         """
         return docs if self.one_row is None else docs.withColumn(ENV, self.one_row.scalar())
 
@@ -233,8 +234,7 @@ class ByteBpe:
             known = F.try_element_at(F.get(env["table"], F.pmod(F.xxhash64(word), F.lit(self.table_size)).cast("int")), word)
             return F.coalesce(known, fold_word(word, env["bytes"], env["ranks"]))
 
-        read = F.struct(*(self.env[name].alias(name) for name in ("table", "bytes", "ranks")))
-        return _let(read, lambda env: F.transform(words, lambda w: one(w, env)))
+        return _let(self.env, lambda env: F.transform(words, lambda w: one(w, env)))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text, as the tiktoken library's encode_ordinary gives them; null and empty texts have none."""
@@ -242,11 +242,11 @@ class ByteBpe:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids."""
-        return _let(self.env["pieces"], lambda pieces: _joined(ids, pieces))
+        return _let(self.env, lambda env: _joined(ids, env["pieces"]))
 
     def packed(self, ids: Column) -> Column:
         """The ids as little-endian unsigned 32-bit integers."""
-        return _let(self.env["four"], lambda four: _joined(ids, four))
+        return _let(self.env, lambda env: _joined(ids, env["four"]))
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe, text: str = "text") -> DataFrame:
@@ -267,5 +267,6 @@ def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     aren't read.
     """
     ids = bpe.over(docs.select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    row = lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(bpe.packed(ids), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
-    return bpe.over(ids).select("doc_id", _let(F.col("ids"), row).alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
+    row = lambda ids, env: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(_joined(ids, env["four"]), 256).alias("ids_sha256"), F.sha2(_joined(ids, env["pieces"]), 256).alias("decoded_sha256"))
+    both = _let(F.col("ids"), lambda ids: _let(bpe.env, lambda env: row(ids, env)))
+    return bpe.over(ids).select("doc_id", both.alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
