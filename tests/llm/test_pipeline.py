@@ -60,7 +60,7 @@ def test_run_is_that_of_brute_force(spark, tmp_path):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     left = expected(rows)
-    assert len(left) == 42 and {r[0] for r in left} >= {None, 7, 3}
+    assert len(left) == 42 and {r[0] for r in left} >= {None, 7, 103}
     known = {(r[0], tuple(own.encode_ordinary(r[1]))): r for r in left}
     copies = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in out)
     assert set(copies) <= set(known) and all(r["n_tokens"] == len(r["ids"]) for r in out)
