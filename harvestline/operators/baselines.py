@@ -150,6 +150,16 @@ def seasonal_decompose(train: DataFrame, group: str = "dept_id", period: int = 5
     return phase.withColumn("seasonal", F.col("raw") / F.avg("raw").over(Window.partitionBy(group))).drop("raw")
 
 
+def dept_seasonal_ma(train: DataFrame, test: DataFrame, k: int = 8, group: str = "dept_id") -> DataFrame:
+    """Moving average times the group's decomposed index of the week of the year, within [0, 3]; 1 where it has none."""
+    order = Window.partitionBy(group).orderBy("week_start_date")
+    weeks = train.select(group, "week_start_date").distinct().withColumn("phase", F.pmod(F.row_number().over(order) - 1, F.lit(52)).cast("int"))
+    index = weeks.join(seasonal_decompose(train, group), [group, "phase"]).groupBy(group, F.weekofyear("week_start_date").alias("woy")).agg(F.avg("seasonal").alias("idx"))
+    joined = test.withColumn("woy", F.weekofyear("week_start_date")).join(index, [group, "woy"], "left").join(ma_level(train, k), "id", "left")
+    pred = F.coalesce("level", F.lit(0.0)) * clip(F.coalesce("idx", F.lit(1.0)), 0.0, 3.0)
+    return joined.select("id", "week_start_date", F.greatest(pred, F.lit(0.0)).alias("pred"))
+
+
 def group_ratio(train: DataFrame, level: DataFrame, key: str = "dept_id", low: float = 0.05, high: float = 20.0) -> DataFrame:
     """Units over the sum of their series' levels, by group and week."""
     joined = train.join(level, "id", "left").groupBy(key, "week_start_date").agg(F.sum("units").alias("units"), F.sum(F.coalesce("level", F.lit(0.0))).alias("base"))

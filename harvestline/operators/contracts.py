@@ -29,6 +29,24 @@ OUTPUT = {
 }
 
 
+CALENDAR = {
+    "date_null": lambda: F.col("date").isNull(),
+    "d_num_range": lambda: F.col("d_num") < 1,
+    "snap_range": lambda: ~(F.col("snap_a").isin(0, 1) & F.col("snap_b").isin(0, 1) & F.col("snap_c").isin(0, 1)),
+    "has_event_range": lambda: ~F.col("has_event").between(0, 2),
+}
+PRICES = {
+    "item_null": lambda: F.col("item_id").isNull(),
+    "store_null": lambda: F.col("store_id").isNull(),
+    "price_not_positive": lambda: F.col("sell_price") <= 0,
+}
+
+
+def members(rules: dict[str, object], **closed: list[str]) -> dict[str, object]:
+    """The rules and one more for each column with a closed set of values, named <column>_unknown."""
+    return rules | {f"{name}_unknown": (lambda name=name, values=values: ~F.col(name).isin(values)) for name, values in closed.items()}
+
+
 def violations(rows: DataFrame, rules: dict[str, object]) -> DataFrame:
     """One row: n_rows and the number of rows that break each rule (an unknown test breaks none)."""
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.coalesce(rule(), F.lit(False))).alias(name) for name, rule in rules.items()))

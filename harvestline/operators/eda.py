@@ -48,10 +48,12 @@ def yoy(p: DataFrame) -> DataFrame:
     return years.select("year", r4("units").alias("units_per_week"), F.round("revenue", 2).alias("revenue_per_week"), F.round(100 * (ratio(F.col("units"), before) - 1), 2).alias("yoy_pct"))
 
 
-def season(p: DataFrame) -> DataFrame:
+def season(p: DataFrame, unit: str = "month") -> DataFrame:
+    """Quartiles of the weekly total by month or woy, the week of the year."""
+    of = {"month": F.month, "woy": F.weekofyear}[unit]
     q = F.percentile("units", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = weekly_total(p).groupBy(F.month("week_start_date").alias("month")).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
-    return out.select("month", "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    out = weekly_total(p).groupBy(of("week_start_date").alias(unit)).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+    return out.select(unit, "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
 
 def acf(p: DataFrame, lags: int = 60) -> DataFrame:
@@ -63,8 +65,8 @@ def acf(p: DataFrame, lags: int = 60) -> DataFrame:
     return rows.join(shifted, "i").groupBy("lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c")).crossJoin(F.broadcast(var)).select("lag", r4(F.col("c") / F.col("v")).alias("acf"))
 
 
-def pivot(p: DataFrame, states: list[str]) -> DataFrame:
-    return p.groupBy("cat_id").pivot("state_id", states).agg(F.sum("units"))
+def pivot(p: DataFrame, states: list[str], value: str = "units") -> DataFrame:
+    return p.groupBy("cat_id").pivot("state_id", states).agg(F.sum(value))
 
 
 def share(p: DataFrame) -> DataFrame:
@@ -111,6 +113,24 @@ def event_lift(p: DataFrame, n: int = 12) -> DataFrame:
     return out.select("woy", r4(F.col("mean") / F.nullif("base", F.lit(0.0))).alias("lift")).orderBy(F.desc("lift"), "woy").limit(n)
 
 
+def named_event_lift(p: DataFrame, cal: DataFrame, n: int = 12) -> DataFrame:
+    """Mean weekly total of the weeks of each named event against that of weeks without one, largest first."""
+    names = F.array_compact(F.array("event_name_1", "event_name_2"))
+    named = cal.select("week_start_date", F.explode(names).alias("event")).distinct()
+    total = weekly_total(p).select("week_start_date", "units")
+    base = total.join(named, "week_start_date", "left_anti").agg(F.avg("units").alias("base"))
+    out = total.join(named, "week_start_date").groupBy("event").agg(F.avg("units").alias("mean")).crossJoin(F.broadcast(base))  # one row
+    return out.select("event", r4(F.col("mean") / F.nullif("base", F.lit(0.0))).alias("lift")).orderBy(F.desc("lift"), "event").limit(n)
+
+
+def describe(p: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of numeric columns, a row each, in one pass over the rows."""
+    long = p.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*")
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = long.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"), q.alias("q"))
+    return out.select("name", "n", *(r4(c).alias(c) for c in ("mean", "sd", "least", "most")), *(r4(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+
+
 def correlation(p: DataFrame, key: str = "state_id") -> DataFrame:
     rows = p.groupBy(key, "week_start_date").agg(F.sum("units").cast("double").alias("y"))
     other = rows.select(F.col(key).alias("other"), "week_start_date", F.col("y").alias("y2"))

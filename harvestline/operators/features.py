@@ -95,3 +95,8 @@ def train_slice(frame: DataFrame, origin: Column, cap_weeks: int) -> DataFrame:
 def select_test(frame: DataFrame, origin: Column) -> DataFrame:
     """The row of the h-th week after the origin that was made for horizon h."""
     return frame.filter(F.col("week_start_date") == F.expr("date_add(origin, 7 * h)") if origin is None else F.date_diff("week_start_date", origin) == 7 * F.col("h"))
+
+
+def position(p: DataFrame) -> DataFrame:
+    """Rows of the series before each row."""
+    return p.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("week_start_date")) - 1)

@@ -348,5 +348,28 @@ _FIRES = """CASE name WHEN 'wmape' THEN value > 0.5 WHEN 'bias' THEN abs(value)
 _BODIES["alerts"] = f"SELECT name, {_FIRES} AS firing FROM ({_BODIES['gauges']})"
 _BODIES["gate"] = f"""SELECT coalesce(string_agg(w, ',' ORDER BY k), '') AS warnings, count(*) > 0 AS degraded FROM (SELECT DISTINCT CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END AS w,
     list_position(['wmape', 'bias', 'coverage', 'drift', 'planning_bias', 'promo_wmape', 'completeness', 'revision', 'run_coverage'], CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END) AS k FROM ({_BODIES['alerts']}) WHERE firing)"""
+_PHASES = """SELECT dept_id, week_start_date, y, (row_number() OVER o - 1) % 52 AS phase, CASE WHEN count(*) OVER (o ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) = 53 THEN
+    (sum(y) OVER (o ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) + 0.5 * (lag(y, 26) OVER o + lead(y, 26) OVER o)) / 52 END AS trend
+    FROM (SELECT dept_id, week_start_date, CAST(sum(units) AS DOUBLE) AS y FROM train GROUP BY 1, 2) WINDOW o AS (PARTITION BY dept_id ORDER BY week_start_date)"""
+_BODIES["dept_seasonal_ma"] = f"""SELECT a.id, a.week_start_date, round(greatest(coalesce(level, 0.0) * least(greatest(coalesce(idx, 1.0), 0.0), 3.0), 0.0), 4) AS pred FROM actual a
+    LEFT JOIN (SELECT id, avg(units) AS level FROM panel WHERE back BETWEEN 9 AND 16 GROUP BY id) l ON l.id = a.id
+    LEFT JOIN (SELECT dept_id, weekofyear(week_start_date) AS woy, avg(seasonal) AS idx FROM ({_PHASES}) JOIN (
+        SELECT dept_id, phase, m / avg(m) OVER (PARTITION BY dept_id) AS seasonal FROM (SELECT dept_id, phase, avg(y / trend) AS m FROM ({_PHASES}) WHERE trend > 0 GROUP BY 1, 2)
+    ) USING (dept_id, phase) GROUP BY 1, 2) s ON s.dept_id = a.dept_id AND s.woy = weekofyear(a.week_start_date)"""
+_BODIES["feat_position"] = "SELECT id, week_start_date, CAST(row_number() OVER (PARTITION BY id ORDER BY week_start_date) - 1 AS INT) AS position FROM panel"
+_BODIES["contract_calendar"] = "SELECT count(*) AS n_rows, count(*) FILTER (date IS NULL) AS date_null, CAST(0 AS BIGINT) AS d_num_range, CAST(0 AS BIGINT) AS snap_range, count(*) FILTER (CAST(name1 IS NOT NULL AS INT) + CAST(type2 IS NOT NULL AS INT) > 2) AS has_event_range FROM cal"
+_BODIES["contract_prices"] = "SELECT count(*) AS n_rows, count(*) FILTER (item_id IS NULL) AS item_null, count(*) FILTER (store_id IS NULL) AS store_null, count(*) FILTER (sell_price <= 0) AS price_not_positive FROM wprice"
+_BODIES["contract_members"] = "SELECT count(*) AS n_rows, count(*) FILTER (state_id NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')) AS state_id_unknown, count(*) FILTER (NOT regexp_full_match(dept_id, 'D[0-4]')) AS dept_id_unknown, count(*) FILTER (cat_id <> 'C0') AS cat_id_unknown FROM panel"
+_BODIES["eda_pivot_revenue"] = "SELECT cat_id, " + ", ".join(f"round(sum(revenue) FILTER (state_id = '{s}'), 4) AS \"{s}\"" for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM panel GROUP BY 1"
+_BODIES["eda_season_weeks"] = _BODIES["eda_season"].replace("CAST(month(week_start_date) AS INT) AS month", "CAST(weekofyear(week_start_date) AS INT) AS woy")
+_BODIES |= {f"eda_corr_{n}": _BODIES["eda_corr"].replace("state_id", k) for n, k in (("category", "cat_id"), ("store", "store_id"))}
+_BODIES["eda_describe"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, round(CAST(min({c}) AS DOUBLE), 4) AS least, round(CAST(max({c}) AS DOUBLE), 4) AS most,
+    round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3 FROM panel"""
+    for c in ("units", "sell_price", "snap_days", "event_days", "available_days")
+)
+_BODIES["eda_named_events"] = """SELECT event, round(avg(units) / (SELECT avg(units) FROM total WHERE week_start_date NOT IN (SELECT week_start_date FROM cal WHERE name1 IS NOT NULL OR type2 IS NOT NULL)), 4) AS lift
+    FROM total JOIN (SELECT week_start_date, name1 AS event FROM cal WHERE name1 IS NOT NULL UNION SELECT week_start_date, 'fair' FROM cal WHERE type2 IS NOT NULL) USING (week_start_date)
+    GROUP BY event ORDER BY lift DESC, event LIMIT 12"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}

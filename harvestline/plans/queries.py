@@ -129,6 +129,7 @@ on_panel("feat_rolling", lambda p: rounded(X.rolling(p, 2), *(f"rmean_{m}" for m
 on_panel("feat_nz", lambda p: rounded(X.nonzero_shares(p), "nz_share_4", "nz_share_13").select("id", "week_start_date", "nz_share_4", "nz_share_13"))
 on_panel("feat_cross", lambda p: rounded(X.cross_series(p), "item_rmean_4", "dept_rmean_4").select("id", "week_start_date", "item_rmean_4", "dept_rmean_4"))
 on_panel("feat_price", lambda p: X.prices(p).select("id", "week_start_date", "price_median", "price_rel", "is_promo", "weeks_since_promo"))
+on_panel("feat_position", lambda p: X.position(p).select("id", "week_start_date", "position"))
 on_panel("feat_calendar", lambda p: rounded(X.calendar_features(p), "woy_sin", "woy_cos").select("id", "week_start_date", "woy", "woy_sin", "woy_cos", "month", "is_year_end", "age_weeks"))
 on_panel("cross_series", lambda p: X.cross_series(p).groupBy("item_id", "dept_id", "week_start_date").agg(F.max("item_units").alias("item_units"), F.max("dept_units").alias("dept_units")))
 on_panel("feat_single_h", lambda p: rounded(X.rolling(X.lags(p, 1, (4, 5, 6, 8, 12, 13, 26, 52)), 4, (4, 8, 13), 8), "rmean_4", "rmean_8", "rmean_13", "rstd_8").select("id", "week_start_date", "lag_4", "lag_52", "rmean_4", "rmean_8", "rmean_13", "rstd_8"))
@@ -153,6 +154,7 @@ on_holdout("ma_level", lambda t, a: B.ma_level(t))
 on_holdout("moving_average", B.moving_average)
 on_holdout("seasonal_naive", B.seasonal_naive)
 on_holdout("seasonal_ma", lambda t, a: rounded(B.seasonal_ma(t, a), "pred"))
+on_holdout("dept_seasonal_ma", lambda t, a: rounded(B.dept_seasonal_ma(t, a), "pred"))
 on_holdout("croston", lambda t, a: rounded(B.croston(t), "rate"))
 on_holdout("ensemble", lambda t, a: B.ensemble(B.moving_average(t, a), B.seasonal_naive(t, a)))
 on_holdout("predict_masked", lambda t, a: B.mask_unavailable(B.moving_average(t, a), a))
@@ -349,6 +351,9 @@ def metriclog_latest(spark: SparkSession, sf: str) -> DataFrame:
 on_panel("contract_weekly", lambda p: C.violations(p, C.WEEKLY))
 on_panel("contract_features", lambda p: C.violations(X.build_direct(p), C.FEATURES))
 on_runs("contract_output", lambda p, r, q: C.violations(q, C.OUTPUT))
+QUERIES["contract_calendar"] = lambda spark, sf: C.violations(L.calendar(S.calendar_days(spark, sf)), C.CALENDAR)
+QUERIES["contract_prices"] = lambda spark, sf: C.violations(weekly_prices(spark, sf), C.PRICES)
+on_panel("contract_members", lambda p: C.violations(p, C.members({}, state_id=STATES, dept_id=[f"D{k}" for k in range(5)], cat_id=["C0"])))
 
 # Exploration
 for _name, _f in {
@@ -358,6 +363,12 @@ for _name, _f in {
 }.items():
     on_panel(_name, _f)
 on_panel("eda_pivot", lambda p: E.pivot(p, STATES))
+on_panel("eda_pivot_revenue", lambda p: rounded(E.pivot(p, STATES, "revenue"), *STATES))
+on_panel("eda_season_weeks", lambda p: E.season(p, "woy"))
+on_panel("eda_corr_category", lambda p: E.correlation(p, "cat_id"))
+on_panel("eda_corr_store", lambda p: E.correlation(p, "store_id"))
+on_panel("eda_describe", lambda p: E.describe(p, ["units", "sell_price", "snap_days", "event_days", "available_days"]))
+QUERIES["eda_named_events"] = lambda spark, sf: E.named_event_lift(S.panel(spark, sf), L.calendar(S.calendar_days(spark, sf)))
 on_panel("eda_promo_lift", lambda p: E.promo_lift(X.prices(p)))
 on_panel("top_series", lambda p: E.top_k(p, ["cat_id"], 1))
 on_panel("panel_topk", lambda p: E.top_k(p, ["store_id", "dept_id"], 15))
