@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import ratio
@@ -135,3 +135,8 @@ def quantile_metrics(points: DataFrame, actual: DataFrame) -> DataFrame:
         *(pinball(c, q).alias(f"pinball_{c}") for c, q in quantiles.items()), *(cover(c).alias(f"cover_{c}") for c in quantiles),
         F.avg(F.col("units").between(F.col("p10"), F.col("p90")).cast("double")).alias("interval"), F.lit(0.8).alias("interval_target"),
     )
+
+
+def band(wrmsse: Column) -> Column:
+    """good below 0.65, fair below 0.85, poor from there."""
+    return F.when(wrmsse < 0.65, "good").when(wrmsse < 0.85, "fair").when(wrmsse.isNotNull(), "poor")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed")
+ACTIVE = ("new", "queued", "processing")
 
 
 def chunk_plan(ids: DataFrame, size: int = 300) -> DataFrame:
@@ -43,6 +44,11 @@ def run_progress(states: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100.0 * F.col("done") / F.col("n_chunks"), 1))
 
 
+def active_runs(runs: DataFrame) -> DataFrame:
+    """One row: how many runs are not over."""
+    return runs.agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("active"))
+
+
 def stale_chunks(log: DataFrame, now: str, minutes: int = 15) -> DataFrame:
     """Chunks that have been processing for too long at the time now; log has started_at."""
     last = log.groupBy("run_id", "idx").agg(F.max_by("status", "seq").alias("status"), F.max_by("at", "seq").alias("at"))

@@ -356,8 +356,10 @@ _BODIES["dept_seasonal_ma"] = f"""SELECT a.id, a.week_start_date, round(greatest
     LEFT JOIN (SELECT dept_id, weekofyear(week_start_date) AS woy, avg(seasonal) AS idx FROM ({_PHASES}) JOIN (
         SELECT dept_id, phase, m / avg(m) OVER (PARTITION BY dept_id) AS seasonal FROM (SELECT dept_id, phase, avg(y / trend) AS m FROM ({_PHASES}) WHERE trend > 0 GROUP BY 1, 2)
     ) USING (dept_id, phase) GROUP BY 1, 2) s ON s.dept_id = a.dept_id AND s.woy = weekofyear(a.week_start_date)"""
+_BODIES["level_bands"] = f"SELECT model, level, CASE WHEN wrmsse < 0.65 THEN 'good' WHEN wrmsse < 0.85 THEN 'fair' ELSE 'poor' END AS band FROM ({_BODIES['level_heatmap'].replace('round(wrmsse, 4)', 'wrmsse')})"
+_BODIES["active_runs"] = "SELECT count(*) AS active FROM runs"
 _BODIES["feat_position"] = "SELECT id, week_start_date, CAST(row_number() OVER (PARTITION BY id ORDER BY week_start_date) - 1 AS INT) AS position FROM panel"
-_BODIES["contract_calendar"] = "SELECT count(*) AS n_rows, count(*) FILTER (date IS NULL) AS date_null, CAST(0 AS BIGINT) AS d_num_range, CAST(0 AS BIGINT) AS snap_range, count(*) FILTER (CAST(name1 IS NOT NULL AS INT) + CAST(type2 IS NOT NULL AS INT) > 2) AS has_event_range FROM cal"
+_BODIES["contract_calendar"] = "SELECT count(*) AS n_rows, count(*) FILTER (date IS NULL) AS date_null, count(*) FILTER (date < (SELECT min(date) FROM cal)) AS d_num_range, count(*) FILTER (CAST(a AS INT) NOT IN (0, 1) OR b NOT IN (0, 1) OR CAST(c AS INT) NOT IN (0, 1)) AS snap_range, count(*) FILTER (CAST(name1 IS NOT NULL AS INT) + CAST(type2 IS NOT NULL AS INT) > 2) AS has_event_range FROM cal"
 _BODIES["contract_prices"] = "SELECT count(*) AS n_rows, count(*) FILTER (item_id IS NULL) AS item_null, count(*) FILTER (store_id IS NULL) AS store_null, count(*) FILTER (sell_price <= 0) AS price_not_positive FROM wprice"
 _BODIES["contract_members"] = "SELECT count(*) AS n_rows, count(*) FILTER (state_id NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')) AS state_id_unknown, count(*) FILTER (NOT regexp_full_match(dept_id, 'D[0-4]')) AS dept_id_unknown, count(*) FILTER (cat_id <> 'C0') AS cat_id_unknown FROM panel"
 _BODIES["eda_pivot_revenue"] = "SELECT cat_id, " + ", ".join(f"round(sum(revenue) FILTER (state_id = '{s}'), 4) AS \"{s}\"" for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM panel GROUP BY 1"

@@ -206,6 +206,7 @@ def on_cut_holdout(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) ->
 
 
 on_cut_holdout("score_models", lambda t, a: rounded(M.model_metrics(M.score_models(t, a, models_of(t, a))), "wrmsse12", "wrmsse9", "rmsse_l12", "mase_l12", "bias"))
+on_cut_holdout("level_bands", lambda t, a: M.model_levels(M.score_models(t, a, models_of(t, a))).filter("wrmsse is not null").select("model", "level", M.band(F.col("wrmsse")).alias("band")))
 on_cut_holdout("level_heatmap", lambda t, a: rounded(M.model_levels(M.score_models(t, a, models_of(t, a))).filter("wrmsse is not null").select("model", "level", "wrmsse"), "wrmsse"))
 
 
@@ -239,6 +240,7 @@ on_runs("quantile_metrics", lambda p, r, q: rounded(M.quantile_metrics(last_run(
 
 # Runs and catalogue
 on_runs("recent_runs", lambda p, r, q: R.recent_runs(r))
+on_runs("active_runs", lambda p, r, q: R.active_runs(r.unionByName(r.withColumn("status", F.lit("queued")))))
 on_runs("run_status_counts", lambda p, r, q: r.groupBy("status").count().withColumnRenamed("count", "n"))
 on_runs("last_run_id", lambda p, r, q: r.groupBy("status").agg(F.max("run_id").alias("run_id")))
 on_panel("chunk_plan", R.chunk_plan)
