@@ -97,13 +97,31 @@ def rearrange(points: DataFrame) -> DataFrame:
 
 
 def future_rows(history: DataFrame, horizon: int, assume_available: bool = False) -> DataFrame:
-    """Rows of the next weeks: price and availability of the series' last row, units unknown."""
-    last = history.groupBy(*[c for c in ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")]).agg(
-        F.max_by("sell_price", "week_start_date").alias("sell_price"), F.max_by("available_days", "week_start_date").alias("available_days"), F.max("week_start_date").alias("origin"),
+    """Rows of the weeks after the last one of the whole history: price and availability of each series' last row, units unknown.
+
+    A series whose last row is older than that has the same weeks as the others.
+    """
+    last = history.groupBy("id", "item_id", "dept_id", "cat_id", "store_id", "state_id").agg(
+        F.max_by("sell_price", "week_start_date").alias("sell_price"), F.max_by("available_days", "week_start_date").alias("available_days"),
     )
+    last = last.crossJoin(F.broadcast(history.agg(F.max("week_start_date").alias("origin"))))  # one row
     out = last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("week_start_date", F.expr("date_add(origin, 7 * h)"))
     days = F.lit(7) if assume_available else F.col("available_days")
-    return out.withColumn("units", F.lit(None).cast("long")).withColumn("available_days", days.cast("int"))
+    return out.withColumns({"units": F.lit(None).cast("long"), "revenue": F.lit(0.0), "n_days": F.lit(7), "available_days": days.cast("int")})
+
+
+def with_calendar(future: DataFrame, weeks: DataFrame, snap: dict[str, str], other: str) -> DataFrame:
+    """Future rows with event_days and their own state's snap_days of a weekly calendar; 0 in weeks that it lacks.
+
+    snap names the calendar's column of a state, other that of all other states.
+    """
+    columns = sorted({*snap.values(), other})
+    pick = F.col(other)
+    for state, column in snap.items():
+        pick = F.when(F.col("state_id") == state, F.col(column)).otherwise(pick)
+    joined = future.join(F.broadcast(weeks.select("week_start_date", "event_days", *columns)), "week_start_date", "left")  # one row a week
+    day_count = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    return joined.withColumns({"snap_days": day_count(pick), "event_days": day_count(F.col("event_days"))}).drop(*columns)
 
 
 def group_forecast(train: DataFrame, weeks: DataFrame, group: str, k: int = 4) -> DataFrame:

@@ -97,6 +97,12 @@ def select_test(frame: DataFrame, origin: Column) -> DataFrame:
     return frame.filter(F.col("week_start_date") == F.expr("date_add(origin, 7 * h)") if origin is None else F.date_diff("week_start_date", origin) == 7 * F.col("h"))
 
 
+def future_frame(history: DataFrame, future: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """The features of future rows, each as they are known h weeks before: history and future rows are one frame for the windows."""
+    both = history.unionByName(future.withColumnRenamed("h", "ahead"), allowMissingColumns=True)
+    return build_direct(both, horizon).filter("ahead = h").drop("ahead")
+
+
 def position(p: DataFrame) -> DataFrame:
     """Rows of the series before each row."""
     return p.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("week_start_date")) - 1)

@@ -173,5 +173,5 @@ def alerts(g: DataFrame) -> DataFrame:
     low = {"coverage", "fva", "completeness", "run_coverage"}
     limits = F.create_map(*(F.lit(x) for k, v in LIMITS.items() for x in (k, v)))
     limit, value = F.try_element_at(limits, F.col("name")), F.when(F.col("name") == "bias", F.abs("value")).otherwise(F.col("value"))
-    fires = F.when(F.col("name").isin(*low), value < limit).otherwise(value > limit)
+    fires = F.when(F.col("name") == "fva", value <= limit).when(F.col("name").isin(*low), value < limit).otherwise(value > limit)
     return g.withColumn("limit", limit).filter("limit is not null").select("name", "value", "limit", fires.alias("firing"))

@@ -337,17 +337,23 @@ _BODIES["hist_quantile"] = (
     + "0.0, " + ", ".join(map(str, _BOUNDS)) + "][k + 1] AS lo, [0.0, " + ", ".join(map(str, _BOUNDS)) + "][k + 2] AS hi, CASE WHEN k > 0 THEN cum[k] ELSE 0 END AS below, cum[k + 1] AS upto FROM (SELECT *, len(list_filter(cum, lambda c: c < 0.95 * n)) AS k FROM (SELECT event_type, count(*) AS n, ["
     + ", ".join(f"count(*) FILTER (value <= {b})" for b in _BOUNDS) + "] AS cum FROM events GROUP BY 1)))"
 )
+_BODIES["fva_last_run"] = _BODIES["fva_ma4"].replace("back BETWEEN 15 AND 18", "back BETWEEN 9 AND 12").replace("run_id = 4", "run_id = 6").replace(" AS fva_pct", " + 0.0 AS fva_pct")
+_BODIES["future_calendar"] = f"""SELECT p.id, p.week_start_date + CAST(7 * h AS INT) AS week_start_date, CAST(h AS INT) AS h, CAST(coalesce(CASE WHEN state_id = 'ASIA' THEN c.snap_a_days ELSE c.snap_b_days END, 0) AS INT) AS snap_days,
+    CAST(coalesce(c.event_days, 0) AS INT) AS event_days FROM (SELECT * FROM panel, range(1, 9) t(h) WHERE back = 9) p LEFT JOIN ({_BODIES["weekly_calendar"]}) c ON c.week_start_date = p.week_start_date + CAST(7 * h AS INT)"""
+_BODIES["future_features"] = """SELECT p.id, p.week_start_date + CAST(7 * h AS INT) AS week_start_date, CAST(h AS INT) AS h, p.units AS lag_1, round(level, 4) AS rmean_4, sell_price, available_days
+    FROM panel p JOIN ma ON ma.id = p.id, range(1, 9) t(h) WHERE back = 9"""
 _MEASURES = {
     "promo_wmape": ("acc_by_promo", "wmape", "promo"), "wmape": ("accuracy_vs_actual", "wmape", "true"), "bias": ("accuracy_vs_actual", "bias", "true"),
     "coverage": ("accuracy_vs_actual", "coverage", "true"), "planning_bias": ("planning_bias", "planning_bias", "true"), "completeness": ("data_freshness", "completeness", "true"),
-    "revision": ("revision_volatility", "volatility", "true"), "run_coverage": ("run_coverage", "min(coverage)", "true"), "psi": ("drift_psi", "psi", "feature = 'sell_price'"), "ks": ("drift_ks", "ks", "feature = 'sell_price'"),
+    "revision": ("revision_volatility", "volatility", "true"), "run_coverage": ("run_coverage", "min(coverage)", "true"), "psi": ("drift_psi", "max(psi)", "true"), "ks": ("drift_ks", "max(ks)", "true"),
+    "fva": ("fva_last_run", "fva_pct", "true"),
 }
 _BODIES["gauges"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {v} AS value FROM ({_BODIES[b]}) WHERE {c}" for n, (b, v, c) in _MEASURES.items()) + ") WHERE value IS NOT NULL"
 _FIRES = """CASE name WHEN 'wmape' THEN value > 0.5 WHEN 'bias' THEN abs(value) > 0.2 WHEN 'coverage' THEN value < 0.6 WHEN 'psi' THEN value > 0.25 WHEN 'ks' THEN value > 0.2 WHEN 'planning_bias' THEN value > 0.15
-    WHEN 'promo_wmape' THEN value > 0.5 WHEN 'completeness' THEN value < 0.9 WHEN 'revision' THEN value > 0.3 WHEN 'run_coverage' THEN value < 0.99 END"""
+    WHEN 'promo_wmape' THEN value > 0.5 WHEN 'completeness' THEN value < 0.9 WHEN 'revision' THEN value > 0.3 WHEN 'run_coverage' THEN value < 0.99 WHEN 'fva' THEN value <= -8 END"""
 _BODIES["alerts"] = f"SELECT name, {_FIRES} AS firing FROM ({_BODIES['gauges']})"
 _BODIES["gate"] = f"""SELECT coalesce(string_agg(w, ',' ORDER BY k), '') AS warnings, count(*) > 0 AS degraded FROM (SELECT DISTINCT CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END AS w,
-    list_position(['wmape', 'bias', 'coverage', 'drift', 'planning_bias', 'promo_wmape', 'completeness', 'revision', 'run_coverage'], CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END) AS k FROM ({_BODIES['alerts']}) WHERE firing)"""
+    list_position(['wmape', 'bias', 'coverage', 'drift', 'planning_bias', 'promo_wmape', 'fva', 'completeness', 'revision', 'run_coverage'], CASE WHEN name IN ('psi', 'ks') THEN 'drift' ELSE name END) AS k FROM ({_BODIES['alerts']}) WHERE firing)"""
 _PHASES = """SELECT dept_id, week_start_date, y, (row_number() OVER o - 1) % 52 AS phase, CASE WHEN count(*) OVER (o ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) = 53 THEN
     (sum(y) OVER (o ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) + 0.5 * (lag(y, 26) OVER o + lead(y, 26) OVER o)) / 52 END AS trend
     FROM (SELECT dept_id, week_start_date, CAST(sum(units) AS DOUBLE) AS y FROM train GROUP BY 1, 2) WINDOW o AS (PARTITION BY dept_id ORDER BY week_start_date)"""

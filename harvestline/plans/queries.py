@@ -167,6 +167,25 @@ on_holdout("agg_ma_forecast", lambda t, a: rounded(B.group_forecast(t, a, "item_
 on_holdout("future_rows", lambda t, a: B.future_rows(t, 8).select("id", "week_start_date", "h", "sell_price", "available_days", "units"))
 
 
+def future_with_calendar(spark: SparkSession, sf: str, history: DataFrame) -> DataFrame:
+    """The rows of the eight weeks after the history, with the fixture calendar's columns."""
+    weeks = L.weekly_calendar(L.calendar(S.calendar_days(spark, sf)))
+    return B.with_calendar(B.future_rows(history, 8), weeks, {"ASIA": "snap_a_days"}, "snap_b_days")
+
+
+@query
+def future_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    t, _ = S.holdout(S.panel(spark, sf))
+    return future_with_calendar(spark, sf, t).select("id", "week_start_date", "h", "snap_days", "event_days")
+
+
+@query
+def future_features(spark: SparkSession, sf: str) -> DataFrame:
+    t, _ = S.holdout(S.panel(spark, sf))
+    frame = X.future_frame(t, future_with_calendar(spark, sf, t))
+    return frame.select("id", "week_start_date", "h", "lag_1", r4("rmean_4").alias("rmean_4"), "sell_price", "available_days")
+
+
 def reconciled(t: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
     bottom = B.seasonal_naive(t, a).join(a.select("id", "week_start_date", "item_id"), ["id", "week_start_date"])
     return bottom, B.group_forecast(t, a, "item_id")
@@ -300,6 +319,7 @@ on_runs("acc_by_promo", lambda p, r, q: O.accuracy_by(O.promo_flag(O.with_actual
 on_panel("segments", lambda p: O.segments(p, S.origin_of(p)))
 on_runs("acc_by_segment", lambda p, r, q: O.accuracy_by(O.with_actuals(last_run(q), p).join(O.segments(p, S.origin_of(p)), "series_id"), "segment"))
 on_runs("fva_ma4", lambda p, r, q: O.fva(O.with_actuals(q.filter("run_id = 4"), p), S.with_back(p).filter("back >= 15")))
+on_runs("fva_last_run", lambda p, r, q: O.fva(O.with_actuals(last_run(q), p), S.holdout(p)[0]))
 on_runs("planning_bias", lambda p, r, q: O.planning_bias(O.accuracy_by(O.with_actuals(last_run(q), p), "state_id")))
 on_panel("data_freshness", O.freshness)
 on_panel("assortment_churn", O.churn)
@@ -324,11 +344,13 @@ def on_cut_runs(name: str, f: Callable[[DataFrame, DataFrame, DataFrame], DataFr
 def report(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
     """One row of all measures of the last run. Each part is one row."""
     m = cut(O.with_actuals(last_run(q), p))
+    windows = cut(O.drift_windows(p, S.origin_of(p)))  # any feature's drift counts
     promo = O.accuracy_by(O.promo_flag(m), "promo").filter("promo").select(F.col("wmape").alias("promo_wmape"))
     parts = [
         O.accuracy(m).select("wmape", "bias", "coverage"), O.planning_bias(O.accuracy_by(m, "state_id")), O.freshness(p).select("completeness"),
         O.revision_volatility(q, r).select(F.col("volatility").alias("revision")), O.run_coverage(q, r).agg(F.min("coverage").alias("run_coverage")),
-        O.psi(O.drift_windows(p, S.origin_of(p)), "sell_price").select("psi"), O.ks(O.drift_windows(p, S.origin_of(p)), "sell_price").select("ks"),
+        O.fva(m, S.holdout(p)[0]).select(F.col("fva_pct").alias("fva")),
+        *(test(windows, "sell_price").select(name).union(test(windows, "units").select(name)).agg(F.max(name).alias(name)) for name, test in (("psi", O.psi), ("ks", O.ks))),
     ]
     out = promo
     for part in parts:
