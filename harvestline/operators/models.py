@@ -7,12 +7,14 @@ stands in for the hierarchical Bayesian model of group ratios.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import ratio
@@ -42,6 +44,40 @@ def fit_tweedie(frame: DataFrame, power: float = 1.1, ridge: float = 1e-3) -> Pi
     return Pipeline(stages=stages).fit(frame)
 
 
+def save(model: PipelineModel, folder: str, trained_at: dt.datetime) -> None:
+    """The model, and beside it the features that it reads and when it was trained."""
+    about = SparkSession.active().createDataFrame([(NUMERIC, trained_at)], "features array<string>, trained_at timestamp")
+    model.write().overwrite().save(f"{folder}/model")
+    about.write.mode("overwrite").parquet(f"{folder}/about")
+
+
+def load(folder: str, features: list[str] = NUMERIC) -> PipelineModel:
+    """A saved model; one that reads other features than the caller has is refused."""
+    found = SparkSession.active().read.parquet(f"{folder}/about").first()["features"]
+    if found != features:
+        raise ValueError(f"the model reads {found}, not {features}")
+    return PipelineModel.load(f"{folder}/model")
+
+
+def artifact_age(folder: str, now: dt.datetime) -> DataFrame:
+    """One row: days since the saved model was trained."""
+    seconds = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("trained_at")
+    return SparkSession.active().read.parquet(f"{folder}/about").select((seconds / 86400).alias("artifact_age"))
+
+
+def importance(model: PipelineModel, frame: DataFrame, top: int = 15) -> DataFrame:
+    """feature, shap, percent of the features that move the linear predictor most.
+
+    shap is the mean absolute Shapley value, which for a linear model is the coefficient times the mean distance from the feature's mean.
+    """
+    names, beta = [*NUMERIC, "dept"], model.stages[-1].coefficients
+    x = model.transform(frame).select(vector_to_array("features").alias("x")).select(*(F.col("x")[k].alias(n) for k, n in enumerate(names)))
+    means = x.agg(*(F.avg(n).alias(f"mean_{n}") for n in names))
+    far = x.crossJoin(F.broadcast(means)).agg(*((abs(float(beta[k])) * F.avg(F.abs(F.col(n) - F.col(f"mean_{n}")))).alias(n) for k, n in enumerate(names)))  # one row each
+    long = far.unpivot([], names, "feature", "shap")  # a row a feature
+    return long.withColumn("percent", 100 * ratio(F.col("shap"), F.sum("shap").over(Window.partitionBy()))).orderBy(F.desc("shap"), "feature").limit(top)
+
+
 def predict(model: PipelineModel, frame: DataFrame, factor: float = 1.0) -> DataFrame:
     """id, week, h, pred: never negative, 0 where nothing was available; runaway forecasts are left to the fallback."""
     pred = F.when(F.col("available_days") == 0, 0.0).otherwise(F.greatest("raw", F.lit(0.0)) * factor)

@@ -409,15 +409,33 @@ def _fit(p: DataFrame) -> tuple[object, DataFrame]:
     return ML.fit_tweedie(frame.filter("back > 16 and available_days > 0 and lag_1 is not null")), frame
 
 
-def _score(p: DataFrame) -> DataFrame:
-    """The serving score: calibrated forecasts with intervals, and the moving average for series that run away."""
-    model, frame = _fit(p)
+def _serve(model: object, frame: DataFrame, rows: DataFrame, train: DataFrame) -> DataFrame:
+    """The serving score of rows: calibrated forecasts with intervals, and the moving average for series that run away."""
     calibration = ML.predict(model, frame.filter("back between 9 and 16 and back = 17 - h"))
-    pred = B.calibrated(ML.predict(model, frame.filter("back <= 8 and back = 9 - h")), calibration)
-    points = ML.interval(pred, B.calibrated(calibration, calibration)).withColumn("run_id", F.lit(1).cast("long"))
+    points = ML.interval(B.calibrated(ML.predict(model, rows), calibration), B.calibrated(calibration, calibration)).withColumn("run_id", F.lit(1).cast("long"))
     named = lambda df: df.withColumnRenamed("id", "series_id")
+    return B.apply_fallback(points, named(B.last_rows_peak(train)), named(B.last_rows_level(train))).drop("run_id", "bad")
+
+
+def _score(p: DataFrame) -> DataFrame:
+    model, frame = _fit(p)
+    return _serve(model, frame, frame.filter("back <= 8 and back = 9 - h"), S.holdout(p)[0])
+
+
+@query
+def score_future(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of the weeks after the history, from rows that only the calendar knows."""
+    p = cut(S.panel(spark, sf))
     t, _ = S.holdout(p)
-    return B.apply_fallback(points, named(B.last_rows_peak(t)), named(B.last_rows_level(t))).drop("run_id", "bad")
+    model, frame = _fit(p)
+    recent = S.with_back(p).filter("back between 9 and 9 + 60").drop("back")  # the longest feature looks 52 weeks back
+    return _serve(model, frame, ML.prepare(X.future_frame(recent, future_with_calendar(spark, sf, t))), t)
+
+
+@query
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    model, frame = _fit(cut(S.panel(spark, sf)))
+    return ML.importance(model, frame.filter("back between 9 and 16"))
 
 
 QUERIES["score"] = lambda spark, sf: _score(cut(S.panel(spark, sf)))
