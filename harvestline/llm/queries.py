@@ -9,6 +9,7 @@ from .byte_bpe import ByteBpe, bpe_digests
 from .chat import chat_digests, format_chats
 from .common import table
 from .exact_dedup import exact_dedup
+from .forest import embedding_near_dedup
 from .mixing import mix_sources
 from .pii import pii_digests, pseudonymise
 from .quality import quality_rules
@@ -63,7 +64,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-_ALL = (op1_byte_bpe, op2_toxicity, op3_chat_format, op4_simhash, op5_pii, op6_quality_rules, op7_exact_dedup, op8_mix_sources, op9_secrets, op10_token_counts)
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_byte_bpe, op2_toxicity, op3_chat_format, op4_simhash, op5_pii, op6_quality_rules, op7_exact_dedup, op8_mix_sources, op9_secrets, op10_token_counts,
+    op11_embedding_near_dedup,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
