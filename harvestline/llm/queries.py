@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import ByteBpe, bpe_digests
 from .chat import chat_digests, format_chats
 from .common import table
+from .dual_tree import ROUNDS, centroid_clusters
 from .exact_dedup import exact_dedup
 from .forest import embedding_near_dedup
 from .mixing import mix_sources
@@ -68,13 +69,50 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_byte_bpe, op2_toxicity, op3_chat_format, op4_simhash, op5_pii, op6_quality_rules, op7_exact_dedup, op8_mix_sources, op9_secrets, op10_token_counts,
-    op11_embedding_near_dedup,
+    op11_embedding_near_dedup, op12_centroid_clustering,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds, one after the other: every distance of every round is computed."""
+    nearest = """
+        a{i} AS MATERIALIZED (
+            SELECT row, vec_id, q, min_by(cluster, d * 8 + cluster) AS cluster, CAST(min(d) AS BIGINT) AS distance
+            FROM (SELECT row, vec_id, q, cluster, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{i})
+            GROUP BY row, vec_id, q
+        )"""
+    moved = """,
+        c{j} AS MATERIALIZED (
+            SELECT cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+                SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY place) AS c
+                FROM (SELECT cluster, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS v, generate_subscripts(q, 1) AS place FROM a{i}) GROUP BY ALL)
+                GROUP BY cluster
+            ) n USING (cluster)
+        )"""
+    steps = ",".join(nearest.format(i=i) + (moved.format(i=i, j=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS cluster, q AS c FROM kept QUALIFY cluster < 8),
+        {steps}
+        SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)
+    """
+
+
 ORACLES = {
+    "op12_centroid_clustering": _lloyd_sql(ROUNDS),
     "op3_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
