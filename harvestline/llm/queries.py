@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import ByteBpe, bpe_digests
 from .chat import chat_digests, format_chats
 from .common import table
+from .divergence import source_divergence
 from .dual_tree import ROUNDS, centroid_clusters
 from .exact_dedup import exact_dedup
 from .forest import embedding_near_dedup
@@ -73,9 +74,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_byte_bpe, op2_toxicity, op3_chat_format, op4_simhash, op5_pii, op6_quality_rules, op7_exact_dedup, op8_mix_sources, op9_secrets, op10_token_counts,
-    op11_embedding_near_dedup, op12_centroid_clustering,
+    op11_embedding_near_dedup, op12_centroid_clustering, op13_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -112,6 +117,31 @@ def _lloyd_sql(rounds: int) -> str:
 
 
 ORACLES = {
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ),
+        t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        dense AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+                  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (total + v) AS p FROM dense JOIN v USING (lang)),
+        l AS (SELECT lang, term, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+              FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op12_centroid_clustering": _lloyd_sql(ROUNDS),
     "op3_chat_format": r"""
         WITH c AS (
