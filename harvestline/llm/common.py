@@ -6,6 +6,7 @@ import json
 import re
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like cut, but as compressed Parquet: for large frames whose columns repeat."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_row(docs: DataFrame, key: str) -> DataFrame:
     """docs with a key of each row, a string that is the same whenever the frame is read.
 

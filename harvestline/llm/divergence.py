@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, free_name, with_row
+from .common import ascii_lower, cut, free_name, with_row, written
 
 #: A term is a run of ASCII letters and characters beyond ASCII.
 DELIMITERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,7 +50,7 @@ def texts(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """chunk, lang, term: the kept terms of each language that the chunk has."""
     terms = F.explode(F.array_distinct(F.split("text", DELIMITERS))).alias("term")
-    seen = cut(rows.select("chunk", "lang", terms).filter("term != ''").groupBy("chunk", "lang", "term").agg(F.count(F.lit(1)).alias("docs")))
+    seen = written(rows.select("chunk", "lang", terms).filter("term != ''").groupBy("chunk", "lang", "term").agg(F.count(F.lit(1)).alias("docs")))
     kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
     return seen.drop("docs").join(kept, ["lang", "term"]).select("chunk", "lang", "term")
 
@@ -127,15 +127,15 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     without terms. Ties go by the item's UTF-8 bytes. An empty table gives no rows. Other columns are not read.
     """
     rows = texts(docs, chunk_rows)
-    kept = cut(vocabulary(rows, min_docs))
-    postings = cut(occurrences(rows, kept))
+    kept = written(vocabulary(rows, min_docs))
+    postings = written(occurrences(rows, kept))
     words = postings.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"))
     langs = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("n_lang"))
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "v", "n_lang"])
     groups = cut(groups.withColumn("z", F.when(F.col("v") > 0, _share(F.lit(0).cast("long"), F.col("n") + F.col("v"))).otherwise(1)))
     shares = postings.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("count"), F.col("n") + F.col("v")).alias("p"))
-    shares = cut(shares)
+    shares = written(shares)
     of_lang = words.join(langs, "lang").select("lang", "term", _share(F.col("in_lang"), F.col("n_lang") + F.col("v")).alias("q"))
     terms = shares.join(of_lang, ["lang", "term"]).filter("p > q").select("lang", "source", F.col("term").alias("item"), _far(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
