@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, free_name, with_row, written
+from .common import cut, free_name, with_row, written
 
-#: A term is a run of ASCII letters and characters beyond ASCII.
-DELIMITERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: UTF-8 bytes: A term is a run of ASCII letters, lower-cased, and bytes beyond ASCII; all else becomes a space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS, TOP_TERMS, SHARE = 3, 200, 1_000_000_000
 #: Neighbouring rows of a file that share an automaton.
-CHUNK_ROWS = 256
+CHUNK_ROWS = 2048
 #: Parts into which the sources of a language are dealt when pairs of them are made.
 SPREAD = 16
 
@@ -44,13 +44,35 @@ def texts(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     file = F.substring(key, F.lit(1), F.length(key) - F.length(row))
     known = lambda c: F.coalesce(F.col(c), F.lit(""))
     chunk = F.xxhash64(file, F.floor(row.cast("long") / rows)).alias("chunk")
-    return keyed.select(chunk, known("lang").alias("lang"), known("source").alias("source"), ascii_lower(known("text")).alias("text"))
+    return keyed.select(chunk, known("lang").alias("lang"), known("source").alias("source"), known("text").alias("text"))
+
+
+def spaced(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(LETTERS)
 
 
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """chunk, lang, term: the kept terms of each language that the chunk has."""
-    terms = F.explode(F.array_distinct(F.split("text", DELIMITERS))).alias("term")
-    seen = written(rows.select("chunk", "lang", terms).filter("term != ''").groupBy("chunk", "lang", "term").agg(F.count(F.lit(1)).alias("docs")))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs: dict[str, Counter] = {}
+        at = None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for lang, n in docs.items():
+                yield pd.DataFrame({"chunk": at, "lang": lang, "term": [t.decode("utf-8", "surrogatepass") for t in n], "docs": list(n.values())})
+            docs.clear()
+
+        for frame in frames:
+            for chunk, lang, text in zip(frame["chunk"], frame["lang"], frame["text"]):
+                if chunk != at:
+                    yield from flush()
+                    at = chunk
+                docs.setdefault(lang, Counter()).update(set(spaced(text).split(b" ")))
+        yield from flush()
+
+    # A chunk that two tasks read has a term twice; both counts are summed up.
+    seen = written(rows.select("chunk", "lang", "text").mapInPandas(count, "chunk long, lang string, term string, docs long").filter("term != ''"))
     kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
     return seen.drop("docs").join(kept, ["lang", "term"]).select("chunk", "lang", "term")
 
@@ -65,11 +87,9 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
     both = both.repartition("chunk").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         import ahocorasick
 
-        gaps, at, words, found = re.compile(DELIMITERS), None, None, Counter()
+        at, words, found = None, None, Counter()
 
         def flush() -> pd.DataFrame:
             out = pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "source", "term", "count"])
@@ -87,7 +107,7 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
                 elif len(words):
                     if words.kind != ahocorasick.AHOCORASICK:
                         words.make_automaton()
-                    for t, n in Counter(t for _, t in words.iter(f" {gaps.sub(' ', text)} ")).items():
+                    for t, n in Counter(t for _, t in words.iter(f" {spaced(text).decode('utf-8', 'surrogatepass')} ")).items():
                         found[lang, source, t] += n
         if found:
             yield flush()
