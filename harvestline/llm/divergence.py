@@ -1,27 +1,30 @@
 """Source divergence audit: how far the vocabularies of a language's sources lie apart, and by which terms.
 
-Two passes over the texts. The first finds each language's vocabulary by exact document frequencies. The second counts occurrences: runs of
-neighbouring rows of the table (chunks) meet the kept terms that they hold, as an Aho-Corasick automaton of terms padded with delimiters.
-A chunk's automaton is bounded by its own terms, so the vocabulary as a whole is never in one place. The counts are sparse postings of
-(source, term); sums over terms that a source lacks come from histograms, since all of them have the source's least share.
+Two passes over the texts, neither of which moves them. The first finds each language's vocabulary by exact document frequencies. The second
+counts occurrences: a task takes a few megabytes of texts at a time and runs over them an Aho-Corasick automaton of the kept terms that
+they hold, padded with delimiters. Which terms are kept tasks learn from a bit map of bounded size, so the vocabulary as a whole is never in
+one place; the few others that it lets through are dropped by an exact join. The counts are sparse postings of (source, term); sums
+over terms that a source lacks come from histograms, since all of them have the source's least share.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, with_row, written
+from .common import cut, written
 
 #: UTF-8 bytes: A term is a run of ASCII letters, lower-cased, and bytes beyond ASCII; all else becomes a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS, TOP_TERMS, SHARE = 3, 200, 1_000_000_000
-#: Neighbouring rows of a file that share an automaton.
-CHUNK_ROWS = 2048
+#: Bytes of text that share an automaton; counts that a task holds before it sends them on; bits of the map of kept terms, at most.
+BLOCK_BYTES, HELD, MOST_BITS = 1 << 23, 400_000, 1 << 28
 #: Parts into which the sources of a language are dealt when pairs of them are made.
 SPREAD = 16
 
@@ -36,84 +39,100 @@ def _far(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def texts(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """chunk, lang, source, text of each row; nulls are empty. A chunk is a run of rows of one file, the same at every reading."""
-    key = free_name(docs, "__at")
-    keyed = with_row(docs.select("text", "lang", "source"), key)
-    row = F.substring_index(key, ":", -1)
-    file = F.substring(key, F.lit(1), F.length(key) - F.length(row))
-    known = lambda c: F.coalesce(F.col(c), F.lit(""))
-    chunk = F.xxhash64(file, F.floor(row.cast("long") / rows)).alias("chunk")
-    return keyed.select(chunk, known("lang").alias("lang"), known("source").alias("source"), known("text").alias("text"))
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
 def spaced(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(LETTERS)
 
 
+def _read(terms: list[bytes]) -> list[str]:
+    return [t.decode("utf-8", "surrogatepass") for t in terms]
+
+
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """chunk, lang, term: the kept terms of each language that the chunk has."""
+    """lang, term: the terms that so many documents of the language have. Tasks send sums over the documents that they read."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs: dict[str, Counter] = {}
-        at = None
 
         def flush() -> Iterator[pd.DataFrame]:
-            for lang, n in docs.items():
-                yield pd.DataFrame({"chunk": at, "lang": lang, "term": [t.decode("utf-8", "surrogatepass") for t in n], "docs": list(n.values())})
+            for lang, n in filter(itemgetter(1), docs.items()):
+                yield pd.DataFrame({"lang": lang, "term": _read(list(n)), "docs": list(n.values())})
             docs.clear()
 
         for frame in frames:
-            for chunk, lang, text in zip(frame["chunk"], frame["lang"], frame["text"]):
-                if chunk != at:
+            for lang, text in zip(frame["lang"], frame["text"]):
+                own = docs.setdefault(lang, Counter())
+                own.update(set(spaced(text).split()))
+                if len(own) > HELD:
                     yield from flush()
-                    at = chunk
-                docs.setdefault(lang, Counter()).update(set(spaced(text).split(b" ")))
         yield from flush()
 
-    # A chunk that two tasks read has a term twice; both counts are summed up.
-    seen = written(rows.select("chunk", "lang", "text").mapInPandas(count, "chunk long, lang string, term string, docs long").filter("term != ''"))
-    kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
-    return seen.drop("docs").join(kept, ["lang", "term"]).select("chunk", "lang", "term")
+    seen = rows.select("lang", "text").mapInPandas(count, "lang string, term string, docs long")
+    return seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
 
 
-def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, source, term, count > 0: how often each source has each kept term of its language.
+def bit_map(kept: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """Bits at the hashes of the kept terms, sixteen for each term up to the most there may be."""
+    size = min(most, max(64, 1 << (16 * kept.count()).bit_length()))
+    at = F.xxhash64("lang", "term").bitwiseAND(F.lit(size - 1))
+    words = kept.select(F.shiftright(at, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
-    Terms and texts of a chunk come to one task in this order, and one text is held at a time.
-    """
-    none = F.lit(None).cast("string")
-    both = kept.select("chunk", "lang", "term", none.alias("source"), none.alias("text")).unionByName(rows.select("chunk", "lang", none.alias("term"), "source", "text"))
-    both = both.repartition("chunk").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
+
+def occurrences(rows: DataFrame, kept: DataFrame, block_bytes: int = BLOCK_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
+    """lang, source, term, count > 0: how often each source has each kept term of its language."""
+    sent = rows.sparkSession.sparkContext.broadcast(bit_map(kept, most_bits))  # most_bits at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
+        from xxhash import xxh64_intdigest
+
+        bits, size = sent.value, 64 * len(sent.value)
+        block: dict[str, dict[str, list[bytes]]] = {}
+        found: dict[tuple[str, str], Counter] = {}
+
+        def scan() -> None:
+            for lang, sources in block.items():
+                together = {source: b" ".join(parts) for source, parts in sources.items()}
+                terms = list(set().union(*(t.split() for t in together.values())))
+                seed = xxh64_intdigest(lang.encode(), 42)
+                at = np.array([xxh64_intdigest(t, seed) & (size - 1) for t in terms], np.int64)
+                known = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) if terms else []
+                words = ahocorasick.Automaton()
+                for t in _read([t for t, k in zip(terms, known) if k]):
+                    words.add_word(f" {t} ", t)
+                if len(words):
+                    words.make_automaton()
+                    for source, text in together.items():
+                        found.setdefault((lang, source), Counter()).update(map(itemgetter(1), words.iter(f" {_read([text])[0]} ")))
+            block.clear()
 
-        at, words, found = None, None, Counter()
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "source", "term", "count"])
+        def flush() -> Iterator[pd.DataFrame]:
+            for (lang, source), n in filter(itemgetter(1), found.items()):
+                yield pd.DataFrame({"lang": lang, "source": source, "term": list(n), "count": list(n.values())})
             found.clear()
-            return out
 
+        waiting = 0
         for frame in frames:
-            for chunk, lang, term, source, text in zip(*(frame[c] for c in ("chunk", "lang", "term", "source", "text"))):
-                if at != (chunk, lang):
-                    if found:
-                        yield flush()
-                    at, words = (chunk, lang), ahocorasick.Automaton()
-                if term is not None:
-                    words.add_word(f" {term} ", term)
-                elif len(words):
-                    if words.kind != ahocorasick.AHOCORASICK:
-                        words.make_automaton()
-                    for t, n in Counter(t for _, t in words.iter(f" {spaced(text).decode('utf-8', 'surrogatepass')} ")).items():
-                        found[lang, source, t] += n
-        if found:
-            yield flush()
-
-    counted = both.mapInPandas(count, "lang string, source string, term string, count long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+            for lang, source, text in zip(frame["lang"], frame["source"], frame["text"]):
+                block.setdefault(lang, {}).setdefault(source, []).append(spaced(text))
+                waiting += len(text)
+                if waiting > block_bytes:
+                    scan()
+                    waiting = 0
+                    if sum(map(len, found.values())) > HELD:
+                        yield from flush()
+        scan()
+        yield from flush()
+
+    counted = rows.mapInPandas(count, "lang string, source string, term string, count long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"])
 
 
 def pair_values(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -139,16 +158,16 @@ def pair_values(postings: DataFrame, groups: DataFrame) -> DataFrame:
     return flat.unionByName(own).unionByName(theirs).unionByName(common).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, block_bytes: int = BLOCK_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, source, part, item, value, rank for documents (text, lang, source), nulls read as ''.
 
     A term is kept if min_docs documents (rows; repeated ones count) of its language have it. Part pair has every other source of the
     language, 0 where no term is kept; part term the top terms that the source has more often than its language, none for sources
     without terms. Ties go by the item's UTF-8 bytes. An empty table gives no rows. Other columns are not read.
     """
-    rows = texts(docs, chunk_rows)
+    rows = texts(docs)
     kept = written(vocabulary(rows, min_docs))
-    postings = written(occurrences(rows, kept))
+    postings = written(occurrences(rows, kept, block_bytes, most_bits))
     words = postings.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"))
     langs = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("n_lang"))
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"))
