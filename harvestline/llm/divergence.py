@@ -78,7 +78,7 @@ def bit_map(kept: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     """Bits at the hashes of the kept terms, sixteen for each term up to the most there may be."""
     size = min(most, max(64, 1 << (16 * kept.count()).bit_length()))
     at = F.xxhash64("lang", "term").bitwiseAND(F.lit(size - 1))
-    words = kept.select(F.shiftright(at, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = kept.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # size / 64 rows at most
     out = np.zeros(size // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
