@@ -62,6 +62,36 @@ def croston(train: DataFrame, alpha: float = 0.1) -> DataFrame:
     return train.select("id").distinct().join(rates, "id", "left").select("id", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
+def imapa(train: DataFrame, alphas: tuple[float, ...] = (0.1, 0.15, 0.2, 0.25, 0.3), most: int | None = None) -> DataFrame:
+    """id, rate, levels: the mean over aggregation levels of what simple exponential smoothing expects of a week.
+
+    Level k sums the series' last weeks by k (the first weeks that fill no sum are left out), smooths the sums with the alpha of the
+    least squared one-step error (of equals the smallest) and divides by k. There are as many levels as the mean gap between
+    sales, rounded half to even, and at most as many as asked for; a series without sales has rate 0. A series' weeks are one array.
+    """
+    weeks = train.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("week_start_date", "units"))).alias("w"))
+    y = F.transform("w", lambda x: x["units"].cast("double"))
+    last = F.array_max(F.transform(F.sequence(F.lit(1), F.size("y")), lambda i: F.when(F.element_at("y", i) > 0, i)))
+    n = F.size(F.filter("y", lambda x: x > 0))
+    levels = F.bround(last / n, 0).cast("int")
+    rows = weeks.select("id", y.alias("y")).withColumn("levels", F.when(n > 0, levels if most is None else F.least(levels, F.lit(most))).otherwise(0))
+    rows = rows.withColumn("k", F.explode_outer(F.when(F.col("levels") > 0, F.sequence(F.lit(1), F.col("levels")))))
+    size = F.floor(F.size("y") / F.col("k")).cast("int")
+    part = lambda i: F.slice("y", F.size("y") - (size - i) * F.col("k") + 1, F.col("k"))
+    sums = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(part(i), F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("sums", F.when(F.col("k").isNotNull(), sums))
+
+    def smooth(alpha: float):
+        start = F.struct(F.element_at("sums", 1).alias("level"), F.lit(0.0).alias("error"))
+        step = lambda a, x: F.struct((alpha * x + (1 - alpha) * a["level"]).alias("level"), (a["error"] + (x - a["level"]) * (x - a["level"])).alias("error"))
+        done = F.aggregate(F.slice("sums", 2, F.size("sums")), start, step)
+        return F.struct(done["error"].alias("error"), F.lit(alpha).alias("alpha"), done["level"].alias("level"))
+
+    best = F.array_min(F.array(*map(smooth, alphas)))["level"]
+    expected = rows.withColumn("each", F.when(F.col("k").isNotNull(), best / F.col("k")))
+    return expected.groupBy("id").agg(F.coalesce(F.avg("each"), F.lit(0.0)).alias("rate"), F.max("levels").alias("levels"))
+
+
 def ensemble(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select("id", "week_start_date", F.col("pred").alias("other"))
     return a.join(b, ["id", "week_start_date"]).select("id", "week_start_date", ((F.col("pred") + F.col("other")) / 2).alias("pred"))

@@ -46,6 +46,20 @@ def accuracy_by(matched: DataFrame, key: str) -> DataFrame:
     return matched.groupBy(key).agg(*_accuracy(), F.sum("units").alias("total")).filter("total > 0").drop("total")
 
 
+def of_run(history: DataFrame, points: DataFrame) -> DataFrame:
+    """The history of the series that the points have, and no others."""
+    return history.join(points.select(F.col("series_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def breakdowns(matched: DataFrame, keys: tuple[str, ...] = ("h", "state_id", "promo", "segment")) -> DataFrame:
+    """by, key, n, wmape, bias, coverage of each group of each key that sold anything, all from one aggregate; rows whose key is null have none."""
+    named = matched.select("p10", "p50", "p90", "units", *(F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in keys))
+    sets = named.groupingSets([[F.col(k)] for k in keys], *keys).agg(*_accuracy(), F.sum("units").alias("total"))
+    key = F.coalesce(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("by"), F.col(k).alias("key"))) for k in keys))
+    named = sets.filter("total > 0").select(key.alias("at"), "n", "wmape", "bias", "coverage")
+    return named.filter(F.col("at.key") != "\0").select("at.*", "n", "wmape", "bias", "coverage")
+
+
 def promo_flag(matched: DataFrame) -> DataFrame:
     return matched.withColumn("promo", (F.col("event_days") > 0) | (F.col("snap_days") > 0))
 
@@ -77,8 +91,8 @@ def freshness(history: DataFrame) -> DataFrame:
 
 
 def churn(history: DataFrame, weeks: int = 13) -> DataFrame:
-    """New, dead and active series of two windows side by side; one pass, one row a series."""
-    sold = history.filter("n_days = 7")
+    """New, dead and active series, by what sold in two windows side by side; one pass, one row a series."""
+    sold = history.filter("n_days = 7 and units > 0")
     latest = history.filter("n_days = 7").agg(F.max("week_start_date").alias("latest"))
     rows = sold.crossJoin(F.broadcast(latest)).filter(F.col("week_start_date") > F.date_sub("latest", 14 * weeks))
     flags = rows.withColumn("recent", F.col("week_start_date") > F.date_sub("latest", 7 * weeks)).groupBy("id").agg(F.bool_or("recent").alias("now"), F.bool_or(~F.col("recent")).alias("then"))

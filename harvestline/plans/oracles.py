@@ -379,5 +379,45 @@ _BODIES["eda_describe"] = " UNION ALL ".join(
 _BODIES["eda_named_events"] = """SELECT event, round(avg(units) / (SELECT avg(units) FROM total WHERE week_start_date NOT IN (SELECT week_start_date FROM cal WHERE name1 IS NOT NULL OR type2 IS NOT NULL)), 4) AS lift
     FROM total JOIN (SELECT week_start_date, name1 AS event FROM cal WHERE name1 IS NOT NULL UNION SELECT week_start_date, 'fair' FROM cal WHERE type2 IS NOT NULL) USING (week_start_date)
     GROUP BY event ORDER BY lift DESC, event LIMIT 12"""
+_HALF = "regexp_matches(series_id, '[02468]$')"
+_BODIES["acc_breakdowns"] = " UNION ALL ".join(
+    f"""SELECT '{n}' AS by, CAST({k} AS VARCHAR) AS key, {_ACC} FROM (SELECT matched.*, segment, event_days > 0 OR snap_days > 0 AS promo FROM matched LEFT JOIN seg USING (series_id) WHERE {_HALF})
+    WHERE {k} IS NOT NULL GROUP BY {k} HAVING sum(units) > 0"""
+    for n, k in (("h", "h"), ("state_id", "state_id"), ("promo", "promo"), ("segment", "segment"))
+)
+_BODIES["run_segments"] = f"SELECT * FROM seg WHERE {_HALF}"
+_BODIES["run_drift_windows"] = f"SELECT side, id, count(*) AS n, CAST(sum(units) AS BIGINT) AS units FROM drift WHERE {_HALF.replace('series_id', 'id')} GROUP BY 1, 2"
+_BODIES["imapa"] = """SELECT id, round(coalesce(rate, 0.0), 4) AS rate, levels FROM (
+    SELECT id, CAST(coalesce(round_even(max(i) FILTER (units > 0) / count(*) FILTER (units > 0), 0), 0) AS INT) AS levels
+    FROM (SELECT id, units, row_number() OVER (PARTITION BY id ORDER BY week_start_date) AS i FROM train) GROUP BY id
+) LEFT JOIN (
+    SELECT id, avg(level / k) AS rate FROM (
+        SELECT id, k, arg_min(level, [sse, alpha]) AS level FROM (
+            SELECT id, k, alpha, coalesce(sum((s - before) * (s - before)), 0.0) AS sse, arg_max(level, t) AS level FROM (
+                SELECT *, lag(level) OVER (PARTITION BY id, k, alpha ORDER BY t) AS before FROM (
+                    SELECT id, k, alpha, t, s, pow(1 - alpha, t) * sum(CASE WHEN t = 0 THEN s ELSE alpha * pow(1 - alpha, -t) * s END) OVER (PARTITION BY id, k, alpha ORDER BY t) AS level
+                    FROM (SELECT id, k, (i - n % k - 1) // k AS t, CAST(sum(units) AS DOUBLE) AS s FROM (
+                        SELECT id, units, row_number() OVER (PARTITION BY id ORDER BY week_start_date) AS i, count(*) OVER (PARTITION BY id) AS n FROM train
+                    ) JOIN (
+                        SELECT id, unnest(range(1, CAST(round_even(max(i) / count(*), 0) AS BIGINT) + 1)) AS k
+                        FROM (SELECT id, units, row_number() OVER (PARTITION BY id ORDER BY week_start_date) AS i FROM train) WHERE units > 0 GROUP BY id
+                    ) USING (id) WHERE i > n % k GROUP BY ALL), (SELECT unnest([CAST(0.1 AS DOUBLE), 0.15, 0.2, 0.25, 0.3]) AS alpha)
+                )
+            ) GROUP BY ALL
+        ) GROUP BY ALL
+    ) GROUP BY id
+) USING (id)"""
+_BODIES["counter_rates"] = """SELECT * FROM (WITH c AS (SELECT event_type AS key, ts, CAST(row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS DOUBLE) AS v FROM events),
+    l AS (SELECT *, CASE WHEN v < lag(v) OVER (PARTITION BY key ORDER BY ts, v) THEN lag(v) OVER (PARTITION BY key ORDER BY ts, v) ELSE 0 END AS lost FROM c),
+    w AS (SELECT key, time_bucket(INTERVAL 60 minutes, ts) - j * INTERVAL 60 minutes AS window_start, count(*) AS n, first(v ORDER BY ts, v) AS v0, last(v ORDER BY ts, v) AS v1, sum(lost) - first(lost ORDER BY ts, v) AS lost,
+        epoch_us(min(ts)) / 1e6 AS t0, epoch_us(max(ts)) / 1e6 AS t1 FROM l, range(0, 2) t(j) GROUP BY ALL),
+    r AS (SELECT *, v1 - v0 + lost AS increase, t1 - t0 AS span, (t1 - t0) / (n - 1) AS step, t0 - epoch_us(window_start) / 1e6 AS a, epoch_us(window_start) / 1e6 + 7200 - t1 AS b FROM w WHERE n > 1 AND t1 > t0)
+    SELECT key, window_start, n, round(increase, 4) AS increase,
+        round(increase * (span + least(CASE WHEN a >= 1.1 * step THEN step / 2 ELSE a END, CASE WHEN increase > 0 THEN span * v0 / increase ELSE a END) + CASE WHEN b >= 1.1 * step THEN step / 2 ELSE b END) / span / 7200, 8) AS per_second FROM r)"""
+_BODIES["sustained_alerts"] = """SELECT * FROM (WITH e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS t, event_id, coalesce(value > 5, false) AS high, (SELECT epoch_us(max(ts)) // 1000 - 1800000 FROM events) AS mark FROM events),
+    s AS (SELECT *, count(*) FILTER (NOT high) OVER (PARTITION BY key ORDER BY t, event_id) AS dips FROM e WHERE t <= mark),
+    i AS (SELECT key, dips, min(t) AS since, any_value(mark) AS mark FROM s WHERE high GROUP BY 1, 2),
+    d AS (SELECT key, dips - 1 AS dips, t FROM s WHERE NOT high)
+    SELECT key, make_timestamp(since * 1000) AS since, make_timestamp((since + 3600000) * 1000) AS fired_at FROM i LEFT JOIN d USING (key, dips) WHERE coalesce(d.t > since + 3600000, since + 3600000 < mark))"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import r4, ratio
@@ -20,6 +20,7 @@ from harvestline.operators import runs as R
 from harvestline.sources import retail as S
 from harvestline.sources.shared import cut
 from harvestline.streaming import hist_quantile, stream_rate, stream_score
+from harvestline.streaming.alerts import counter_rate, sustained_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,6 +157,7 @@ on_holdout("seasonal_naive", B.seasonal_naive)
 on_holdout("seasonal_ma", lambda t, a: rounded(B.seasonal_ma(t, a), "pred"))
 on_holdout("dept_seasonal_ma", lambda t, a: rounded(B.dept_seasonal_ma(t, a), "pred"))
 on_holdout("croston", lambda t, a: rounded(B.croston(t), "rate"))
+on_holdout("imapa", lambda t, a: rounded(B.imapa(t), "rate"))
 on_holdout("ensemble", lambda t, a: B.ensemble(B.moving_average(t, a), B.seasonal_naive(t, a)))
 on_holdout("predict_masked", lambda t, a: B.mask_unavailable(B.moving_average(t, a), a))
 on_holdout("hybrid", lambda t, a: B.hybrid(B.seasonal_naive(t, a), B.moving_average(t, a), t))
@@ -316,6 +318,23 @@ on_runs("accuracy_vs_actual", lambda p, r, q: O.accuracy(O.with_actuals(last_run
 on_runs("acc_by_horizon", lambda p, r, q: O.accuracy_by(O.with_actuals(last_run(q), p), "h"))
 on_runs("acc_by_state", lambda p, r, q: O.accuracy_by(O.with_actuals(last_run(q), p), "state_id"))
 on_runs("acc_by_promo", lambda p, r, q: O.accuracy_by(O.promo_flag(O.with_actuals(last_run(q), p)), "promo"))
+
+
+def half_run(q: DataFrame) -> DataFrame:
+    """The last run as if it had been asked for the stores of nations with an even last digit only."""
+    return last_run(q).filter(F.col("series_id").rlike("[02468]$"))
+
+
+def _breakdowns(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
+    mine = cut(half_run(q))
+    history = O.of_run(p, mine)
+    matched = O.promo_flag(O.with_actuals(mine, history)).join(O.segments(history, S.origin_of(p)), "series_id", "left")
+    return O.breakdowns(matched)
+
+
+on_runs("acc_breakdowns", _breakdowns)
+on_runs("run_segments", lambda p, r, q: O.segments(O.of_run(p, half_run(q)), S.origin_of(p)))
+on_runs("run_drift_windows", lambda p, r, q: O.drift_windows(O.of_run(p, half_run(q)), S.origin_of(p)).groupBy("side", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units")))
 on_panel("segments", lambda p: O.segments(p, S.origin_of(p)))
 on_runs("acc_by_segment", lambda p, r, q: O.accuracy_by(O.with_actuals(last_run(q), p).join(O.segments(p, S.origin_of(p)), "series_id"), "segment"))
 on_runs("fva_ma4", lambda p, r, q: O.fva(O.with_actuals(q.filter("run_id = 4"), p), S.with_back(p).filter("back >= 15")))
@@ -443,7 +462,7 @@ QUERIES["score"] = lambda spark, sf: _score(cut(S.panel(spark, sf)))
 
 def _decompose(p: DataFrame) -> DataFrame:
     model, frame = _fit(p)
-    return ML.decompose(model, frame.filter("back <= 8 and back = 9 - h"))
+    return ML.decompose(model.transform, frame.filter("back <= 8 and back = 9 - h"))
 
 
 QUERIES["decompose"] = lambda spark, sf: _decompose(cut(S.panel(spark, sf)))
@@ -464,5 +483,17 @@ def score_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["stream_score"] = score_stream
+
+
+@query
+def counter_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of counters of events by type, which start anew each day."""
+    events = S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    rates = counter_rate(events.select(F.col("event_type").alias("key"), "ts", F.row_number().over(day).cast("double").alias("value")), 120, 60)
+    return rounded(rates, "increase").withColumn("per_second", F.round("per_second", 8))
+
+
+QUERIES["sustained_alerts"] = lambda spark, sf: sustained_events(spark, sf, F.col("value") > 5, F.col("event_type"), 60, 30)
 QUERIES["stream_rate"] = stream_rate
 QUERIES["hist_quantile"] = lambda spark, sf: hist_quantile(S.table(spark, sf, "events"), "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0), 0.95)
