@@ -24,15 +24,16 @@ from .common import cut, written
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS, TOP_TERMS, SHARE = 3, 200, 1_000_000_000
 #: Bytes of text that share an automaton; counts that a task holds before it sends them on; bits of the map of kept terms, at most.
-BLOCK_BYTES, HELD, MOST_BITS = 1 << 23, 400_000, 1 << 28
+BLOCK_BYTES, HELD, MOST_BITS = 1 << 21, 1_000_000, 1 << 28
 #: Parts into which the sources of a language are dealt when pairs of them are made.
 SPREAD = 16
 
 
 def _share(count: Column, total: Column) -> Column:
-    """1 + floor(10**9 * (count + 1) / total), exact for counts of any size."""
+    """1 + floor(10**9 * (count + 1) / total), exact for counts of any size; by longs where these hold the product."""
     big = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", F.lit(SHARE).cast("decimal(10,0)") * big(count + 1), big(total))
+    exact = F.call_function("div", F.lit(SHARE).cast("decimal(10,0)") * big(count + 1), big(total))
+    return F.lit(1) + F.when(count < 1 << 33, F.call_function("div", F.lit(SHARE).cast("long") * (count + 1), total)).otherwise(exact)
 
 
 def _far(p: Column, q: Column) -> Column:
@@ -135,23 +136,22 @@ def occurrences(rows: DataFrame, kept: DataFrame, block_bytes: int = BLOCK_BYTES
     return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"])
 
 
-def pair_values(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value: the sum of f over all kept terms for each ordered pair of a language's sources.
 
-    postings has p for each (lang, source, term); groups has z, the p of a term that the source lacks, and v, the number of kept terms. With
-    p and q beyond z on the terms that they have, the sum over all terms is v * f(z, z') and what single and common terms add to it.
+    lists has for each term the sources that have it, with their p there and their z, the p of a term that they lack; groups has z and v,
+    the number of kept terms. The sum over all terms is v * f(z, z') and what the terms of one, the other and both add to it.
     """
     slot = F.pmod(F.xxhash64("source"), F.lit(SPREAD))
     left = groups.withColumn("slot", slot)
     right = groups.select("lang", F.col("source").alias("item"), F.col("z").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("slot"))
     pairs = cut(left.join(right, ["lang", "slot"]).filter("source != item").select("lang", "source", "item", "z", "y", "v"))
     z, y = F.col("z"), F.col("y")
-    levels = cut(postings.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n")))
+    levels = lists.select("lang", F.explode("have").alias("a")).groupBy("lang", F.col("a.source").alias("source"), F.col("a.p").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    levels = cut(levels)
     own = pairs.join(levels, ["lang", "source"]).select("lang", "source", "item", (F.col("n") * (_far(F.col("p"), y) - _far(z, y))).alias("value"))
     theirs = pairs.join(levels.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", "source", "item", (F.col("n") * (_far(z, F.col("p")) - _far(z, y))).alias("value"))
-    # The sources that have a term are one list: a row a source, as many as the result has partners.
-    lists = postings.join(groups.select("lang", "source", "z"), ["lang", "source"]).groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "z")).alias("have")).filter(F.size("have") > 1)
-    twice = lists.select("lang", "have", F.explode("have").alias("a")).select("lang", "a", F.explode("have").alias("b")).filter("a.source != b.source")
+    twice = lists.filter(F.size("have") > 1).select("lang", "have", F.explode("have").alias("a")).select("lang", "a", F.explode("have").alias("b")).filter("a.source != b.source")
     p, q, zp, zq = F.col("a.p"), F.col("b.p"), F.col("a.z"), F.col("b.z")
     common = twice.select("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), (_far(p, q) - _far(p, zq) - _far(zp, q) + _far(zp, zq)).alias("value"))
     flat = pairs.select("lang", "source", "item", (F.col("v") * _far(z, y)).alias("value"))
@@ -163,20 +163,20 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
 
     A term is kept if min_docs documents (rows; repeated ones count) of its language have it. Part pair has every other source of the
     language, 0 where no term is kept; part term the top terms that the source has more often than its language, none for sources
-    without terms. Ties go by the item's UTF-8 bytes. An empty table gives no rows. Other columns are not read.
+    without terms. Ties go by the item's UTF-8 bytes. An empty table gives no rows. Other columns are not read. A term's sources are
+    one list, as long as the result's list of partners of a source.
     """
     rows = texts(docs)
     kept = written(vocabulary(rows, min_docs))
     postings = written(occurrences(rows, kept, block_bytes, most_bits))
-    words = postings.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"))
-    langs = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("n_lang"))
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["n", "v", "n_lang"])
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang", "left").fillna(0, ["n", "v"])
     groups = cut(groups.withColumn("z", F.when(F.col("v") > 0, _share(F.lit(0).cast("long"), F.col("n") + F.col("v"))).otherwise(1)))
-    shares = postings.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("count"), F.col("n") + F.col("v")).alias("p"))
-    shares = written(shares)
-    of_lang = words.join(langs, "lang").select("lang", "term", _share(F.col("in_lang"), F.col("n_lang") + F.col("v")).alias("q"))
-    terms = shares.join(of_lang, ["lang", "term"]).filter("p > q").select("lang", "source", F.col("term").alias("item"), _far(F.col("p"), F.col("q")).alias("value"))
+    langs = groups.groupBy("lang").agg((F.sum("n") + F.max("v")).alias("all"))
+    shares = postings.join(groups, ["lang", "source"]).select("lang", "term", "count", F.struct("source", _share(F.col("count"), F.col("n") + F.col("v")).alias("p"), "z").alias("have"))
+    lists = written(shares.groupBy("lang", "term").agg(F.collect_list("have").alias("have"), F.sum("count").alias("in_lang")))
+    beside = lists.join(langs, "lang").select("lang", "term", _share(F.col("in_lang"), F.col("all")).alias("q"), F.explode("have").alias("a")).filter("a.p > q")
+    terms = beside.select("lang", F.col("a.source").alias("source"), F.col("term").alias("item"), _far(F.col("a.p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), "rank")
-    return ranked(pair_values(shares, groups), "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))
+    return ranked(pair_values(lists, groups), "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))
