@@ -12,7 +12,7 @@ smaller values and the missing ones (bin 0) to the left; categories are ordered
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -30,7 +30,7 @@ POINTS = 2048
 
 @dataclass(frozen=True)
 class Params:
-    """One booster. after: only rows whose order is beyond it are learned from; without: features that it does without."""
+    """One booster. after: only rows whose order is beyond it are learned from; without: features that it does without; weighted: by the rows' weights."""
 
     name: str = "point"
     objective: str = "tweedie"
@@ -48,6 +48,7 @@ class Params:
     seed: int = 0
     after: float = -math.inf
     without: tuple[str, ...] = ()
+    weighted: bool = True
 
 
 @dataclass
@@ -146,10 +147,11 @@ _BLOCK = "block long, bins binary, label binary, weight binary, order binary, sc
 
 
 def blocks(frame: DataFrame, binning: Binning, n_boosters: int, label: str, weight: str, order: str | None) -> DataFrame:
-    """Blocks of binned rows; a row without label or with weight 0 or none teaches nothing and is left out."""
+    """Blocks of binned rows; a row without label or weight teaches nothing and is left out."""
     when = F.col(order).cast("double") if order else F.lit(0.0)
     rows = frame.select(*binning.columns(), F.col(label).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"), when.alias("__o"))
-    rows = rows.filter("__y is not null and __w > 0").withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.filter("__y is not null and __w >= 0").withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, frame.rdd.getNumPartitions()), "__at")  # every pass reads the blocks: even shares
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -176,6 +178,10 @@ def gradients(p: Params, y: np.ndarray, w: np.ndarray, score: np.ndarray) -> tup
     return w * np.where(y <= score, 1 - p.alpha, -p.alpha), w
 
 
+def _weights(p: Params, b: Block) -> np.ndarray:
+    return b.weight if p.weighted else np.ones(len(b.weight))
+
+
 def _taught(p: Params, b: Block, n_trees: int) -> np.ndarray:
     """Rows that a booster's next tree learns from; the draw depends on the tree, the seed and the block only."""
     rows = b.order > p.after
@@ -225,7 +231,7 @@ def level_splits(made: DataFrame, boosters: list[Booster], growing: list[Tree],
                     at = slot[tree.nodes(b.bins)]
                     rows = np.flatnonzero((at >= 0) & _taught(p, b, len(booster.trees)))
                     bins, at = b.bins[rows], at[rows] * BINS
-                    g, h = gradients(p, b.label[rows], b.weight[rows], booster.base + b.score[m, rows] + booster.raw(bins, refreshed))
+                    g, h = gradients(p, b.label[rows], _weights(p, b)[rows], booster.base + b.score[m, rows] + booster.raw(bins, refreshed))
                     mine = total.setdefault(m, np.zeros((len(nodes), n_features, 3, BINS)))
                     for f in np.flatnonzero(allowed[m]):
                         key = at + bins[:, f]
@@ -234,15 +240,37 @@ def level_splits(made: DataFrame, boosters: list[Booster], growing: list[Tree],
         out = [(part, m, node, int(f), t[k, f].tobytes()) for m, t in total.items() for k, node in enumerate(open_nodes[m]) for f in np.flatnonzero(allowed[m])]
         yield pd.DataFrame(out, columns=["part", "booster", "node", "feature", "sums"])
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        m, node, f = (int(frame[c].iat[0]) for c in ("booster", "node", "feature"))
-        g, h, n = sum(np.frombuffer(x, np.float64).reshape(3, BINS) for x in frame.sort_values("part")["sums"])
+    def choose(key: tuple, rows: list[tuple]) -> tuple:
+        m, node, f = key
+        g, h, n = sum(np.frombuffer(x, np.float64).reshape(3, BINS) for (x,) in rows)
         gain, left = best_split(g, h, n, params[m], bool(categorical[f]))
-        return pd.DataFrame([(m, node, f, gain, left.tobytes(), g[left].sum(), h[left].sum(), g.sum(), h.sum())], columns=["booster", "node", "feature", "gain", "left", "gl", "hl", "g", "h"])
+        return m, node, f, gain, left.tobytes(), float(g[left].sum()), float(h[left].sum()), float(g.sum()), float(h.sum())
 
     partial = made.mapInPandas(sums, "part long, booster int, node int, feature int, sums binary")
-    each = partial.groupBy("booster", "node", "feature").applyInPandas(choose, "booster int, node int, feature int, gain double, left binary, gl double, hl double, g double, h double")
-    return each.groupBy("booster", "node").agg(F.max_by(F.struct("feature", "gain", "left", "gl", "hl", "g", "h"), F.struct("gain", -F.col("feature"))).alias("best")).select("booster", "node", "best.*")
+    each = by_key(partial, ["booster", "node", "feature"], ["sums"], choose, "booster int, node int, feature int, gain double, left binary, gl double, hl double, g double, h double")
+    best = F.max_by(F.struct("feature", "gain", "left", "gl", "hl", "g", "h"), F.struct("gain", -F.col("feature")))
+    return each.groupBy("booster", "node").agg(best.alias("best")).select("booster", "node", "best.*")
+
+
+def by_key(partial: DataFrame, keys: list[str], values: list[str], finish: Callable[[tuple, list[tuple]], tuple], schema: str) -> DataFrame:
+    """One row for each key of what the tasks sent for it, in the order of their parts; a key has a row a task at most."""
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, at, held, out = [c.split()[0] for c in schema.split(", ")], None, [], []
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                key, rest = tuple(map(int, row[: len(keys)])), row[len(keys) :]
+                if key != at:
+                    if held:
+                        out.append(finish(at, held))
+                    at, held = key, []
+                held.append(rest)
+        if held:
+            out.append(finish(at, held))
+        yield pd.DataFrame(out, columns=names)
+
+    dealt = partial.repartition(*keys).sortWithinPartitions(*keys, "part")
+    return dealt.select(*keys, *values).mapInPandas(walk, schema)
 
 
 def summary(values: np.ndarray, weights: np.ndarray, points: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
@@ -288,23 +316,22 @@ def residual_quantiles(made: DataFrame, boosters: list[Booster], growing: list[T
                     for k in np.unique(node):
                         x, w = held.get((m, k), (np.zeros(0), np.zeros(0)))
                         own = node == k
-                        held[m, k] = summary(np.concatenate([x, rest[own]]), np.concatenate([w, b.weight[rows][own]]), 8 * POINTS)
+                        held[m, k] = summary(np.concatenate([x, rest[own]]), np.concatenate([w, _weights(booster.params, b)[rows][own]]), 8 * POINTS)
         yield pd.DataFrame([pack(part, m, k, *summary(x, w)) for (m, k), (x, w) in held.items()], columns=names)
 
-    def joined(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        frame = frame.sort_values("part")
-        return tuple(np.frombuffer(b"".join(frame[c]), np.float64) for c in ("x", "w"))
+    def joined(rows: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(r[k + j] for r in rows), np.float64) for j in (0, 1))
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([pack(frame["part"].min(), frame["booster"].iat[0], frame["node"].iat[0], *summary(*joined(frame), 8 * POINTS))], columns=names)
+    def merge(key: tuple, rows: list[tuple]) -> tuple:
+        return pack(min(r[0] for r in rows), *key[:2], *summary(*joined(rows, 1), 8 * POINTS))
 
-    def value(frame: pd.DataFrame) -> pd.DataFrame:
-        m = int(frame["booster"].iat[0])
-        return pd.DataFrame([(m, int(frame["node"].iat[0]), weighted_quantile(*joined(frame), boosters[m].params.alpha))], columns=["booster", "node", "quantile"])
+    def value(key: tuple, rows: list[tuple]) -> tuple:
+        return *key, weighted_quantile(*joined(rows, 0), boosters[key[0]].params.alpha)
 
-    sent = made.mapInPandas(leaves, schema).withColumn("lane", F.pmod(F.xxhash64("part"), F.lit(64)))
-    met = sent.groupBy("booster", "node", "lane").applyInPandas(merge, schema)
-    return met.groupBy("booster", "node").applyInPandas(value, "booster int, node int, quantile double")
+    lanes = 1 + made.rdd.getNumPartitions() // 64
+    sent = made.mapInPandas(leaves, schema).withColumn("lane", F.pmod(F.xxhash64("part"), F.lit(lanes)))
+    met = by_key(sent, ["booster", "node", "lane"], ["part", "x", "w"], merge, schema)
+    return by_key(met, ["booster", "node"], ["x", "w"], value, "booster int, node int, quantile double")
 
 
 def _bases(made: DataFrame, boosters: list[Booster], n_features: int) -> None:
@@ -316,7 +343,7 @@ def _bases(made: DataFrame, boosters: list[Booster], n_features: int) -> None:
             for row in frame.to_dict("records"):
                 b = _open(row, n_features, len(boosters))
                 for m, booster in enumerate(boosters):
-                    w = np.where(b.order > booster.params.after, b.weight, 0.0)
+                    w = np.where(b.order > booster.params.after, _weights(booster.params, b), 0.0)
                     total[m] += (w * b.label).sum(), w.sum()
         yield pd.DataFrame([(m, *t) for m, t in enumerate(total)], columns=["booster", "y", "w"])
 

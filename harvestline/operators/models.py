@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -18,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.functions import ratio
-from harvestline.operators.features import LAGS, MEANS
+from harvestline.operators.boosting import Model
+from harvestline.operators.features import LAGS, MEANS, build_direct, calendar_features, prices
 
 NUMERIC = [*(f"log_lag_{k}" for k in LAGS[:5]), *(f"log_rmean_{m}" for m in MEANS), "nz_share_4", "nz_share_13", "woy_sin", "woy_cos", "snap_days", "event_days", "h"]
 #: What a part of the forecast is without: the columns of each feature group and their neutral values.
 NEUTRAL = {"seasonality": {"woy_sin": 0.0, "woy_cos": 0.0}, "events": {"event_days": 0.0, "snap_days": 0.0}}
 
-NEUTRAL_COLUMNS = [c for values in NEUTRAL.values() for c in values]
-
 
 def prepare(frame: DataFrame) -> DataFrame:
     """Logarithms of counts, so that a log link is close to linear in them; unknown values are 0."""
@@ -93,21 +93,65 @@ def interval(pred: DataFrame, calibration: DataFrame, low: float = 0.1, high: fl
     return joined.select(F.col("id").alias("series_id"), "week_start_date", "h", p10.alias("p10"), F.col("pred").alias("p50"), p90.alias("p90"))
 
 
-def decompose(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """The raw forecast as a base and what each feature group adds to it; the parts sum to the whole.
+def decompose(forecast: Callable[[DataFrame], DataFrame], frame: DataFrame, neutral: dict[str, dict[str, float]] = NEUTRAL, keys: tuple[str, ...] = ("id", "week_start_date", "h")) -> DataFrame:
+    """The forecast (a column raw) as a base and what each feature group adds to it; the parts sum to the whole.
 
     Each row is forecast as it is and once without each group, side by side: no join.
     """
-    groups = {"": {}} | NEUTRAL
-    copies = F.array(*(F.struct(F.lit(name).alias("without"), *(F.lit(values[c]).alias(c) if c in values else F.col(c).alias(c) for c in NEUTRAL_COLUMNS)) for name, values in groups.items()))
-    rest = [c for c in frame.columns if c not in NEUTRAL_COLUMNS]
-    raw = model.transform(frame.withColumn("copy", F.explode(copies)).select(*rest, "copy.*"))
+    columns = [c for values in neutral.values() for c in values]
+    value = lambda c, values: (F.lit(values[c]) if c in values else F.col(c)).cast("double").alias(c)
+    copies = F.array(*(F.struct(F.lit(name).alias("without"), *(value(c, values) for c in columns)) for name, values in ({"": {}} | neutral).items()))
+    rest = [c for c in frame.columns if c not in columns]
+    raw = forecast(frame.withColumn("copy", F.explode(copies)).select(*rest, "copy.*"))
     of = lambda name: F.max(F.when(F.col("without") == name, F.col("raw")))
-    out = raw.groupBy("id", "week_start_date", "h").agg(of("").alias("total"), *((of("") - of(name)).alias(name) for name in NEUTRAL))
+    out = raw.groupBy(*keys).agg(of("").alias("total"), *((of("") - of(name)).alias(name) for name in neutral))
     base = F.col("total")
-    for name in NEUTRAL:
+    for name in neutral:
         base = base - F.col(name)
-    return out.select("id", "week_start_date", "h", base.alias("base"), *NEUTRAL, "total")
+    return out.select(*keys, base.alias("base"), *neutral, "total")
+
+
+def decompose_series(forecast: Callable[[DataFrame], DataFrame], frame: DataFrame, item: str, store: str, neutral: dict[str, dict[str, float]] = NEUTRAL) -> DataFrame:
+    """The parts of one item in one store, by week; a series that the frame lacks is an error."""
+    rows = frame.filter((F.col("item_id") == item) & (F.col("store_id") == store))
+    if rows.isEmpty():
+        raise ValueError(f"no series of {item} in {store}")
+    return decompose(forecast, rows, neutral).orderBy("week_start_date", "h")
+
+
+#: Features of the boosters.
+BOOST_NUMERIC = [
+    *(f"lag_{k}" for k in LAGS), *(f"rmean_{m}" for m in MEANS), "rstd_13", "rmax_13", "nz_share_4", "nz_share_13", "item_rmean_4", "dept_rmean_4", "h",
+    "sell_price", "price_rel", "disc_pct", "is_promo", "weeks_since_promo", "woy_sin", "woy_cos", "month", "is_year_end", "snap_days", "event_days", "age_weeks",
+]
+BOOST_CATEGORIES = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
+#: What a part of a booster's forecast is without; fixed values.
+BOOST_NEUTRAL = {
+    "promo": {"is_promo": 0.0, "disc_pct": 0.0, "price_rel": 1.0, "weeks_since_promo": 52.0},
+    "seasonality": {"woy_sin": 0.0, "woy_cos": 0.0, "is_year_end": 0.0, "month": 6.0},
+    "events": {"event_days": 0.0, "snap_days": 0.0},
+}
+BOOST_GROUPS = {name: tuple(values) for name, values in BOOST_NEUTRAL.items()}
+
+
+def boost_frame(panel: DataFrame) -> DataFrame:
+    """The multi-horizon frame with the target week's price, promotion and calendar features, label, and weight log(1 + revenue)."""
+    known = calendar_features(prices(panel)).withColumn("disc_pct", 100 * (F.col("price_rel") - 1))
+    weight = F.log1p(F.greatest(F.coalesce("revenue", F.lit(0.0)), F.lit(0.0)))
+    return build_direct(known).withColumns({"label": F.col("units").cast("double"), "weight": weight})
+
+
+def masked(frame: DataFrame) -> DataFrame:
+    """id, dept_id, week, h, units, pred of a frame with raw forecasts: never negative, 0 where nothing was available."""
+    pred = F.when(F.col("available_days") == 0, 0.0).otherwise(F.greatest("raw", F.lit(0.0)))
+    return frame.select("id", "dept_id", "week_start_date", "h", "units", pred.alias("pred"))
+
+
+def boosted_quantiles(model: Model, frame: DataFrame, *names: str) -> DataFrame:
+    """series_id, week, h and the quantile boosters' forecasts in order: never negative, sorted within a row, 0 where nothing was available."""
+    made = model.transform(frame, {n: n for n in names})
+    zero = F.when(F.col("available_days") == 0, F.array(*(F.lit(0.0) for _ in names))).otherwise(F.array_sort(F.array(*(F.greatest(n, F.lit(0.0)) for n in names))))
+    return made.withColumn("q", zero).select(F.col("id").alias("series_id"), "week_start_date", "h", *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
 
 def fit_fourier(ratios: DataFrame, harmonics: int = 5, ridge: float = 0.1) -> PipelineModel:

@@ -419,5 +419,11 @@ _BODIES["sustained_alerts"] = """SELECT * FROM (WITH e AS (SELECT event_type AS
     i AS (SELECT key, dips, min(t) AS since, any_value(mark) AS mark FROM s WHERE high GROUP BY 1, 2),
     d AS (SELECT key, dips - 1 AS dips, t FROM s WHERE NOT high)
     SELECT key, make_timestamp(since * 1000) AS since, make_timestamp((since + 3600000) * 1000) AS fired_at FROM i LEFT JOIN d USING (key, dips) WHERE coalesce(d.t > since + 3600000, since + 3600000 < mark))"""
+_BODIES |= {new: _BODIES[old] for new, old in (("stored_points", "upsert_points"), ("memo_panel", "dense_panel"), ("csv_calendar", "calendar_enrich"), ("slice_copy", "category_slice"), ("export_csv", "export_rows"))}
+_BODIES["csv_prices"] = "SELECT store_id, item_id, CAST(w AS DATE) AS wm_yr_wk, round(sell_price, 4) AS sell_price FROM wprice"
+_BODIES["csv_wide_sales"] = f"SELECT item_id || '_' || state_id AS id, * FROM ({_BODIES['melt_daily']})"
+_BODIES["metric_files"] = " UNION ALL ".join(f"SELECT '{f}' AS format, * FROM ({_BODIES['cv_summary']})" for f in ("json", "csv"))
+_BODIES["forecast_maturation"] = """SELECT run_id, series_id, q.week_start_date, h, round(p50, 4) AS p50, p.units, p.units IS NOT NULL AS matured FROM points q
+    LEFT JOIN panel p ON p.id = q.series_id AND p.week_start_date = q.week_start_date AND p.n_days = 7 AND weekofyear(p.week_start_date) % 5 <> 0"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}
