@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import cut, written
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS, TOP_TERMS, SHARE = 3, 200, 1_000_000_000
 #: Bytes of text that share an automaton; counts that a task holds before it sends them on; bits of the map of kept terms, at most.
-BLOCK_BYTES, HELD, MOST_BITS = 1 << 21, 1_000_000, 1 << 28
+BLOCK_BYTES, HELD, MOST_BITS = 1 << 22, 4_000_000, 1 << 28
 #: Parts into which the sources of a language are dealt when pairs of them are made.
 SPREAD = 16
 
@@ -48,30 +48,29 @@ def spaced(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(LETTERS)
 
 
-def _read(terms: list[bytes]) -> list[str]:
-    return [t.decode("utf-8", "surrogatepass") for t in terms]
+def _texts(terms: list[bytes]) -> pa.Array:
+    return pa.array(terms, pa.binary()).cast(pa.string())
 
 
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, term: the terms that so many documents of the language have. Tasks send sums over the documents that they read."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[str, Counter] = {}
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for lang, n in filter(itemgetter(1), docs.items()):
-                yield pd.DataFrame({"lang": lang, "term": _read(list(n)), "docs": list(n.values())})
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, n in docs.items():
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), _texts(list(n)), pa.array(n.values(), pa.int64())], ["lang", "term", "docs"])
             docs.clear()
 
-        for frame in frames:
-            for lang, text in zip(frame["lang"], frame["text"]):
-                own = docs.setdefault(lang, Counter())
-                own.update(set(spaced(text).split()))
-                if len(own) > HELD:
-                    yield from flush()
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                docs.setdefault(lang, Counter()).update(set(spaced(text).split()))
+            if sum(map(len, docs.values())) > HELD // 4:
+                yield from flush()
         yield from flush()
 
-    seen = rows.select("lang", "text").mapInPandas(count, "lang string, term string, docs long")
+    seen = rows.select("lang", "text").mapInArrow(count, "lang string, term string, docs long")
     return seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
 
 
@@ -90,52 +89,102 @@ def occurrences(rows: DataFrame, kept: DataFrame, block_bytes: int = BLOCK_BYTES
     """lang, source, term, count > 0: how often each source has each kept term of its language."""
     sent = rows.sparkSession.sparkContext.broadcast(bit_map(kept, most_bits))  # most_bits at most
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
         from xxhash import xxh64_intdigest
 
         bits, size = sent.value, 64 * len(sent.value)
         block: dict[str, dict[str, list[bytes]]] = {}
-        found: dict[tuple[str, str], Counter] = {}
+        numbers: dict[str, dict[bytes, int]] = {}  # of the terms found so far
+        found: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting = held = 0
 
-        def scan() -> None:
+        def scan() -> int:
+            more = 0
             for lang, sources in block.items():
                 together = {source: b" ".join(parts) for source, parts in sources.items()}
                 terms = list(set().union(*(t.split() for t in together.values())))
                 seed = xxh64_intdigest(lang.encode(), 42)
                 at = np.array([xxh64_intdigest(t, seed) & (size - 1) for t in terms], np.int64)
-                known = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) if terms else []
-                words = ahocorasick.Automaton()
-                for t in _read([t for t, k in zip(terms, known) if k]):
-                    words.add_word(f" {t} ", t)
-                if len(words):
-                    words.make_automaton()
-                    for source, text in together.items():
-                        found.setdefault((lang, source), Counter()).update(map(itemgetter(1), words.iter(f" {_read([text])[0]} ")))
+                known = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+                terms = [t for t, k in zip(terms, known.tolist()) if k]
+                if not terms:
+                    continue
+                words, own = ahocorasick.Automaton(ahocorasick.STORE_INTS), numbers.setdefault(lang, {})
+                for k, t in enumerate(terms):
+                    words.add_word(f" {t.decode()} ", k)
+                words.make_automaton()
+                number = np.array([own.setdefault(t, len(own)) for t in terms])
+                for source, text in together.items():
+                    n = np.bincount(np.fromiter(map(itemgetter(1), words.iter(f" {text.decode()} ")), np.int64), minlength=len(terms))
+                    hit = np.flatnonzero(n)
+                    found.setdefault((lang, source), []).append((number[hit], n[hit]))
+                    more += len(hit)
             block.clear()
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for (lang, source), n in filter(itemgetter(1), found.items()):
-                yield pd.DataFrame({"lang": lang, "source": source, "term": list(n), "count": list(n.values())})
+            return more
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = {lang: _texts(list(own)) for lang, own in numbers.items()}
+            for (lang, source), parts in found.items():
+                which, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+                n = np.zeros(len(which), np.int64)
+                np.add.at(n, at, np.concatenate([n for _, n in parts]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), names[lang].take(pa.array(which)), pa.array(n)], ["lang", "source", "term", "count"])
+            numbers.clear()
             found.clear()
 
-        waiting = 0
-        for frame in frames:
-            for lang, source, text in zip(frame["lang"], frame["source"], frame["text"]):
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 block.setdefault(lang, {}).setdefault(source, []).append(spaced(text))
                 waiting += len(text)
                 if waiting > block_bytes:
-                    scan()
-                    waiting = 0
-                    if sum(map(len, found.values())) > HELD:
+                    held, waiting = held + scan(), 0
+                    if held > HELD:
                         yield from flush()
+                        held = 0
         scan()
         yield from flush()
 
-    counted = rows.mapInPandas(count, "lang string, source string, term string, count long")
+    counted = rows.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, count long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"])
 
 
+def common_values(lists: DataFrame, step: int = 1 << 19) -> DataFrame:
+    """lang, source, item, value: what the terms of both add to a pair's sum beyond what each alone does, a row for each pair and task batch."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = lambda p, q: (p - q) ** 2 // q
+        for batch in batches:
+            have = batch.column("have")
+            lengths, flat = np.diff(have.offsets.to_numpy()), have.flatten()
+            langs = np.repeat(np.array(batch.column("lang").to_pylist(), object), lengths)
+            groups, code = {}, np.zeros(len(langs), np.int64)
+            for k, key in enumerate(zip(langs.tolist(), flat.field("source").to_pylist())):
+                code[k] = groups.setdefault(key, len(groups))
+            p, z = (flat.field(c).to_numpy() for c in ("p", "z"))
+            first = np.repeat(np.cumsum(lengths) - lengths, lengths)  # where the row's own list begins
+            each = np.repeat(lengths, lengths)
+            ends, done, total = np.cumsum(each), 0, {}
+            while done < len(each):
+                to = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, side="right")), done + 1)
+                i = np.repeat(np.arange(done, to), each[done:to])
+                j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(each[done:to]) - each[done:to], each[done:to])
+                i, j = i[i != j], j[i != j]
+                value = far(p[i], p[j]) - far(p[i], z[j]) - far(z[i], p[j]) + far(z[i], z[j])
+                pairs, at = np.unique(code[i] * len(groups) + code[j], return_inverse=True)
+                sums = np.zeros(len(pairs), np.int64)
+                np.add.at(sums, at, value)
+                for key, v in zip(pairs.tolist(), sums.tolist()):
+                    total[key] = total.get(key, 0) + v
+                done = to
+            names = list(groups)
+            out = [(*names[k // len(groups)], names[k % len(groups)][1], v) for k, v in total.items()]
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], ["lang", "source", "item", "value"])
+
+    return lists.filter(F.size("have") > 1).select("lang", "have").mapInArrow(add, "lang string, source string, item string, value long")
+
+
 def pair_values(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value: the sum of f over all kept terms for each ordered pair of a language's sources.
 
@@ -151,11 +200,8 @@ def pair_values(lists: DataFrame, groups: DataFrame) -> DataFrame:
     levels = cut(levels)
     own = pairs.join(levels, ["lang", "source"]).select("lang", "source", "item", (F.col("n") * (_far(F.col("p"), y) - _far(z, y))).alias("value"))
     theirs = pairs.join(levels.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", "source", "item", (F.col("n") * (_far(z, F.col("p")) - _far(z, y))).alias("value"))
-    twice = lists.filter(F.size("have") > 1).select("lang", "have", F.explode("have").alias("a")).select("lang", "a", F.explode("have").alias("b")).filter("a.source != b.source")
-    p, q, zp, zq = F.col("a.p"), F.col("b.p"), F.col("a.z"), F.col("b.z")
-    common = twice.select("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), (_far(p, q) - _far(p, zq) - _far(zp, q) + _far(zp, zq)).alias("value"))
     flat = pairs.select("lang", "source", "item", (F.col("v") * _far(z, y)).alias("value"))
-    return flat.unionByName(own).unionByName(theirs).unionByName(common).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    return flat.unionByName(own).unionByName(theirs).unionByName(common_values(lists)).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, block_bytes: int = BLOCK_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
