@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harvestline.sources.shared import cut
 from harvestline.functions import mean_of, r4, ratio
 
 
@@ -74,18 +75,34 @@ def share(p: DataFrame) -> DataFrame:
     return cats.select("cat_id", r4(ratio(F.col("revenue"), F.sum("revenue").over(Window.partitionBy()))).alias("share"), F.round("price", 2).alias("avg_price"))
 
 
+def _ranked(p: DataFrame, key: str) -> DataFrame:
+    """Units of each entity with place (1 for the most, ties by name), cum (units up to and with it), n_all and grand over all entities.
+
+    The order is cut into ranges that start from the sums of those before them, so no task has all entities.
+    """
+    total = cut(p.groupBy(key).agg(F.sum("units").alias("units")).repartitionByRange(F.desc("units"), key).withColumn("part", F.spark_partition_id()))
+    sums = total.groupBy("part").agg(F.sum("units").alias("s"), F.count(F.lit(1)).alias("c"))
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = Window.partitionBy()  # a row a range
+    sums = sums.select("part", before("s").alias("s_before"), before("c").alias("c_before"), F.sum("s").over(every).alias("grand"), F.sum("c").over(every).alias("n_all"))
+    order = Window.partitionBy("part").orderBy(F.desc("units"), key)
+    rows = total.join(F.broadcast(sums), "part")
+    return rows.select(key, "units", (F.col("c_before") + F.row_number().over(order)).alias("place"), (F.col("s_before") + F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("cum"), "n_all", "grand")
+
+
 def pareto(p: DataFrame, key: str = "id", steps: tuple[float, ...] = (0.5, 0.8, 0.9)) -> DataFrame:
     """How many entities make up each share of the units, largest first (ties by name)."""
-    total = p.groupBy(key).agg(F.sum("units").alias("units")).withColumn("all", F.lit(1))
-    # The order is cut into ranges, so the running sum needs no task with all entities.
-    parts = total.repartitionByRange(F.desc("units"), key).withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("units").alias("s"))
-    sums = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("grand"))
-    run = F.sum("units").over(Window.partitionBy("part").orderBy(F.desc("units"), key).rowsBetween(Window.unboundedPreceding, -1))
-    rows = parts.join(F.broadcast(sums), "part").withColumn("cum_before", ratio(F.col("before") + F.coalesce(run, F.lit(0)), F.col("grand")))
+    rows = _ranked(p, key).withColumn("cum_before", ratio(F.col("cum") - F.col("units"), F.col("grand")))
     return rows.agg(*(F.count_if(F.col("cum_before") < s).alias(f"n_{int(100 * s)}") for s in steps), F.count(F.lit(1)).alias("n_all"))
 
 
+def lorenz(p: DataFrame, key: str = "id", points: int = 20) -> DataFrame:
+    """step, place, share: the part of the units that the first entities make up, at each of so many equal steps of their number."""
+    step = lambda place: F.floor(place * points / F.col("n_all"))
+    rows = _ranked(p, key).withColumn("step", step(F.col("place"))).filter(F.col("step") > step(F.col("place") - 1))
+    return rows.select("step", "place", r4(ratio(F.col("cum"), F.col("grand"))).alias("share"))
+
+
 def syntetos_boylan(p: DataFrame) -> DataFrame:
     nonzero = F.when(F.col("units") > 0, F.col("units"))
     s = p.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(nonzero).alias("nnz"), F.stddev_pop(nonzero).alias("sd"), F.avg(nonzero).alias("mean"))
@@ -131,6 +148,14 @@ def describe(p: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("name", "n", *(r4(c).alias(c) for c in ("mean", "sd", "least", "most")), *(r4(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
 
+def describe_text(p: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, number of different values, most frequent value (ties by value) and its count of text columns, a row each."""
+    long = p.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("v")).select("v.*")
+    counts = long.filter("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy("name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unique"), F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"))
+    return out.select("name", "n", "n_unique", F.col("top.value").alias("top"), (-F.col("top.less")).alias("freq"))
+
+
 def correlation(p: DataFrame, key: str = "state_id") -> DataFrame:
     rows = p.groupBy(key, "week_start_date").agg(F.sum("units").cast("double").alias("y"))
     other = rows.select(F.col(key).alias("other"), "week_start_date", F.col("y").alias("y2"))

@@ -41,6 +41,14 @@ def snap_by_state(rows: DataFrame) -> DataFrame:
     return rows.withColumn("snap", pick)
 
 
+def snap_or_zero(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The snap flag that the row's state has by columns; 0 for states that have none."""
+    pick = F.lit(0)
+    for state, column in columns.items():
+        pick = F.when(F.col("state_id") == state, F.coalesce(F.col(column), F.lit(0))).otherwise(pick)
+    return rows.withColumn("snap", pick.cast("int"))
+
+
 def join_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Left join of weekly prices by store and item; revenue at that price, and availability."""
     return rows.join(prices, ["store_id", "item_id", "wm_yr_wk"], "left").withColumns({

@@ -182,6 +182,14 @@ def gauges(report: DataFrame) -> DataFrame:
     return report.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("g")).select("g.*").filter("value is not null")
 
 
+def labelled(parts: DataFrame, prefix: str = "forecast") -> DataFrame:
+    """name, labels, value: a gauge for each measure of each part of breakdowns, labelled by what it is broken down by; NaN where a measure has no value."""
+    measures = [c for c in ("wmape", "bias", "coverage") if c in parts.columns]
+    each = F.array(*(F.struct(F.lit(f"{prefix}_{m}").alias("name"), F.coalesce(F.col(m), F.lit(float("nan"))).alias("value")) for m in measures))
+    labels = F.concat(F.lit("{"), F.col("by"), F.lit('="'), F.col("key"), F.lit('"}'))
+    return parts.select(labels.alias("labels"), F.explode(each).alias("g")).select("g.name", "labels", "g.value")
+
+
 def alerts(g: DataFrame) -> DataFrame:
     """Names of the gauges beyond the gate's limits; limits from below are marked by their side."""
     low = {"coverage", "fva", "completeness", "run_coverage"}

@@ -19,6 +19,26 @@ def chunk_plan(ids: DataFrame, size: int = 300) -> DataFrame:
     return ranked.groupBy("idx").agg(F.count(F.lit(1)).alias("n_series"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+def create_run(ids: DataFrame, run_id: int, size: int = 300) -> DataFrame:
+    """The chunks of a new run, all queued; a slice without series is an error, and no run."""
+    if ids.isEmpty():
+        raise ValueError("the slice has no series")
+    return chunk_plan(ids, size).select(F.lit(run_id).cast("long").alias("run_id"), "idx", "n_series", F.lit("queued").alias("status"))
+
+
+def fail_run(runs: DataFrame, unsent: DataFrame) -> DataFrame:
+    """runs, those that are not over and whose chunks could not be sent (run_id in unsent) failed."""
+    lost = unsent.select("run_id").distinct().withColumn("lost", F.lit(True))
+    status = F.when(F.col("lost") & F.col("status").isin(*ACTIVE), "failed").otherwise(F.col("status"))
+    return runs.join(lost, "run_id", "left").withColumn("status", status).drop("lost")
+
+
+def payload(chart: DataFrame, *values: str) -> DataFrame:
+    """Dates as text and values to two places, as a chart is sent them."""
+    dates = [c for c, kind in chart.dtypes if kind == "date"]
+    return chart.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in dates} | {v: F.round(F.col(v).cast("double"), 2) for v in values})
+
+
 def chunk_state(log: DataFrame) -> DataFrame:
     """The state after the valid transitions of a log (run_id, idx, seq, status): queued, processing, then completed or failed.
 

@@ -425,5 +425,29 @@ _BODIES["csv_wide_sales"] = f"SELECT item_id || '_' || state_id AS id, * FROM ({
 _BODIES["metric_files"] = " UNION ALL ".join(f"SELECT '{f}' AS format, * FROM ({_BODIES['cv_summary']})" for f in ("json", "csv"))
 _BODIES["forecast_maturation"] = """SELECT run_id, series_id, q.week_start_date, h, round(p50, 4) AS p50, p.units, p.units IS NOT NULL AS matured FROM points q
     LEFT JOIN panel p ON p.id = q.series_id AND p.week_start_date = q.week_start_date AND p.n_days = 7 AND weekofyear(p.week_start_date) % 5 <> 0"""
+_BODIES["eda_lorenz"] = """SELECT step, place, round(cum / grand, 4) AS share FROM (
+    SELECT place, cum, grand, CAST(floor(place * 20 / n_all) AS BIGINT) AS step, CAST(floor((place - 1) * 20 / n_all) AS BIGINT) AS before FROM (
+        SELECT row_number() OVER (ORDER BY u DESC, id) AS place, sum(u) OVER (ORDER BY u DESC, id) AS cum, count(*) OVER () AS n_all, sum(u) OVER () AS grand FROM (SELECT id, sum(units) AS u FROM panel GROUP BY id)
+    )) WHERE step > before"""
+_BODIES["eda_describe_text"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_unique, first({c} ORDER BY n DESC, {c}) AS top, max(n) AS freq FROM (SELECT {c}, count(*) AS n FROM panel GROUP BY 1)"
+    for c in ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
+)
+_BODIES["labelled_gauges"] = f"SELECT 'forecast_' || m AS name, '{{' || \"by\" || '=\"' || key || '\"}}' AS labels, value FROM ({_BODIES['acc_breakdowns']}) UNPIVOT (value FOR m IN (wmape, bias, coverage))"
+_BODIES["create_run"] = "SELECT CAST(7 AS BIGINT) AS run_id, idx, count(*) AS n_series, 'queued' AS status FROM (SELECT (row_number() OVER (ORDER BY id) - 1) // 20 AS idx FROM dim WHERE state_id = 'EUROPE') GROUP BY idx"
+_BODIES["fail_run"] = "SELECT run_id, CASE WHEN run_id <= 3 THEN status WHEN run_id % 2 = 0 THEN 'failed' ELSE 'queued' END AS status FROM runs"
+_BODIES["chart_payload"] = f"SELECT strftime(week_start_date, '%Y-%m-%d') AS week_start_date, round(CAST(units AS DOUBLE), 2) AS units, kind FROM ({_BODIES['chart_context']})"
+_BODIES["snap_or_zero"] = "SELECT DISTINCT state_id, date, CAST(CASE state_id WHEN 'ASIA' THEN CAST(a AS INT) WHEN 'EUROPE' THEN CAST(b AS INT) WHEN 'AFRICA' THEN CAST(c AS INT) ELSE 0 END AS INT) AS snap FROM daily JOIN cal USING (date)"
+_BODIES["contract_broken"] = """SELECT count(*) AS n_rows, count(*) FILTER (w % 7 = 0 OR units < 0) AS units_negative, count(*) FILTER (w % 9 = 0 OR revenue < 0) AS revenue_negative, count(*) FILTER (w % 11 = 0 OR sell_price <= 0) AS price_not_positive,
+    count(*) FILTER (w % 13 = 0) AS snap_days_range, count(*) FILTER (w % 15 = 0) AS event_days_range, count(*) FILTER (w % 17 = 0) AS available_days_range, count(*) FILTER (w % 19 = 0) AS n_days_range, count(*) FILTER (w % 21 = 0) AS id_null,
+    count(*) FILTER (state_id NOT IN ('ASIA', 'EUROPE')) AS state_id_unknown FROM (SELECT *, weekofyear(week_start_date) AS w FROM panel)"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}
+_STALE = {
+    "0.5 * m AS p10, m AS p50, 1.5 * m AS p90": "1.0 * m AS p10, 2.0 * m AS p50, 3.0 * m AS p90", "SELECT 'fva' AS name,": "SELECT 'artifact_age' AS name, 20.0 AS value UNION ALL SELECT 'fva' AS name,",
+    "WHEN 'fva' THEN value <= -8": "WHEN 'artifact_age' THEN value > 14 WHEN 'fva' THEN value <= -8", "'run_coverage']": "'run_coverage', 'artifact_age']",
+}
+ORACLES["gate_stale"] = ORACLES["gate"]
+for _was, _is in _STALE.items():
+    assert _was in ORACLES["gate_stale"], _was
+    ORACLES["gate_stale"] = ORACLES["gate_stale"].replace(_was, _is)

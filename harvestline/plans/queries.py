@@ -416,6 +416,42 @@ on_panel("eda_promo_lift", lambda p: E.promo_lift(X.prices(p)))
 on_panel("top_series", lambda p: E.top_k(p, ["cat_id"], 1))
 on_panel("panel_topk", lambda p: E.top_k(p, ["store_id", "dept_id"], 15))
 
+on_panel("eda_lorenz", E.lorenz)
+on_panel("eda_describe_text", lambda p: E.describe_text(p, ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]))
+on_runs("labelled_gauges", lambda p, r, q: O.labelled(_breakdowns(p, r, q)))
+on_panel("create_run", lambda p: R.create_run(R.select_series(L.series_dim(p), state="EUROPE"), 7, 20))
+on_runs("fail_run", lambda p, r, q: R.fail_run(r.withColumn("status", F.when(F.col("run_id") > 3, F.lit("queued")).otherwise(F.col("status"))), r.filter("run_id % 2 = 0")).select("run_id", "status"))
+on_runs("chart_payload", lambda p, r, q: R.payload(_chart(p, r, q), "units"))
+
+
+@query
+def snap_or_zero(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.sales(spark, sf).select("state_id", F.col("day").alias("date")).distinct().join(S.calendar_days(spark, sf), "date")
+    return L.snap_or_zero(rows, {"ASIA": "snap_a", "EUROPE": "snap_b", "AFRICA": "snap_c"}).select("state_id", "date", "snap")
+
+
+def _stale(p: DataFrame, r: DataFrame, q: DataFrame) -> DataFrame:
+    """The gate over a run that forecasts double, by a model 20 days old: rules that a good run never meets."""
+    double = cut(q.withColumns({c: 2 * F.col(c) for c in ("p10", "p50", "p90")}))
+    return O.gate(report(p, r, double).withColumn("artifact_age", F.lit(20.0))).select(F.concat_ws(",", "warnings").alias("warnings"), "degraded")
+
+
+on_cut_runs("gate_stale", _stale)
+
+
+def _broken(p: DataFrame) -> DataFrame:
+    """The weekly contract over a panel in which some weeks of the year are broken, each in its own way."""
+    woy = F.weekofyear("week_start_date")
+    bad = lambda k, c, v: F.when(woy % k == 0, v).otherwise(F.col(c))
+    rows = p.withColumns({
+        "units": bad(7, "units", F.lit(-1)), "revenue": bad(9, "revenue", F.lit(-0.5)), "sell_price": bad(11, "sell_price", F.lit(0.0)), "snap_days": bad(13, "snap_days", F.lit(8)),
+        "event_days": bad(15, "event_days", F.lit(15)), "available_days": bad(17, "available_days", F.lit(-1)), "n_days": bad(19, "n_days", F.lit(0)), "id": bad(21, "id", F.lit(None).cast("string")),
+    })
+    return C.violations(rows, C.members(C.WEEKLY, state_id=["ASIA", "EUROPE"]))
+
+
+on_panel("contract_broken", _broken)
+
 # Models and streams, which SQL has no words for
 on_panel("cold_split", lambda p: ML.cold_split(p, 20).groupBy("item_id", "cold").agg(F.count(F.lit(1)).alias("n")))
 
