@@ -50,15 +50,15 @@ def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxha
 
 def _told_apart(text: DataFrame, chunks: Column, pairs: DataFrame, shared: DataFrame, chunk_hash: Callable[[Column], Column], carry: list[str]) -> DataFrame:
     """Recipes when some hashes stand for several chunks: those chunks are known by (hash, rank among the hash's chunks)."""
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("chunk"))
+    rank, key = F.row_number().over(Window.partitionBy("h").orderBy("chunk")), free_name(text, "__n")
     ranked = pairs.join(shared, "h", "left_semi").withColumn("rank", rank)
-    rows = text.withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows.select("row", "doc_id", *carry, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), chunks.alias("chunks")))
-    parts = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", chunk_hash(F.col("chunk")))
-    named = parts.join(ranked, ["h", "chunk"], "left").select("row", "at", "h", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
-    lists = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "rank"))).alias("parts"))
-    lists = lists.select("row", F.flatten(F.transform("parts", lambda p: F.array(p["h"].cast("long"), p["rank"]))).alias("recipe"))
-    return rows.join(lists, "row", "left").select("doc_id", *carry, "text_sha256", F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"))
+    rows = text.withColumn(key, F.monotonically_increasing_id())
+    rows = cut(rows.select(key, "doc_id", *carry, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), chunks.alias("chunks")))
+    parts = rows.select(key, F.posexplode("chunks").alias("at", "chunk")).withColumn("h", chunk_hash(F.col("chunk")))
+    named = parts.join(ranked, ["h", "chunk"], "left").select(key, "at", "h", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
+    lists = named.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "h", "rank"))).alias("parts"))
+    lists = lists.select(key, F.flatten(F.transform("parts", lambda p: F.array(p["h"].cast("long"), p["rank"]))).alias("recipe"))
+    return rows.join(lists, key, "left").select("doc_id", *carry, "text_sha256", F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

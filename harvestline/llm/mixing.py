@@ -103,6 +103,6 @@ def take_mix(docs: DataFrame, **options: object) -> DataFrame:
     """
     key, copies, copy = (free_name(docs, name) for name in ("__row", "__copies", "__copy"))
     rows = with_row(docs, key)
-    taken = mix_sources(rows, row=key, **options).select(F.col("row").alias(key), F.col("copies").alias(copies))
+    taken = mix_sources(rows, row=key, **options).filter("size > 0").select(F.col("row").alias(key), F.col("copies").alias(copies))
     joined = rows.join(taken.filter(F.col(copies) > 0), key)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -23,8 +23,6 @@ NGRAMS = (3, 4, 5, 6)
 LONGEST_WORD = 40
 #: Labelled rows that the model is fitted on: at most so many of each class, those with the smallest hashes.
 FIT_ROWS = 2000
-#: Distinct words of one of these rows that the fit reads at most, those with the smallest hashes; scores read all.
-FIT_WORDS = 20_000
 #: Share of labels taken to be wrong, so that a text whose label nothing explains doesn't teach its rare words.
 NOISE = 0.02
 #: A bucket that fewer texts of the sample have is not trained.
@@ -118,8 +116,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
 
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words = [sorted(words_of(t), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:FIT_WORDS] for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "words": ["\n".join(sorted(w)) for w in words]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "words": ["\n".join(sorted(words_of(t))) for t in frame["text"]]})
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))), "doc_id")
     rows = read.mapInPandas(bags, "doc_id long, y int, words string").groupBy("doc_id", "y").agg(F.min("words").alias("words")).collect()

@@ -30,6 +30,21 @@ def test_colliding_hashes_keep_the_same_rows(spark):
     assert len(rows) == len({r["key"] for r in rows}) == len(ROWS) and sum(r["kept"] for r in rows) == 5
 
 
+def test_colliding_hashes_and_a_row_key_of_any_name(spark):
+    docs = frame(spark, ROWS).withColumn("row", F.concat(F.lit("k"), F.monotonically_increasing_id().cast("string"))).cache()
+    rows = exact_dedup.exact_dedup(docs, lambda c: F.pmod(F.xxhash64(c), F.lit(3)), row="row").collect()
+    assert {r["row"] for r in rows} == {r["row"] for r in docs.collect()} and sum(r["kept"] for r in rows) == 5
+
+
+def test_the_mix_takes_no_row_without_words(spark):
+    """Also where each row is taken three times whole."""
+    docs = frame(spark, [(1, "a b c"), (2, None), (3, ""), (4, " \n")]).withColumn("source", F.lit("s")).withColumns({n: F.lit(9) for n in ("__row", "row", "node", "copies")})
+    for rows in (docs, docs.unionByName(docs.withColumns({"source": F.lit("t"), "text": F.repeat("text", 500)}))):
+        taken = mixing.take_mix(rows)
+        assert taken.columns == docs.columns
+        assert {r["doc_id"] for r in taken.collect()} == {1}
+
+
 def test_the_mix_takes_each_row_as_often_as_decided(spark):
     """Two sources by 5 to 2: the rows of the smaller share, with null and repeated ids, are taken to within one document of the target."""
     rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"{k} " + "w " * (k % 5), "en", f"s{k % 2}", 0) for k in range(120)]
