@@ -25,7 +25,7 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 MIN_DOCS, TOP_TERMS, SHARE = 3, 200, 1_000_000_000
 #: Bytes of text that share an automaton; counts that a task holds before it sends them on; bits of the map of kept terms, at most.
 BLOCK_BYTES, HELD, MOST_BITS = 1 << 22, 4_000_000, 1 << 28
-#: Parts into which the sources of a language are dealt when pairs of them are made.
+#: Parts into which the sources of a language are dealt when pairs of them are made, and the terms of a source before they are ranked.
 SPREAD = 16
 
 
@@ -225,4 +225,8 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     terms = beside.select("lang", F.col("a.source").alias("source"), F.col("term").alias("item"), _far(F.col("a.p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), "rank")
-    return ranked(pair_values(lists, groups), "pair").unionByName(ranked(terms, "term").filter(F.col("rank") <= top))
+    # The best of each part of a source's terms first, so that no task ranks more than SPREAD parts' best.
+    lane = F.pmod(F.xxhash64("item"), F.lit(SPREAD))
+    best = terms.withColumn("lane", lane).withColumn("at", F.row_number().over(Window.partitionBy("lang", "source", "lane").orderBy(F.desc("value"), "item")))
+    best = best.filter(F.col("at") <= top).drop("lane", "at")
+    return ranked(pair_values(lists, groups), "pair").unionByName(ranked(best, "term").filter(F.col("rank") <= top))
