@@ -71,7 +71,8 @@ def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         yield from flush()
 
     seen = rows.select("lang", "text").mapInArrow(count, "lang string, term string, docs long")
-    return seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
+    dealt = seen.repartition("lang", "term")  # summed by task already: summing again before the shuffle would find nothing to sum
+    return dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
 
 
 def bit_map(kept: DataFrame, most: int = MOST_BITS) -> np.ndarray:
@@ -146,7 +147,8 @@ def occurrences(rows: DataFrame, kept: DataFrame, block_bytes: int = BLOCK_BYTES
         yield from flush()
 
     counted = rows.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, count long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"])
+    dealt = counted.repartition("lang", "source", "term")  # as in vocabulary
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"])
 
 
 def common_values(lists: DataFrame, step: int = 1 << 19) -> DataFrame:
