@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +38,8 @@ def prepare(frame: DataFrame) -> DataFrame:
 def fit_tweedie(frame: DataFrame, power: float = 1.1, ridge: float = 1e-3) -> PipelineModel:
     stages = [
         StringIndexer(inputCol="dept_id", outputCol="dept", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*NUMERIC, "dept"], outputCol="features"),
+        OneHotEncoder(inputCol="dept", outputCol="dept_is"),  # the unknown department is the one that is left out
+        VectorAssembler(inputCols=[*NUMERIC, "dept_is"], outputCol="features"),
         GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, regParam=ridge, weightCol="weight", maxIter=8, predictionCol="raw"),
     ]
     return Pipeline(stages=stages).fit(frame)
@@ -68,12 +69,15 @@ def artifact_age(folder: str, now: dt.datetime) -> DataFrame:
 def importance(model: PipelineModel, frame: DataFrame, top: int = 15) -> DataFrame:
     """feature, shap, percent of the features that move the linear predictor most.
 
-    shap is the mean absolute Shapley value, which for a linear model is the coefficient times the mean distance from the feature's mean.
+    shap is the mean absolute Shapley value, which for a linear model is the coefficient times the mean distance from the feature's mean; the
+    department's is that of all its columns together.
     """
-    names, beta = [*NUMERIC, "dept"], model.stages[-1].coefficients
-    x = model.transform(frame).select(vector_to_array("features").alias("x")).select(*(F.col("x")[k].alias(n) for k, n in enumerate(names)))
+    n, weights = len(NUMERIC), [float(b) for b in model.stages[-1].coefficients]
+    names, beta = [*NUMERIC, "dept"], [*weights[:n], 1.0]
+    dept = sum((F.col("x")[n + k] * w for k, w in enumerate(weights[n:])), F.lit(0.0))
+    x = model.transform(frame).select(vector_to_array("features").alias("x")).select(*(F.col("x")[k].alias(c) for k, c in enumerate(NUMERIC)), dept.alias("dept"))
     means = x.agg(*(F.avg(n).alias(f"mean_{n}") for n in names))
-    far = x.crossJoin(F.broadcast(means)).agg(*((abs(float(beta[k])) * F.avg(F.abs(F.col(n) - F.col(f"mean_{n}")))).alias(n) for k, n in enumerate(names)))  # one row each
+    far = x.crossJoin(F.broadcast(means)).agg(*((abs(beta[k]) * F.avg(F.abs(F.col(n) - F.col(f"mean_{n}")))).alias(n) for k, n in enumerate(names)))  # one row each
     long = far.unpivot([], names, "feature", "shap")  # a row a feature
     return long.withColumn("percent", 100 * ratio(F.col("shap"), F.sum("shap").over(Window.partitionBy()))).orderBy(F.desc("shap"), "feature").limit(top)
 

@@ -20,9 +20,9 @@ from harvestline.sources.shared import cut
 
 LEARNED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-POINT = Params("point", depth=4, leaves=16, rate=0.25)
-QUANTILES = [Params(f"q{round(100 * q)}", "quantile", alpha=q, depth=4, leaves=16, rate=0.25, weighted=False) for q in (0.1, 0.5, 0.9)]
-TREES = 12
+POINT = Params("point", depth=4, leaves=16, rate=0.35)
+QUANTILES = [Params(f"q{round(100 * q)}", "quantile", alpha=q, depth=4, leaves=16, rate=0.35, weighted=False) for q in (0.1, 0.5, 0.9)]
+TREES = 8
 
 
 def learned(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -73,8 +73,8 @@ def boosted_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Variants of an ablation: the objective, and groups of features that the booster does without.
 VARIANTS = [
-    POINT, Params("l2", "l2", depth=4, leaves=16, rate=0.25), Params("no_events", depth=4, leaves=16, rate=0.25, without=ML.BOOST_GROUPS["events"]),
-    Params("no_promo", depth=4, leaves=16, rate=0.25, without=ML.BOOST_GROUPS["promo"]), Params("no_cross", depth=4, leaves=16, rate=0.25, without=("item_rmean_4", "dept_rmean_4")),
+    POINT, Params("l2", "l2", depth=4, leaves=16, rate=0.35), Params("no_events", depth=4, leaves=16, rate=0.35, without=ML.BOOST_GROUPS["events"]),
+    Params("no_promo", depth=4, leaves=16, rate=0.35, without=ML.BOOST_GROUPS["promo"]), Params("no_cross", depth=4, leaves=16, rate=0.35, without=("item_rmean_4", "dept_rmean_4")),
 ]
 
 
@@ -120,7 +120,7 @@ def boosted_gain(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 4)) for k, v in gains.items()], "feature string, percent double").orderBy(F.desc("percent"), "feature")
 
 
-def search(fixture: Fixture, n: int = 6, seed: int = 11, rungs: tuple[int, ...] = (4, 6, 8)) -> list[tuple[int, str, int, float, bool]]:
+def search(fixture: Fixture, n: int = 4, seed: int = 11, rungs: tuple[int, ...] = (3, 3, 4)) -> list[tuple[int, str, int, float, bool]]:
     """Successive halving over two folds: the eight weeks before the test weeks, and the eight before those."""
     folds, default = [Fold("near", 16.0), Fold("far", 24.0)], POINT
     tried = candidates(n, seed, default)

@@ -41,7 +41,9 @@ def test_a_saved_model_forecasts_alike_and_refuses_other_features(model, frame,
 
 def test_importance_equals_numpy(model, frame):
     x = np.array([r["features"].toArray() for r in model.transform(frame).select("features").collect()])
-    want = np.abs(model.stages[-1].coefficients.toArray() * (x - x.mean(axis=0))).mean(axis=0)
+    beta, n = model.stages[-1].coefficients.toArray(), len(ML.NUMERIC)
+    x = np.column_stack([x[:, :n] * beta[:n], x[:, n:] @ beta[n:]])  # the department's columns are one feature
+    want = np.abs(x - x.mean(axis=0)).mean(axis=0)
     got = {r["feature"]: (r["shap"], r["percent"]) for r in ML.importance(model, frame, 99).collect()}
     for name, value in zip([*ML.NUMERIC, "dept"], want):
         assert got[name][0] == pytest.approx(value) and got[name][1] == pytest.approx(100 * value / want.sum())
@@ -65,3 +67,10 @@ def test_future_rows_of_a_late_series_and_a_missing_week(spark, panel):
     weeks = spark.createDataFrame([(last + dt.timedelta(weeks=1), 3, 5, 6)], "week_start_date date, event_days int, one int, two int")
     got = {(r["id"], r["h"]): (r["week_start_date"], r["snap_days"], r["event_days"]) for r in B.with_calendar(B.future_rows(holes, 2), weeks, {"A": "one"}, "two").collect()}
     assert got["a", 1] == (last + dt.timedelta(weeks=1), 5, 3) and got["b", 1][1] == 6 and got["a", 2] == (last + dt.timedelta(weeks=2), 0, 0)
+
+
+def test_departments_are_told_apart_without_an_order(spark, model, frame):
+    sizes = {r["dept_id"]: r["features"].size for r in model.transform(frame).select("dept_id", "features").collect()}
+    assert set(sizes.values()) == {len(ML.NUMERIC) + 2} and len(sizes) == 2
+    unseen = model.transform(frame.limit(1).withColumn("dept_id", F.lit("new"))).first()
+    assert unseen["raw"] > 0 and unseen["features"].toArray()[len(ML.NUMERIC):].tolist() == [0.0, 0.0]
