@@ -21,6 +21,21 @@ FEATURES = {
     "share_range": lambda: ~F.col("nz_share_4").between(0, 1),
     "units_negative": lambda: F.col("units") < 0,
 }
+#: Rules of all features of the boosters: what they can be if their inputs are right.
+BOOST = FEATURES | {
+    "any_lag_negative": lambda: F.least(*(F.col(f"lag_{k}") for k in (1, 2, 3, 4, 8, 13, 26, 52))) < 0,
+    "mean_negative": lambda: F.least(*(F.col(f"rmean_{m}") for m in (4, 8, 13, 26))) < 0,
+    "std_negative": lambda: F.col("rstd_13") < 0,
+    "max_below_mean": lambda: F.col("rmax_13") < F.col("rmean_13") - 1e-9,
+    "long_share_range": lambda: ~F.col("nz_share_13").between(0, 1),
+    "price_rel_negative": lambda: F.col("price_rel") < 0,
+    "promo_range": lambda: ~F.col("is_promo").isin(0, 1) | ((F.col("is_promo") == 1) & ~(F.col("price_rel") < 0.9)),
+    "since_promo_range": lambda: ~F.col("weeks_since_promo").between(0, 52) | ((F.col("is_promo") == 1) & (F.col("weeks_since_promo") != 0)),
+    "season_range": lambda: (F.abs("woy_sin") > 1) | (F.abs("woy_cos") > 1) | ~F.col("month").between(1, 12) | ~F.col("is_year_end").isin(0, 1),
+    "age_negative": lambda: F.col("age_weeks") < 0,
+    "days_range": lambda: ~F.col("snap_days").between(0, 7) | ~F.col("event_days").between(0, 14),
+    "category_null": lambda: F.col("item_id").isNull() | F.col("dept_id").isNull() | F.col("cat_id").isNull() | F.col("store_id").isNull() | F.col("state_id").isNull(),
+}
 OUTPUT = {
     "p10_negative": lambda: F.col("p10") < 0,
     "not_monotone": lambda: (F.col("p10") > F.col("p50")) | (F.col("p50") > F.col("p90")),

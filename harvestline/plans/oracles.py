@@ -441,6 +441,18 @@ _BODIES["snap_or_zero"] = "SELECT DISTINCT state_id, date, CAST(CASE state_id WH
 _BODIES["contract_broken"] = """SELECT count(*) AS n_rows, count(*) FILTER (w % 7 = 0 OR units < 0) AS units_negative, count(*) FILTER (w % 9 = 0 OR revenue < 0) AS revenue_negative, count(*) FILTER (w % 11 = 0 OR sell_price <= 0) AS price_not_positive,
     count(*) FILTER (w % 13 = 0) AS snap_days_range, count(*) FILTER (w % 15 = 0) AS event_days_range, count(*) FILTER (w % 17 = 0) AS available_days_range, count(*) FILTER (w % 19 = 0) AS n_days_range, count(*) FILTER (w % 21 = 0) AS id_null,
     count(*) FILTER (state_id NOT IN ('ASIA', 'EUROPE')) AS state_id_unknown FROM (SELECT *, weekofyear(week_start_date) AS w FROM panel)"""
+_LAGS, _MEANS = (1, 2, 3, 4, 8, 13, 26, 52), (4, 8, 13, 26)
+_LAGGED = " UNION ALL ".join(
+    "SELECT w, u, " + ", ".join(f"lag(u, {h - 1 + k}) OVER s AS lag_{k}" for k in _LAGS)
+    + ", " + ", ".join(f"avg(u) OVER (s ROWS BETWEEN {h + m - 1} PRECEDING AND {h} PRECEDING) AS rmean_{m}" for m in _MEANS)
+    + " FROM broken WINDOW s AS (PARTITION BY id ORDER BY week_start_date)"
+    for h in range(1, 9)
+)
+_NEVER = ("std_negative", "max_below_mean", "long_share_range", "price_rel_negative", "promo_range", "since_promo_range", "season_range", "age_negative", "h_range", "share_range")
+_BODIES["contract_boost_features"] = f"""SELECT count(*) AS n_rows, count(*) FILTER (lag_1 < 0) AS lag_negative, count(*) FILTER (u < 0) AS units_negative,
+    count(*) FILTER (least({", ".join(f"lag_{k}" for k in _LAGS)}) < 0) AS any_lag_negative, count(*) FILTER (least({", ".join(f"rmean_{m}" for m in _MEANS)}) < 0) AS mean_negative,
+    count(*) FILTER (w = 13) AS days_range, count(*) FILTER (w = 20) AS category_null, {", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in _NEVER)}
+    FROM (WITH broken AS (SELECT id, week_start_date, weekofyear(week_start_date) AS w, CASE WHEN weekofyear(week_start_date) = 7 THEN -1000000 ELSE units END AS u FROM panel) {_LAGGED})"""
 
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}
 _STALE = {

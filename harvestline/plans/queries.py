@@ -452,6 +452,16 @@ def _broken(p: DataFrame) -> DataFrame:
 
 on_panel("contract_broken", _broken)
 
+
+def _broken_features(p: DataFrame) -> DataFrame:
+    """The features' contract over a panel with units, snap days and categories broken in some weeks of the year."""
+    woy = F.weekofyear("week_start_date")
+    rows = p.withColumns({"units": F.when(woy == 7, -1000000).otherwise(F.col("units")), "snap_days": F.when(woy == 13, 8).otherwise(F.col("snap_days")), "cat_id": F.when(woy != 20, F.col("cat_id"))})
+    return C.violations(ML.boost_frame(rows), C.BOOST)
+
+
+on_panel("contract_boost_features", _broken_features)
+
 # Models and streams, which SQL has no words for
 on_panel("cold_split", lambda p: ML.cold_split(p, 20).groupBy("item_id", "cold").agg(F.count(F.lit(1)).alias("n")))
 
