@@ -94,7 +94,10 @@ _CTES |= {
     "lweight": """SELECT level, sid, r / nullif(sum(r) OVER (PARTITION BY level), 0) AS weight FROM (
         SELECT level, sid, sum(revenue) AS r FROM ltrain JOIN wk USING (week_start_date) WHERE back BETWEEN 9 AND 12 GROUP BY 1, 2)""",
 }
-for _m in ("ma4", "snaive", "sma"):
+_CTES["mo"] = """SELECT id, week_start_date, coalesce(g * CASE WHEN t > 0 THEN pred / t ELSE CAST(1 AS DOUBLE) / n END, pred) AS pred FROM (
+        SELECT s.id, a.item_id, a.week_start_date, s.pred, sum(s.pred) OVER v AS t, count(*) OVER v AS n FROM snaive s JOIN actual a ON a.id = s.id AND a.week_start_date = s.week_start_date
+        WINDOW v AS (PARTITION BY a.item_id, a.week_start_date)) JOIN (SELECT item_id, avg(u) AS g FROM (SELECT item_id, back, sum(units) AS u FROM panel WHERE back BETWEEN 9 AND 12 GROUP BY 1, 2) GROUP BY 1) USING (item_id)"""
+for _m in ("ma4", "snaive", "sma", "mo"):
     _CTES |= {
         f"e_{_m}": f"SELECT a.*, p.pred FROM actual a JOIN {_m} p ON p.id = a.id AND p.week_start_date = a.week_start_date",
         f"s_{_m}": f"""SELECT level, sid, sqrt(avg(e * e) / max(scale)) AS rmsse, avg(abs(e)) / nullif(max(abs_scale), 0) AS mase, max(weight) AS weight
@@ -454,6 +457,10 @@ _BODIES["contract_boost_features"] = f"""SELECT count(*) AS n_rows, count(*) FIL
     count(*) FILTER (w = 13) AS days_range, count(*) FILTER (w = 20) AS category_null, {", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in _NEVER)}
     FROM (WITH broken AS (SELECT id, week_start_date, weekofyear(week_start_date) AS w, CASE WHEN weekofyear(week_start_date) = 7 THEN -1000000 ELSE units END AS u FROM panel) {_LAGGED})"""
 
+_BODIES["reconcile_eval"] = " UNION ALL ".join(
+    f"SELECT round(wrmsse12, 4) AS wrmsse12, round(wrmsse9, 4) AS wrmsse9, round(rmsse_l12, 4) AS rmsse_l12, round(mase_l12, 4) AS mase_l12, round(bias, 4) AS bias, '{n}' AS model FROM all_{m}"
+    for m, n in (("snaive", "bottom_up"), ("mo", "middle_out"))
+)
 ORACLES = {name: with_ctes(body) for name, body in _BODIES.items()}
 _STALE = {
     "0.5 * m AS p10, m AS p50, 1.5 * m AS p90": "1.0 * m AS p10, 2.0 * m AS p50, 3.0 * m AS p90", "SELECT 'fva' AS name,": "SELECT 'artifact_age' AS name, 20.0 AS value UNION ALL SELECT 'fva' AS name,",

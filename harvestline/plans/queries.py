@@ -227,6 +227,16 @@ def on_cut_holdout(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) ->
 
 
 on_cut_holdout("score_models", lambda t, a: rounded(M.model_metrics(M.score_models(t, a, models_of(t, a))), "wrmsse12", "wrmsse9", "rmsse_l12", "mase_l12", "bias"))
+
+
+def _reconcile_eval(t: DataFrame, a: DataFrame) -> DataFrame:
+    """Bottom forecasts as they are and after middle-out reconciliation to items, scored over all levels."""
+    bottom, group = reconciled(t, a)
+    models = {"bottom_up": bottom, "middle_out": B.middle_out(bottom, group, "item_id")}
+    return rounded(M.model_metrics(M.score_models(t, a, models)), "wrmsse12", "wrmsse9", "rmsse_l12", "mase_l12", "bias")
+
+
+on_cut_holdout("reconcile_eval", _reconcile_eval)
 on_cut_holdout("level_bands", lambda t, a: M.model_levels(M.score_models(t, a, models_of(t, a))).filter("wrmsse is not null").select("model", "level", M.band(F.col("wrmsse")).alias("band")))
 on_cut_holdout("level_heatmap", lambda t, a: rounded(M.model_levels(M.score_models(t, a, models_of(t, a))).filter("wrmsse is not null").select("model", "level", "wrmsse"), "wrmsse"))
 

@@ -13,7 +13,7 @@ from harvestline.plans.stored import STORED
 QUERIES = RETAIL | LEARNED | STORED
 
 SF = "/root/testdata/sf0.001"
-SOME = ["weekly_panel", "join_prices", "reconcile_mo", "score_models", "level_heatmap", "apply_fallback", "gate", "segments", "data_freshness", "upsert_points", "cv_summary", "feat_price", "seasonal_ma", "croston", "wrmsse", "accuracy_vs_actual", "drift_ks", "chunk_plan", "eda_pareto", "hist_quantile", "stream_rate", "dept_seasonal_ma", "feat_position", "contract_calendar", "contract_prices", "contract_members", "eda_pivot_revenue", "eda_season_weeks", "eda_corr_category", "eda_corr_store", "eda_describe", "eda_named_events", "level_bands", "active_runs", "future_rows", "future_calendar", "future_features", "fva_last_run", "gauges", "alerts", "assortment_churn", "acc_breakdowns", "run_segments", "run_drift_windows", "imapa", "counter_rates", "sustained_alerts", "stored_points", "memo_panel", "csv_calendar", "csv_prices", "csv_wide_sales", "slice_copy", "export_csv", "metric_files", "forecast_maturation", "eda_lorenz", "eda_describe_text", "labelled_gauges", "create_run", "fail_run", "chart_payload", "snap_or_zero", "contract_broken", "gate_stale", "contract_boost_features"]
+SOME = ["weekly_panel", "join_prices", "reconcile_mo", "score_models", "level_heatmap", "apply_fallback", "gate", "segments", "data_freshness", "upsert_points", "cv_summary", "feat_price", "seasonal_ma", "croston", "wrmsse", "accuracy_vs_actual", "drift_ks", "chunk_plan", "eda_pareto", "hist_quantile", "stream_rate", "dept_seasonal_ma", "feat_position", "contract_calendar", "contract_prices", "contract_members", "eda_pivot_revenue", "eda_season_weeks", "eda_corr_category", "eda_corr_store", "eda_describe", "eda_named_events", "level_bands", "active_runs", "future_rows", "future_calendar", "future_features", "fva_last_run", "gauges", "alerts", "assortment_churn", "acc_breakdowns", "run_segments", "run_drift_windows", "imapa", "counter_rates", "sustained_alerts", "stored_points", "memo_panel", "csv_calendar", "csv_prices", "csv_wide_sales", "slice_copy", "export_csv", "metric_files", "forecast_maturation", "eda_lorenz", "eda_describe_text", "labelled_gauges", "create_run", "fail_run", "chart_payload", "snap_or_zero", "contract_broken", "gate_stale", "contract_boost_features", "reconcile_eval"]
 
 
 @pytest.fixture(scope="module")
