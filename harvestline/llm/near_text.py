@@ -4,12 +4,13 @@ Fingerprints of the distinct five-word shingles meet in tiles, where numpy compa
 population counts differ beyond the radius are skipped. Which fingerprints meet is said by bands of minimum hashes: texts of a
 similarity of 0.8 share one of 20 bands of four with a chance of 1 - (1 - 0.8^4)^20 = 0.99997, and more similar ones sooner. Their
 fingerprints differ by about 10 bits, so the radius of 24 leaves room for the spread. A proposed pair is a link only if its Jaccard
-similarity, counted on the whole texts, is 0.8 or more.
+similarity, counted on the whole texts, is 0.8 or more. Pairs that a first forest does not join are compared where their tile's shingle
+sets meet, and only links leave it: a group of n texts just below 0.8 takes n^2 comparisons in numpy, but no row for each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -27,6 +28,8 @@ RADIUS = 24
 TILE = 1024
 #: Shingles whose minimum hashes are taken at once, which bounds the memory of long texts.
 BLOCK = 4096
+#: Shingles of one part of a tile whose sets are compared; two parts meet at once, which bounds the memory of long texts.
+PART = 1 << 20
 _rng = np.random.default_rng(SEED)
 _ODD = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
@@ -67,25 +70,27 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(batches, "row string, doc_id long, digest binary, n long, fp long, keys array<long>")
 
 
-def _compared(tiles: DataFrame, propose: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """Distinct pairs a < b of nodes that propose(near, root) picks from each tile pair; near has the bits between two nodes, or 65 if they can't be similar."""
+def _near(fps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits between two nodes, or 65 if they are beyond the radius or their sizes say that they can't be similar."""
+    bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]).astype(np.int16)
+    return np.where((bits <= RADIUS) & (5 * np.minimum.outer(sizes, sizes) >= 4 * np.maximum.outer(sizes, sizes)), bits, 65)
+
+
+def _forests(tiles: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes: a forest of the closest pairs of each tile."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for nodes, fps, sizes, roots, sides in zip(*(frame[c] for c in ("node", "fp", "n", "root", "side"))):
-                nodes, fps, sizes, roots, sides = (np.asarray(x, dtype=np.int64) for x in (nodes, fps, sizes, roots, sides))
-                bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]).astype(np.int16)
-                other = (sides[:, None] != sides[None, :]) | (sides[:, None] == 2)
-                sized = 5 * np.minimum.outer(sizes, sizes) >= 4 * np.maximum.outer(sizes, sizes)
-                out += [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in propose(np.where((bits <= RADIUS) & sized & other, bits, 65), roots))]
+            for nodes, fps, sizes in zip(*(frame[c] for c in ("node", "fp", "n"))):
+                nodes, fps, sizes = (np.asarray(x, dtype=np.int64) for x in (nodes, fps, sizes))
+                out += [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in spanning_forest(_near(fps, sizes)))]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    cells = [F.col(f"cells.{c}").alias(c) for c in ("node", "fp", "n", "root", "side")]
-    return tiles.select(*cells).mapInPandas(compare, "a long, b long").distinct()
+    return tiles.select(*(F.col(f"cells.{c}").alias(c) for c in ("node", "fp", "n"))).mapInPandas(compare, "a long, b long").distinct()
 
 
-def spanning_forest(near: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+def spanning_forest(near: np.ndarray) -> list[tuple[int, int]]:
     """Edges (i, j) of a forest of the closest pairs that spans all nodes that are near each other."""
     n = len(near)
     if n == 2:
@@ -101,16 +106,85 @@ def spanning_forest(near: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]
     return edges
 
 
-def across_roots(near: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
-    """All near pairs whose roots differ."""
-    i, j = np.nonzero(np.triu((near <= RADIUS) & (root[:, None] != root[None, :]), 1))
-    return list(zip(i.tolist(), j.tolist()))
+def open_nodes(key: int, near: np.ndarray, roots: np.ndarray, sides: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which nodes of a tile pair have a near one of another root; a pair counts at the first key only that both share."""
+    found = np.zeros(len(roots), dtype=bool)
+    for i in range(len(roots)):
+        j = i + 1 + np.flatnonzero((near[i, i + 1 :] <= RADIUS) & (roots[i + 1 :] != roots[i]) & ((sides[i + 1 :] != sides[i]) | (sides[i] == 2)))
+        if len(j):
+            j = j[keys[i, (keys[j] == keys[i]).argmax(axis=1)] == key]
+            found[j] = True
+            found[i] |= len(j) > 0
+    return np.flatnonzero(found)
+
+
+def parts_of(sizes: np.ndarray, part: int) -> list[np.ndarray]:
+    """Places of a tile's nodes, in parts of which any two nodes share one: all, or each two of the runs of about so many shingles."""
+    run = np.cumsum(sizes) // part
+    runs = [np.flatnonzero(run == k) for k in np.unique(run)]
+    return runs if len(runs) == 1 else [np.concatenate([x, y]) for k, x in enumerate(runs) for y in runs[:k]]
+
+
+def _opened(tiles: DataFrame, part: int) -> DataFrame:
+    """tile, part, node, fp, root of the nodes of each tile pair that have a near one of another root."""
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, tile, *cells in frame[["key", "tile", "node", "fp", "n", "root", "side", "keys"]].itertuples(index=False, name=None):
+                keys = np.stack(cells.pop())
+                nodes, fps, sizes, roots, sides = (np.asarray(x, dtype=np.int64) for x in cells)
+                at = open_nodes(key, _near(fps, sizes), roots, sides, keys)
+                out += [(tile, k, int(nodes[i]), int(fps[i]), int(roots[i])) for k, some in enumerate(parts_of(sizes[at], part)) for i in at[some]]
+            yield pd.DataFrame(out, columns=["tile", "part", "node", "fp", "root"], dtype="int64")
+
+    cells = [F.col(f"cells.{c}").alias(c) for c in ("node", "fp", "n", "root", "side", "keys")]
+    return tiles.select("key", "tile", *cells).mapInPandas(find, "tile long, part long, node long, fp long, root long")
+
+
+def joins(fps: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similarity 0.8 or more that join all roots which such pairs within the radius connect, and no more."""
+    sizes, label, out = np.array([len(x) for x in sets]), roots.copy(), []
+    near, starts = _near(fps, sizes) <= RADIUS, np.cumsum(sizes) - sizes
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    for i in range(len(sets) - 1):
+        maybe = near[i, i + 1 :] & (label[i + 1 :] != label[i])
+        if not maybe.any():
+            continue
+        mine = np.zeros(len(values), dtype=bool)
+        mine[at[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(mine[at], starts, dtype=np.int64)[i + 1 :]
+        for j in i + 1 + np.flatnonzero(maybe & (9 * both >= 4 * (sizes[i + 1 :] + sizes[i]))):  # 5 * both >= 4 * (the two sizes - both)
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _joined(opened: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links src, dst between the roots of each tile's opened nodes: their shingle sets meet in the tile."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"node": frame["node"], "shingles": [shingle_set(x).tobytes() for x in frame["text"]]})
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for node, fp, root, sets in frame[["node", "fp", "root", "shingles"]].itertuples(index=False, name=None):
+                out += [(int(node[i]), int(node[j])) for i, j in joins(np.asarray(fp, dtype=np.int64), np.asarray(root, dtype=np.int64), [np.frombuffer(x, dtype=np.uint64) for x in sets])]
+            yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    sets = _texts(opened.select("node"), nodes, rows).mapInPandas(make, "node long, shingles binary")
+    met = opened.join(sets, "node").groupBy("tile", "part").agg(F.collect_list(F.struct("node", "fp", "root", "shingles")).alias("cells"))
+    return met.select(*(F.col(f"cells.{c}").alias(c) for c in ("node", "fp", "root", "shingles"))).mapInPandas(join, "src long, dst long")
 
 
 def _gathered(rows: DataFrame, a: str, b: str, side: str) -> DataFrame:
-    """One row for each tile pair, of two tiles' rows at most."""
-    cell = F.struct("node", "fp", "n", "root", F.expr(side).alias("side"))
-    return rows.groupBy("key", F.expr(a).alias("ta"), F.expr(b).alias("tb")).agg(F.collect_list(cell).alias("cells")).filter(F.size("cells") > 1)
+    """key, tile, cells: one row for each tile pair, of two tiles' rows at most."""
+    cell = F.struct("node", "fp", "n", *(c for c in ("root", "keys") if c in rows.columns), F.expr(side).alias("side"))
+    pairs = rows.groupBy("key", F.expr(a).alias("ta"), F.expr(b).alias("tb")).agg(F.collect_list(cell).alias("cells")).filter(F.size("cells") > 1)
+    return pairs.select("key", F.xxhash64("key", "ta", "tb").alias("tile"), "cells")
 
 
 def _own_tiles(rows: DataFrame, tile: int) -> DataFrame:
@@ -128,21 +202,26 @@ def _root_tiles(rows: DataFrame, tile: int) -> DataFrame:
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all")).filter("roots > 1").drop("roots")
     rows = cut(rows.join(main, "key").withColumn("cls", F.expr("if(root = main, 0, 1)")).withColumn("bits", F.bit_count("fp")))
-    one = _gathered(rows.filter(f"all <= {tile}"), "0", "0", "2").select("cells")
+    one = _gathered(rows.filter(f"all <= {tile}"), "0", "0", "2")
     large = rows.filter(f"all > {tile}")
     counts = large.groupBy("key", "cls", "bits").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).groupBy("key").agg(F.collect_list(F.struct("cls", "bits", "tiles")).alias("counts"))
     large = large.join(counts, "key").withColumn("tiles", F.expr("filter(counts, c -> c.cls = cls and c.bits = bits)[0].tiles"))
     large = large.withColumn("own", F.expr("struct(cls, bits, cast(pmod(xxhash64(node), tiles) as int) as t)"))
     others = f"flatten(transform(filter(counts, c -> abs(c.bits - bits) <= {RADIUS} and c.cls + cls > 0), c -> transform(sequence(0, c.tiles - 1), t -> struct(c.cls as cls, c.bits as bits, t as t))))"
     large = large.withColumn("other", F.explode(F.expr(others)))
-    many = _gathered(large, "least(own, other)", "greatest(own, other)", "if(own = other, 2, if(own < other, 0, 1))").select("cells")
+    many = _gathered(large, "least(own, other)", "greatest(own, other)", "if(own = other, 2, if(own < other, 0, 1))")
     return one.union(many)
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of each wanted node."""
+    named = cut(wanted.distinct().join(nodes, "node").select("node", "row"))
+    return rows.select("row", "text").join(small(named), "row").select("node", "text")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity is 0.8 or more, as links src, dst; rows has the texts."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "row"))
-    texts = cut(rows.select("row", "text").join(small(wanted), "row").select("node", "text"))
+    texts = cut(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows))
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -158,18 +237,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(alike, "src long, dst long")
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, tile: int = TILE) -> DataFrame:
+def similar_links(nodes: DataFrame, rows: DataFrame, tile: int = TILE, part: int = PART) -> DataFrame:
     """Links that connect all nodes (node, row, n, fp, keys) of similarity 0.8 or more, directly or through others; rows has their texts.
 
-    First a forest of the closest fingerprints of each tile is verified, which joins most of a group with few pairs. Then the pairs
-    within the radius that are not joined yet are verified, so a pair is left out only where its ends are joined already.
+    First a forest of the closest fingerprints of each tile is verified, which joins most of a group with few pairs. Then the nodes that
+    are within the radius of one not joined yet meet in their tiles again, with their shingle sets, and are compared there.
     """
-    met = nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
-    pairs = cut(_compared(_own_tiles(met.withColumn("root", F.col("node")), tile), spanning_forest))
+    some = nodes.filter("n > 0")
+    met = some.select("node", "fp", "n", F.explode("keys").alias("key"))
+    pairs = cut(_forests(_own_tiles(met, tile)))
     links = cut(_verified(pairs, nodes, rows))
-    rooted = met.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = cut(_compared(_root_tiles(rooted, tile), across_roots).join(pairs, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.union(_verified(more, nodes, rows))
+    rooted = some.select("node", "fp", "n", "keys").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    opened = cut(_opened(_root_tiles(rooted.withColumn("key", F.explode("keys")), tile), part))
+    return links if opened.isEmpty() else links.union(_joined(opened, nodes, rows))
 
 
 def near_copies(docs: DataFrame, row: str) -> DataFrame:

@@ -62,3 +62,35 @@ def test_the_pipelines_stage_drops_what_is_similar(spark):
     other = [*words[:50], "changed", *words[51:]]
     df = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(other), "en", "s", 0), (3, " ".join(words[:70]), "en", "s", 0)], SCHEMA)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()) == [1, 3]
+
+
+def edited(n, changes, seed):
+    """A text and n - 1 of it with some of its words replaced: five-word shingles make them less similar than 0.8 to each other, mostly."""
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    out = [base]
+    for _ in range(n - 1):
+        out.append(list(base))
+        for _ in range(changes):
+            out[-1][r.randrange(len(base))] = f"x{r.randint(0, 10**9)}"
+    return [" ".join(x) for x in out]
+
+
+def test_a_group_short_of_the_similarity_emits_no_row_for_each_pair(spark, monkeypatch):
+    texts = edited(150, 4, 3)
+    made, cut = [], near_text.cut
+    monkeypatch.setattr(near_text, "cut", lambda df: made.append(out := cut(df)) or out)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = near_text.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(groups(texts)))
+    assert max(x.count() for x in made) <= near_text.BANDS * len(texts)  # there are 11,175 pairs
+
+
+def test_small_tiles_and_parts_give_the_same_components(spark):
+    texts = edited(60, 3, 5) + edited(40, 2, 6)
+    rows = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "row string, doc_id long, text string")
+    nodes = near_text.cut(near_text.sketches(rows).withColumn("node", near_text.F.col("doc_id")))
+    want = groups(texts)
+    for tile, part in ((1024, 1 << 20), (16, 500)):
+        found = dict(map(tuple, near_text.components(near_text.similar_links(nodes, rows, tile, part)).collect()))
+        assert [found.get(i, i) for i in range(len(texts))] == want
