@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A word's bytes become token ids, and merges are folded over them by rank. The rank map is a literal: an array of small maps
-from a pair to the id that it merges to, for Spark looks through a map from its start. Every literal is bound once a row.
+A word's bytes become token ids, and merges are folded over them by rank. The rank map is an array of small maps from a pair to the id
+that it merges to, for Spark looks through a map from its start. Every constant is bound once a row.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -96,12 +97,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_map(merges: dict[tuple[int, int], int]) -> Column:
+def rank_map(merges: dict[tuple[int, int], int]) -> list[dict[int, int] | None]:
     buckets: list[dict[int, int] | None] = [None] * BUCKETS
     for (a, b), to in merges.items():
         k = (a * SPREAD + b) % BUCKETS
         buckets[k] = (buckets[k] or {}) | {a * PAIR + b: to}
-    return json_literal(buckets, "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    return buckets
 
 
 def _merge_of(ranks: Column, a: Column, b: Column) -> Column:
@@ -162,63 +163,85 @@ def fold_word(word: Column, byte_ids: Column, ranks: Column) -> Column:
     return _let(ids, lambda ids: F.when(F.size(ids) <= SHORT, _fold_short(ids, ranks)).otherwise(_fold_long(ids, ranks)))
 
 
-def _strings(items: list[bytes]) -> Column:
-    """A constant array of the items as strings that hold their bytes as they are."""
-    return json_literal([base64.b64encode(x).decode() for x in items], "array<binary>").cast("array<string>")
+def _text(ids: Column, strings: Column) -> Column:
+    """The bytes that the ids stand for, joined as they are, as a string: casts between strings and binary keep bytes."""
+    return F.array_join(F.transform(ids, lambda i: F.get(strings, i)), "")
 
 
 def _joined(ids: Column, strings: Column) -> Column:
-    """The bytes that the ids stand for, joined as they are: casts between strings and binary keep bytes."""
-    return F.array_join(F.transform(ids, lambda i: F.get(strings, i)), "").cast("binary")
+    return _text(ids, strings).cast("binary")
+
+
+def _base64(items: list[bytes]) -> list[str]:
+    return [base64.b64encode(x).decode() for x in items]
+
+
+#: How the constants are read from JSON, and what they are: base64 becomes strings that hold the bytes as they are.
+_TYPES = {
+    "bytes": ("array<bigint>", "array<bigint>"), "ranks": ("array<map<string,bigint>>", "array<map<bigint,bigint>>"),
+    "pieces": ("array<binary>", "array<string>"), "four": ("array<binary>", "array<string>"),
+}
+#: The table of encoded words by what it holds for each: ids, or these packed and decoded.
+_TABLE = {False: "array<map<string,array<bigint>>>", True: "array<map<string,struct<packed:string,decoded:string>>>"}
 
 
 class ByteBpe:
     """An encoder and decoder for one rank file and splitting pattern; its methods take and give columns.
 
-    What they read is env, a struct of literals: bytes (the id of each byte), ranks, table, pieces and four (each id's bytes as it is decoded
-    and packed). After prepared, env is one checkpointed row instead, literals and all, so that plans don't repeat them.
+    What they read is env, a struct of constants: bytes (the id of each byte), ranks, table, pieces and four (each id's bytes as it is decoded
+    and packed). These are literals; after prepared, env is one checkpointed row instead, made of a small frame, so that no plan and no
+    plan's text holds them.
     """
 
     def __init__(self, rank_file: str, pattern: str):
         self.vocabulary = Vocabulary.load(rank_file)
         self.pattern = java_pattern(pattern)
-        self._forget()
+        self.one_row, self.table_size, self.digests = None, 1, False
 
-    def _literals(self) -> dict[str, Column]:
+    def _constants(self) -> dict[str, object]:
         v = self.vocabulary
-        return {
-            "bytes": json_literal([v.ranks[bytes([b])] for b in range(256)], "array<bigint>"), "ranks": rank_map(v.merges),
-            "pieces": _strings(v.pieces), "four": _strings([i.to_bytes(4, "little") for i in range(len(v.pieces))]),
-        }
+        return {"bytes": [v.ranks[bytes([b])] for b in range(256)], "ranks": rank_map(v.merges), "pieces": _base64(v.pieces), "four": _base64([i.to_bytes(4, "little") for i in range(len(v.pieces))])}
 
-    def _forget(self) -> None:
-        self.one_row, self.table_size = None, 1
-        self.env = F.struct(json_literal([None], "array<map<string,array<bigint>>>").alias("table"), *(c.alias(name) for name, c in self._literals().items()))
+    @property
+    def env(self) -> Column:
+        if self.one_row is not None:
+            return F.col(ENV)
+        return F.struct(json_literal([None], _TABLE[self.digests]).alias("table"), *(json_literal(c, _TYPES[name][0]).cast(_TYPES[name][1]).alias(name) for name, c in self._constants().items()))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def prepared(self, docs: DataFrame, words: int = TABLE_WORDS, sample: int = TABLE_SAMPLE) -> ByteBpe:
+    def prepared(self, docs: DataFrame, words: int = TABLE_WORDS, sample: int = TABLE_SAMPLE, digests: bool = False) -> ByteBpe:
         """This encoder with a table of the most frequent words of a sample of docs, as a scalar subquery; it changes the time only.
 
-        The table is bounded by words of at most LONGEST_TABLE_WORD characters; any other word is folded where it stands.
+        The table is bounded by words of at most LONGEST_TABLE_WORD characters; any other word is folded where it stands. With digests it
+        holds each word's packed ids and their bytes in place of the ids, which bpe_digests reads.
         """
-        self._forget()
+        spark = docs.sparkSession
+        texts = {name: json.dumps(c, separators=(",", ":")) for name, c in self._constants().items()}
+        read = spark.createDataFrame([tuple(texts.values())], ", ".join(f"{name} string" for name in texts))
+        constants = cut(read.select(*(F.from_json(name, _TYPES[name][0]).cast(_TYPES[name][1]).alias(name) for name in texts)))
+        no_table = F.lit(None).cast(_TABLE[digests])
+        self.one_row, self.table_size, self.digests = constants.select(F.struct(no_table.alias("table"), *texts).alias(ENV)), 1, digests
         n = docs.count()
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
         counts = picked.filter(F.length("word").between(1, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-        # Literals stand in plans that adaptive execution never plans anew, each of one step: a plan's text holds them whole.
-        entries = cut(cut(top).select("word", self.encode_words(F.array("word"))[0].alias("ids")))
+        top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * spark.sparkContext.defaultParallelism)
+        entry = (self.digest_words if digests else self.encode_words)(F.array("word"))[0]
+        entries = cut(self.over(cut(top)).select("word", entry.alias("entry")))
         self.table_size = 1 << max(words - 1, 1).bit_length()  # about one word a bucket: Spark looks through a map from its start
-        filled = entries.select(F.pmod(F.xxhash64("word"), F.lit(self.table_size)).alias("at"), F.struct("word", "ids").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
-        buckets = docs.sparkSession.range(self.table_size).select(F.col("id").alias("at")).join(filled, "at", "left")
+        filled = entries.select(self._bucket(F.col("word")).alias("at"), F.struct("word", "entry").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
+        buckets = spark.range(self.table_size).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
         ordered = F.sort_array(F.collect_list(F.struct("at", "words")))
         table = cut(buckets.agg(F.transform(ordered, lambda b: F.map_from_entries(b["words"])).alias("table")))
-        self.one_row = cut(table.select(F.struct("table", *(c.alias(name) for name, c in self._literals().items())).alias(ENV)))  # bounded by words
-        self.env = F.col(ENV)
+        # Two frames of one row each become one row.
+        both = table.unionByName(constants, allowMissingColumns=True).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("table", *texts)))
+        self.one_row = cut(both.select(F.struct("table", *texts).alias(ENV)))  # bounded by words
         return self
 
+    def _bucket(self, word: Column) -> Column:
+        return F.hash(word).bitwiseAND(F.lit(self.table_size - 1))
+
     def over(self, docs: DataFrame) -> DataFrame:
         """docs with env as a column, from which the methods read it.
 
@@ -227,14 +250,27 @@ class ByteBpe:
         """
         return docs if self.one_row is None else docs.withColumn(ENV, self.one_row.scalar())
 
+    def _each(self, words: Column, entry: Callable[[Column, Column, Column], Column]) -> Column:
+        """entry(what the table has for a word, the word, env) of each of an array of words."""
+        known = lambda table, word: F.try_element_at(F.get(table, self._bucket(word)), word)
+        return _let(self.env, lambda env: _let(env["table"], lambda table: F.transform(words, lambda w: entry(known(table, w), w, env))))
+
     def encode_words(self, words: Column) -> Column:
         """The ids of each of an array of words."""
+        folded = lambda word, env: fold_word(word, env["bytes"], env["ranks"])
+        return self._each(words, lambda known, word, env: folded(word, env) if self.digests else F.coalesce(known, folded(word, env)))
+
+    def digest_words(self, words: Column) -> Column:
+        """Of each of an array of words its ids packed as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+        pair = lambda ids, env: F.struct(_text(ids, env["four"]).alias("packed"), _text(ids, env["pieces"]).alias("decoded"))
 
-        def one(word: Column, env: Column) -> Column:
-            known = F.try_element_at(F.get(env["table"], F.pmod(F.xxhash64(word), F.lit(self.table_size)).cast("int")), word)
-            return F.coalesce(known, fold_word(word, env["bytes"], env["ranks"]))
+        def entry(known: Column, word: Column, env: Column) -> Column:
+            folded = fold_word(word, env["bytes"], env["ranks"])
+            if self.digests:
+                return F.coalesce(known, _let(folded, lambda ids: pair(ids, env)))
+            return _let(F.coalesce(known, folded), lambda ids: pair(ids, env))
 
-        return _let(self.env, lambda env: F.transform(words, lambda w: one(w, env)))
+        return self._each(words, entry)
 
     def encode(self, text: Column) -> Column:
         """The ids of a text, as the tiktoken library's encode_ordinary gives them; null and empty texts have none."""
@@ -261,12 +297,12 @@ def encode_documents(docs: DataFrame, bpe: ByteBpe, text: str = "text") -> DataF
 
 
 def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: the ids are made once and read twice.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; ids are packed and decoded word by word.
 
     Null texts are empty; whole texts of any length are read; repeated rows are encoded alike; an empty table gives no rows; other columns
     aren't read.
     """
-    ids = bpe.over(docs.select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    row = lambda ids, env: F.struct(F.size(ids).cast("long").alias("n"), F.sha2(_joined(ids, env["four"]), 256).alias("ids_sha256"), F.sha2(_joined(ids, env["pieces"]), 256).alias("decoded_sha256"))
-    both = _let(F.col("ids"), lambda ids: _let(bpe.env, lambda env: row(ids, env)))
-    return bpe.over(ids).select("doc_id", both.alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids_sha256", "r.decoded_sha256")
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    row = lambda packed, words: F.struct(F.shiftright(F.octet_length(packed), 2).cast("long").alias("n_tokens"), sha(packed).alias("ids_sha256"), sha(F.array_join(words["decoded"], "")).alias("decoded_sha256"))
+    made = _let(bpe.digest_words(bpe.words(F.col("text"))), lambda words: _let(F.array_join(words["packed"], ""), lambda packed: row(packed, words)))
+    return bpe.over(docs.select("doc_id", "text")).select("doc_id", made.alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

@@ -23,7 +23,7 @@ from .toxicity import fit_on, toxicity
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe_digests(docs, ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).prepared(docs))
+    return bpe_digests(docs, ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).prepared(docs, digests=True))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

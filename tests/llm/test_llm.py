@@ -61,6 +61,19 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.bpe_digests(empty, bpe.prepared(empty)).collect() == []
 
 
+def test_byte_bpe_constants_stay_out_of_plans(docs):
+    bpe = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    plain = sorted(byte_bpe.bpe_digests(docs, bpe.prepared(docs, words=50)).collect(), key=str)
+    digests = byte_bpe.bpe_digests(docs, bpe.prepared(docs, words=50, digests=True))
+    assert sorted(digests.collect(), key=str) == plain
+    ids = byte_bpe.encode_documents(docs.select("doc_id", "text"), bpe)
+    made = {(r["doc_id"], len(r["ids"])) for r in ids.collect()}
+    assert made == {(r["doc_id"], r["n_tokens"]) for r in plain}
+    # The vocabulary as JSON in a plan is over a megabyte of text, and Spark keeps the texts of past plans.
+    for frame in (digests, ids, bpe.one_row):
+        assert len(frame._jdf.queryExecution().toString()) < 200_000
+
+
 def test_token_counts(docs, empty):
     from sentencepiece import SentencePieceProcessor
 
