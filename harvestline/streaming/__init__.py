@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -11,13 +12,20 @@ from pyspark.sql import functions as F
 from harvestline.sources.shared import shared_folder
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append") -> None:
-    """Run a stream over all that is there now; each batch overwrites its own folder, so a batch that runs twice is written once."""
+def drain(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append") -> int:
+    """Run a stream over all that is there now; each batch overwrites its own folder, so a batch that runs twice is written once.
+
+    Returns the watermark of the last batch in milliseconds, 0 where there is none.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         (batch if each is None else each(batch, number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    mark = last and last["eventTime"].get("watermark")
+    return round(dt.datetime.fromisoformat(mark).timestamp() * 1000) if mark else 0
 
 
 def stream_rate(spark: SparkSession, sf_dir: str, minutes: int = 10, slide: int = 5) -> DataFrame:

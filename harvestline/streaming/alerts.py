@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,49 +14,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from harvestline.sources.shared import shared_folder
 from harvestline.streaming import drain
 
-FIRED = "key string, since long, fired_at long"
-#: Milliseconds since when the condition holds (-1: it doesn't), whether that has fired, and samples that the watermark hasn't reached.
-_STATE = "since long, fired boolean, at array<long>, id array<long>, breach array<boolean>"
+#: Samples that the watermark hasn't reached, as int64, int64 and one byte each.
+_STATE = "at binary, id binary, breach binary"
+_TURN = "key string, ms long, id long, breach boolean"
 
 
-def sustained(samples: DataFrame, hold_ms: int) -> DataFrame:
-    """key, since, fired_at (milliseconds): breaches of a stream (key, ts, id, breach; with a watermark) that lasted hold_ms without a sample within bounds.
+def turns(at: np.ndarray, ids: np.ndarray, breach: np.ndarray) -> np.ndarray:
+    """Places of the samples, in order of time and id, that tell which breaches outlast a slice: first and last dip, first breach after it.
 
-    Samples of a key are taken in order of time and id once the watermark has passed them, so late ones within its delay count and the
-    state of a key holds the delay's samples only. The alert fires at since + hold by an event-time timer, without waiting for a
-    sample, once for each breach; a dip at that very moment or before starts it anew.
+    A breach that begins and ends within a slice no longer than the hold never fires, so no other sample of it matters.
     """
+    order = np.lexsort((ids, at))
+    dips = np.flatnonzero(~breach[order])
+    since = dips[-1] + 1 if len(dips) else 0
+    return order[np.unique([*dips[:1], *dips[-1:], *([since] if since < len(order) else [])]).astype(np.int64)]
 
-    def follow(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, fired, at, ids, breach = state.get if state.exists else (-1, False, [], [], [])
-        waiting = list(zip(at, ids, breach))
-        for frame in frames:
-            waiting += zip(frame["ms"].tolist(), frame["id"].tolist(), frame["breach"].tolist())
+
+def turning(samples: DataFrame, hold_ms: int) -> DataFrame:
+    """key, ms, id, breach: of a stream (key, ts, id, breach; with a watermark) the samples that tell which breaches last hold_ms.
+
+    Samples of a key are taken in slices of time of hold_ms, each a state of its own, once the watermark has passed them: late ones within
+    its delay count, and a slice holds the delay's samples only. What the watermark passes of a slice at once is cut to three samples.
+    """
+
+    def follow(key: tuple[str, int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, ids, breach = (np.frombuffer(x, kind) for x, kind in zip(state.get if state.exists else (b"", b"", b""), (np.int64, np.int64, np.bool_)))
+        seen = list(frames)
+        at = np.concatenate([at, *(f["ms"].to_numpy(np.int64) for f in seen)])
+        ids = np.concatenate([ids, *(f["id"].to_numpy(np.int64) for f in seen)])
+        breach = np.concatenate([breach, *(f["breach"].to_numpy(np.bool_) for f in seen)])
         mark = state.getCurrentWatermarkMs()
-        waiting.sort()
-        out, done = [], 0
-        for t, _, high in waiting:
-            if t > mark:
-                break
-            done += 1
-            if since >= 0 and not fired and t > since + hold_ms:
-                out.append((key[0], since, since + hold_ms))
-                fired = True
-            if not high:
-                since, fired = -1, False
-            elif since < 0:
-                since, fired = t, False
-        waiting = waiting[done:]
-        if since >= 0 and not fired and since + hold_ms < mark:
-            out.append((key[0], since, since + hold_ms))
-            fired = True
-        next_up = [t for t, _, _ in waiting[:1]] + ([since + hold_ms] if since >= 0 and not fired else [])
-        state.update((since, fired, *([list(c) for c in zip(*waiting)] or [[], [], []])))
-        if next_up:
-            state.setTimeoutTimestamp(max(min(next_up), mark) + 1)
-        yield pd.DataFrame(out, columns=["key", "since", "fired_at"])
-
-    return samples.withColumn("ms", F.unix_millis("ts")).groupBy("key").applyInPandasWithState(follow, FIRED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        done = np.flatnonzero(at <= mark)
+        out = done[turns(at[done], ids[done], breach[done])]
+        wait = at > mark
+        if wait.any():
+            state.update(tuple(x[wait].tobytes() for x in (at, ids, breach)))
+            state.setTimeoutTimestamp(int(at[wait].min()) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": key[0], "ms": at[out], "id": ids[out], "breach": breach[out]}, columns=["key", "ms", "id", "breach"])
+
+    rows = samples.filter("ts is not null").withColumns({"ms": F.unix_millis("ts"), "id": F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1))})
+    rows = rows.withColumn("slice", F.col("ms") - F.pmod("ms", F.lit(max(hold_ms, 1))))
+    return rows.groupBy("key", "slice").applyInPandasWithState(follow, _TURN, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sustained(turned: DataFrame, hold_ms: int, mark: Column) -> DataFrame:
+    """key, since, fired_at (milliseconds): the breaches of turning's samples that lasted hold_ms without a sample within bounds before mark.
+
+    An alert fires at since + hold, once for each breach; a dip at that very moment or before starts it anew. Windows go over three samples a
+    key and slice at most for each time the watermark moved in it, however many samples there were.
+    """
+    order = Window.partitionBy("key").orderBy("ms", "id")
+    begun = F.col("breach") & ~F.coalesce(F.lag("breach").over(order), F.lit(False))
+    dip = F.min(F.when(~F.col("breach"), F.col("ms"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    fired = F.col("ms") + hold_ms
+    lasted = F.coalesce(F.col("dip") > fired, fired < mark)
+    return turned.withColumns({"begun": begun, "dip": dip}).filter(F.col("begun") & lasted).select("key", F.col("ms").alias("since"), fired.alias("fired_at"))
 
 
 def sustained_events(spark: SparkSession, folder: str, breach: Column, key: Column, hold_minutes: int, delay_minutes: int, files: int = 4) -> DataFrame:
@@ -65,8 +80,9 @@ def sustained_events(spark: SparkSession, folder: str, breach: Column, key: Colu
     ts = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
     samples = stream.select(key.alias("key"), ts.alias("ts"), F.col("event_id").alias("id"), F.coalesce(breach, F.lit(False)).alias("breach")).withWatermark("ts", f"{delay_minutes} minutes")
     place = f"{shared_folder(spark)}/sustained-{uuid.uuid4().hex}"
-    drain(sustained(samples, hold_minutes * 60_000), f"{place}/out", f"{place}/state")
-    out = spark.read.schema(FIRED).parquet(f"{place}/out")
+    hold_ms = hold_minutes * 60_000
+    mark = drain(turning(samples, hold_ms), f"{place}/out", f"{place}/state")
+    out = sustained(spark.read.schema(_TURN).parquet(f"{place}/out"), hold_ms, F.lit(mark))
     return out.select("key", *(F.timestamp_millis(c).cast("timestamp_ntz").alias(c) for c in ("since", "fired_at")))
 
 

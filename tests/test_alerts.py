@@ -1,7 +1,9 @@
 """Sustained breaches over several batches, late samples and dips; counter rates by hand."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,39 @@ def test_a_dip_at_the_moment_of_firing_and_null_values(spark, tmp_path):
     assert fired(spark, tmp_path, [rows]) == [("b", 0.0, 30.0)]
 
 
+def test_a_slice_of_any_number_of_samples_leaves_three():
+    """Each slice of a key is a state of its own and is cut to three samples, against a walk over all samples of each slice."""
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randint(1, 30)
+        at, ids = np.array([r.randint(0, 20) for _ in range(n)]), np.array(r.sample(range(100), n))
+        breach = np.array([r.random() < 0.7 for _ in range(n)])
+        rows = sorted(zip(at.tolist(), ids.tolist(), breach.tolist()))
+        kept = [(int(at[k]), int(ids[k]), bool(breach[k])) for k in A.turns(at, ids, breach)]
+        dips = [x for x in rows if not x[2]]
+        after = [x for x in rows if x[2] and (not dips or x > dips[-1])]
+        assert kept == sorted({*dips[:1], *dips[-1:], *after[:1]}) and len(kept) <= 3
+
+
+def test_many_samples_of_one_key_over_slices_and_batches(spark, tmp_path):
+    r = random.Random(8)
+    rows = sorted(((k % 2 and "a" or "b", r.randint(0, 60 * 40) / 2, 1.0 if r.random() < 0.03 else 9.0) for k in range(1500)), key=lambda x: x[1])
+    end, want = max(m for _, m, _ in rows) - 10, []
+    for key in "ab":
+        since, fired_yet = None, False
+        mine = [(m, k, v > 5) for k, (name, m, v) in enumerate(rows) if name == key and m <= end]
+        for m, _, high in [*sorted(mine), (end - 1e-9, 0, True)]:
+            if since is not None and not fired_yet and m > since + 30:
+                want.append((key, since, since + 30))
+                fired_yet = True
+            if not high:
+                since, fired_yet = None, False
+            elif since is None:
+                since = m
+    assert len(want) > 5
+    assert fired(spark, tmp_path, [rows[:600], rows[600:900], rows[900:]]) == sorted(want)
+
+
 def test_counter_rate_by_hand(spark):
     values = {0: 0.0, 10: 20.0, 20: 30.0, 30: 5.0, 40: 15.0, 50: 15.0}
     rows = [("a", at(m), v) for m, v in values.items()] + [("one", at(5), 3.0), ("same", at(5), 3.0), ("same", at(5), 4.0)]
