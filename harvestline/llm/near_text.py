@@ -15,7 +15,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, small, with_row
@@ -193,21 +193,33 @@ def _own_tiles(rows: DataFrame, tile: int) -> DataFrame:
     return _gathered(rows.join(sizes, "key").withColumn("t", F.expr(f"cast(pmod(xxhash64(node, key), ceil(all / {tile})) as int)")), "t", "t", "2")
 
 
+def _cut_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """key, runs, tiles: each key's main and other rows by population count, cut every so many rows into tiles from lo to hi bits.
+
+    A tile takes several counts where these have few rows, so a key of n rows has about n / tile tiles and not one for each count.
+    """
+    runs = rows.groupBy("key", "cls", "bits").agg(F.count(F.lit(1)).alias("n"))
+    runs = cut(runs.withColumn("start", F.sum("n").over(Window.partitionBy("key", "cls").orderBy("bits")) - F.col("n")))
+    each = runs.withColumn("t", F.explode(F.expr(f"sequence(cast(start div {tile} as int), cast((start + n - 1) div {tile} as int))")))
+    tiles = each.groupBy("key", "cls", "t").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+    tiles = tiles.groupBy("key").agg(F.collect_list(F.struct("cls", "t", "lo", "hi")).alias("tiles"))
+    return runs.groupBy("key").agg(F.collect_list(F.struct("cls", "bits", "n", "start")).alias("runs")).join(tiles, "key")
+
+
 def _root_tiles(rows: DataFrame, tile: int) -> DataFrame:
     """Tile pairs of the keys whose rows have several roots, without the pairs within a key's largest component.
 
-    The rows of the largest component (main) are dealt out once and meet all others; tiles are made by population count and hash, and
-    tile pairs whose counts differ beyond the radius are skipped. A key that fits into one tile is one.
+    The rows of the largest component (main) are dealt out once and meet all others; tiles are runs of population counts, and a row goes
+    only where a tile has counts within the radius of its own. A key that fits into one tile is one.
     """
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all")).filter("roots > 1").drop("roots")
     rows = cut(rows.join(main, "key").withColumn("cls", F.expr("if(root = main, 0, 1)")).withColumn("bits", F.bit_count("fp")))
     one = _gathered(rows.filter(f"all <= {tile}"), "0", "0", "2")
     large = rows.filter(f"all > {tile}")
-    counts = large.groupBy("key", "cls", "bits").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).groupBy("key").agg(F.collect_list(F.struct("cls", "bits", "tiles")).alias("counts"))
-    large = large.join(counts, "key").withColumn("tiles", F.expr("filter(counts, c -> c.cls = cls and c.bits = bits)[0].tiles"))
-    large = large.withColumn("own", F.expr("struct(cls, bits, cast(pmod(xxhash64(node), tiles) as int) as t)"))
-    others = f"flatten(transform(filter(counts, c -> abs(c.bits - bits) <= {RADIUS} and c.cls + cls > 0), c -> transform(sequence(0, c.tiles - 1), t -> struct(c.cls as cls, c.bits as bits, t as t))))"
+    large = large.join(_cut_tiles(large, tile), "key").withColumn("at", F.expr("filter(runs, r -> r.cls = cls and r.bits = bits)[0]"))
+    large = large.withColumn("own", F.expr(f"struct(cls, cast((at.start + pmod(xxhash64(node), at.n)) div {tile} as int) as t)"))
+    others = f"transform(filter(tiles, c -> bits between c.lo - {RADIUS} and c.hi + {RADIUS} and c.cls + cls > 0), c -> struct(c.cls as cls, c.t as t))"
     large = large.withColumn("other", F.explode(F.expr(others)))
     many = _gathered(large, "least(own, other)", "greatest(own, other)", "if(own = other, 2, if(own < other, 0, 1))")
     return one.union(many)

@@ -94,3 +94,24 @@ def test_small_tiles_and_parts_give_the_same_components(spark):
     for tile, part in ((1024, 1 << 20), (16, 500)):
         found = dict(map(tuple, near_text.components(near_text.similar_links(nodes, rows, tile, part)).collect()))
         assert [found.get(i, i) for i in range(len(texts))] == want
+
+
+def test_tiles_take_several_population_counts_and_lose_no_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    flips = rng.random((600, 64)) < 0.12
+    fps = [int(x) for x in np.packbits(flips, axis=1).view(np.uint64).ravel().view(np.int64)]
+    roots = [0 if k < 300 else k for k in range(600)]
+    rows = spark.createDataFrame([(k, fps[k], 100, [7], roots[k], 7) for k in range(600)], "node long, fp long, n long, keys array<long>, root long, key long")
+    met, cells = {}, 0
+    for r in near_text._root_tiles(rows, 128).collect():
+        cells += len(r["cells"])
+        for i, a in enumerate(r["cells"]):
+            for b in r["cells"][:i]:
+                if a["root"] != b["root"] and (a["side"] != b["side"] or a["side"] == 2):
+                    pair = min(a["node"], b["node"]), max(a["node"], b["node"])
+                    met[pair] = met.get(pair, 0) + 1
+    near = {(i, j) for j in range(600) for i in range(j) if roots[i] != roots[j] and (fps[i] ^ fps[j]).bit_count() <= near_text.RADIUS}
+    assert near <= set(met) and set(met.values()) == {1}
+    assert cells <= 300 * 6 + 300 * 3  # three tiles of each side; one for each population count made over 8,000 cells
