@@ -2,15 +2,22 @@
 
 A word's bytes become token ids, and merges are folded over them by rank. The rank map is an array of small maps from a pair to the id
 that it merges to, for Spark looks through a map from its start. Every constant is bound once a row.
+
+Digests fold the table's words so, each once; tasks look up a batch's distinct words there with Arrow's kernels, merge those that it lacks
+by the same ranks, each once a batch, and join what the words became.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +29,8 @@ _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 TABLE_WORDS = 262144
 TABLE_SAMPLE = 32000
 LONGEST_TABLE_WORD = 64
+#: Words of a batch of texts that are joined at once, which bounds the memory of long texts.
+RUN = 1 << 20
 ENV = "__bpe"
 
 
@@ -163,13 +172,9 @@ def fold_word(word: Column, byte_ids: Column, ranks: Column) -> Column:
     return _let(ids, lambda ids: F.when(F.size(ids) <= SHORT, _fold_short(ids, ranks)).otherwise(_fold_long(ids, ranks)))
 
 
-def _text(ids: Column, strings: Column) -> Column:
-    """The bytes that the ids stand for, joined as they are, as a string: casts between strings and binary keep bytes."""
-    return F.array_join(F.transform(ids, lambda i: F.get(strings, i)), "")
-
-
 def _joined(ids: Column, strings: Column) -> Column:
-    return _text(ids, strings).cast("binary")
+    """The bytes that the ids stand for, joined as they are: casts between strings and binary keep bytes."""
+    return F.array_join(F.transform(ids, lambda i: F.get(strings, i)), "").cast("binary")
 
 
 def _base64(items: list[bytes]) -> list[str]:
@@ -181,8 +186,7 @@ _TYPES = {
     "bytes": ("array<bigint>", "array<bigint>"), "ranks": ("array<map<string,bigint>>", "array<map<bigint,bigint>>"),
     "pieces": ("array<binary>", "array<string>"), "four": ("array<binary>", "array<string>"),
 }
-#: The table of encoded words by what it holds for each: ids, or these packed and decoded.
-_TABLE = {False: "array<map<string,array<bigint>>>", True: "array<map<string,struct<packed:string,decoded:string>>>"}
+_TABLE = "array<map<string,array<bigint>>>"
 
 
 class ByteBpe:
@@ -196,7 +200,7 @@ class ByteBpe:
     def __init__(self, rank_file: str, pattern: str):
         self.vocabulary = Vocabulary.load(rank_file)
         self.pattern = java_pattern(pattern)
-        self.one_row, self.table_size, self.digests = None, 1, False
+        self.one_row, self.table_size, self.entries = None, 1, None
 
     def _constants(self) -> dict[str, object]:
         v = self.vocabulary
@@ -206,7 +210,7 @@ class ByteBpe:
     def env(self) -> Column:
         if self.one_row is not None:
             return F.col(ENV)
-        return F.struct(json_literal([None], _TABLE[self.digests]).alias("table"), *(json_literal(c, _TYPES[name][0]).cast(_TYPES[name][1]).alias(name) for name, c in self._constants().items()))
+        return F.struct(json_literal([None], _TABLE).alias("table"), *(json_literal(c, _TYPES[name][0]).cast(_TYPES[name][1]).alias(name) for name, c in self._constants().items()))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -215,20 +219,22 @@ class ByteBpe:
         """This encoder with a table of the most frequent words of a sample of docs, as a scalar subquery; it changes the time only.
 
         The table is bounded by words of at most LONGEST_TABLE_WORD characters; any other word is folded where it stands. With digests it
-        holds each word's packed ids and their bytes in place of the ids, which bpe_digests reads.
+        is a frame of each word's packed ids and their bytes in place of the ids, which bpe_digests reads.
         """
         spark = docs.sparkSession
         texts = {name: json.dumps(c, separators=(",", ":")) for name, c in self._constants().items()}
         read = spark.createDataFrame([tuple(texts.values())], ", ".join(f"{name} string" for name in texts))
         constants = cut(read.select(*(F.from_json(name, _TYPES[name][0]).cast(_TYPES[name][1]).alias(name) for name in texts)))
-        no_table = F.lit(None).cast(_TABLE[digests])
-        self.one_row, self.table_size, self.digests = constants.select(F.struct(no_table.alias("table"), *texts).alias(ENV)), 1, digests
+        no_table = F.lit(None).cast(_TABLE)
+        self.one_row, self.table_size, self.entries = constants.select(F.struct(no_table.alias("table"), *texts).alias(ENV)), 1, None
         n = docs.count()
         picked = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).select(F.explode(self.words(F.col("text"))).alias("word"))
         counts = picked.filter(F.length("word").between(1, LONGEST_TABLE_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(2 * spark.sparkContext.defaultParallelism)
-        entry = (self.digest_words if digests else self.encode_words)(F.array("word"))[0]
-        entries = cut(self.over(cut(top)).select("word", entry.alias("entry")))
+        if digests:
+            self.entries = cut(self.over(cut(top)).select("word", self.digest_words(F.array("word"))[0].alias("entry")).select("word", "entry.*"))
+            return self
+        entries = cut(self.over(cut(top)).select("word", self.encode_words(F.array("word"))[0].alias("entry")))
         self.table_size = 1 << max(words - 1, 1).bit_length()  # about one word a bucket: Spark looks through a map from its start
         filled = entries.select(self._bucket(F.col("word")).alias("at"), F.struct("word", "entry").alias("entry")).groupBy("at").agg(F.collect_list("entry").alias("words"))
         buckets = spark.range(self.table_size).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
@@ -257,20 +263,12 @@ class ByteBpe:
 
     def encode_words(self, words: Column) -> Column:
         """The ids of each of an array of words."""
-        folded = lambda word, env: fold_word(word, env["bytes"], env["ranks"])
-        return self._each(words, lambda known, word, env: folded(word, env) if self.digests else F.coalesce(known, folded(word, env)))
+        return self._each(words, lambda known, word, env: F.coalesce(known, fold_word(word, env["bytes"], env["ranks"])))
 
     def digest_words(self, words: Column) -> Column:
         """Of each of an array of words its ids packed as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
-        pair = lambda ids, env: F.struct(_text(ids, env["four"]).alias("packed"), _text(ids, env["pieces"]).alias("decoded"))
-
-        def entry(known: Column, word: Column, env: Column) -> Column:
-            folded = fold_word(word, env["bytes"], env["ranks"])
-            if self.digests:
-                return F.coalesce(known, _let(folded, lambda ids: pair(ids, env)))
-            return _let(F.coalesce(known, folded), lambda ids: pair(ids, env))
-
-        return self._each(words, entry)
+        pair = lambda ids, env: F.struct(_joined(ids, env["four"]).alias("packed"), _joined(ids, env["pieces"]).alias("decoded"))
+        return self._each(words, lambda known, word, env: _let(F.coalesce(known, fold_word(word, env["bytes"], env["ranks"])), lambda ids: pair(ids, env)))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text, as the tiktoken library's encode_ordinary gives them; null and empty texts have none."""
@@ -296,13 +294,96 @@ def encode_documents(docs: DataFrame, bpe: ByteBpe, text: str = "text") -> DataF
     return bpe.over(docs).select(*(F.col(c) for c in docs.columns if c != "ids"), bpe.encode(F.col(text)).alias("ids"))
 
 
+def _row_runs(words: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """Bounds of each row's words among those of all rows, for runs of rows of about RUN words, and where the run starts."""
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
+        yield ends[at : to + 1] - ends[at], int(ends[at])
+        at = to
+
+
+def merged(word: bytes, byte_ids: list[int], merges: dict[int, int]) -> list[int]:
+    """The ids of a word: the leftmost pair of the lowest rank merges until none does, in a word of more than SHORT bytes all its places at once."""
+    ids = [byte_ids[b] for b in word]
+    to = [merges.get(a * PAIR + b, PAIR) for a, b in zip(ids, ids[1:])]
+    while to and (low := min(to)) < PAIR:
+        if len(word) > SHORT:
+            out, k = [], 0
+            while k < len(ids):
+                here = k < len(to) and to[k] == low
+                out.append(low if here else ids[k])
+                k += 1 + here
+            ids = out
+            to = [merges.get(a * PAIR + b, PAIR) for a, b in zip(ids, ids[1:])]
+            continue
+        k = to.index(low)
+        ids[k : k + 2] = [low]
+        del to[k]
+        if k:
+            to[k - 1] = merges.get(ids[k - 1] * PAIR + low, PAIR)
+        if k < len(to):
+            to[k] = merges.get(low * PAIR + ids[k + 1], PAIR)
+    return ids
+
+
+def join_words(words: pa.Array, known: list[pa.Array], fold: Callable[[str], tuple[bytes, bytes]]) -> pa.Array:
+    """n_tokens, ids_sha256 and decoded_sha256 of each row's words; known are words, packed ids and decoded bytes, fold makes these of others."""
+    codes = words.flatten().dictionary_encode()
+    names, packed, decoded = known
+    at = pc.index_in(codes.dictionary, value_set=names)
+    lacking = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+    made = [fold(x) for x in codes.dictionary.take(pa.array(lacking)).to_pylist()]
+    place = at.fill_null(0).to_numpy().astype(np.int64)
+    place[lacking] = len(names) + np.arange(len(lacking))
+    rows = []
+    for k, some in enumerate((packed, decoded)):
+        of_code = pa.concat_arrays([some.cast(pa.large_binary()), pa.array([m[k] for m in made], pa.large_binary())]).take(pa.array(place))
+        lengths, sha = [], []
+        for bounds, first in _row_runs(words):
+            joined = of_code.take(codes.indices.slice(first, int(bounds[-1])))
+            _, places, data = joined.buffers()
+            at = np.frombuffer(places, np.int64)[bounds] if bounds[-1] else bounds
+            view = memoryview(data) if data is not None else memoryview(b"")
+            lengths += np.diff(at).tolist()
+            sha += [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+        rows.append((lengths, sha))
+    (lengths, ids), (_, text) = rows
+    return pa.StructArray.from_arrays([pa.array([n // 4 for n in lengths], pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _table_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
+    """bpe_digests with a table; words that it lacks are merged in the tasks."""
+    table = bpe.entries.select("word", "packed", "decoded").toArrow()  # bounded by the words of the table
+    known = [pa.concat_arrays([pa.array([], c.type), *c.chunks]) for c in table.columns]
+    v = bpe.vocabulary
+    sent = docs.sparkSession.sparkContext.broadcast((known, [v.ranks[bytes([b])] for b in range(256)], {a * PAIR + b: to for (a, b), to in v.merges.items()}, v.pieces))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, byte_ids, merges, pieces = sent.value
+
+        def fold(word: str) -> tuple[bytes, bytes]:
+            ids = merged(word.encode(), byte_ids, merges)
+            return np.array(ids, "<u4").tobytes(), b"".join([pieces[i] for i in ids])
+
+        for batch in batches:
+            found = join_words(batch.column(1), known, fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], names=["doc_id", *found.type.names])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", bpe.words(F.col("text")).alias("words")).mapInArrow(joined, schema)
+
+
 def bpe_digests(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; ids are packed and decoded word by word.
 
     Null texts are empty; whole texts of any length are read; repeated rows are encoded alike; an empty table gives no rows; other columns
     aren't read.
     """
-    sha = lambda text: F.sha2(text.cast("binary"), 256)
-    row = lambda packed, words: F.struct(F.shiftright(F.octet_length(packed), 2).cast("long").alias("n_tokens"), sha(packed).alias("ids_sha256"), sha(F.array_join(words["decoded"], "")).alias("decoded_sha256"))
-    made = _let(bpe.digest_words(bpe.words(F.col("text"))), lambda words: _let(F.array_join(words["packed"], ""), lambda packed: row(packed, words)))
+    if bpe.entries is not None:
+        return _table_digests(docs.select("doc_id", "text"), bpe)
+    join = lambda words, name: F.array_join(F.transform(words[name], lambda x: x.cast("string")), "").cast("binary")
+    row = lambda packed, decoded: F.struct(F.shiftright(F.octet_length(packed), 2).cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    made = _let(bpe.digest_words(bpe.words(F.col("text"))), lambda words: _let(join(words, "packed"), lambda packed: row(packed, join(words, "decoded"))))
     return bpe.over(docs.select("doc_id", "text")).select("doc_id", made.alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

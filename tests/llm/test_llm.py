@@ -61,6 +61,26 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.bpe_digests(empty, bpe.prepared(empty)).collect() == []
 
 
+def test_byte_bpe_looks_up_the_distinct_words_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    bpe = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["the cat and the hat", None, "", "the zyxxyz the zyxxyz \u00e9\u4e2d", "and", "the " * 3000 + "qqq" * 50, "aaaaaaa" * 30 + " \n\n\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(0, "the cat and the hat the"), (1, None)], "doc_id long, text string")
+    want = sorted(byte_bpe.bpe_digests(rows, bpe).collect())
+    assert sorted(byte_bpe.bpe_digests(rows, bpe.prepared(table, digests=True)).collect()) == want
+
+    known, asked = [pa.array(["a", "b"]), pa.array([b"aaaa", b"bbbb"]), pa.array([b"a", b"b"])], []
+    fold = lambda word: asked.append(word) or (b"1234" * 2, word.encode())
+    texts = [["a", "c", "b", "c"], [], ["d"], ["a"] * 20, ["c", "d", "a"]]
+    monkeypatch.setattr(byte_bpe, "RUN", 3)  # rows beyond it are joined alone
+    got = byte_bpe.join_words(pa.array([["a"], *texts])[1:], known, fold).to_pylist()
+    assert sorted(asked) == ["c", "d"]  # each once, whatever the places
+    packed = lambda words: b"".join({"a": b"aaaa", "b": b"bbbb"}.get(w, b"12341234") for w in words)
+    assert got == [{"n_tokens": len(packed(t)) // 4, "ids_sha256": hashlib.sha256(packed(t)).hexdigest(), "decoded_sha256": hashlib.sha256("".join(t).encode()).hexdigest()} for t in texts]
+
+
 def test_byte_bpe_constants_stay_out_of_plans(docs):
     bpe = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     plain = sorted(byte_bpe.bpe_digests(docs, bpe.prepared(docs, words=50)).collect(), key=str)
