@@ -140,3 +140,20 @@ def test_a_summary_keeps_ranks():
     assert len(v) == 512 and u.sum() == pytest.approx(w.sum())
     for q in (0.1, 0.5, 0.9):
         assert w[x <= G.weighted_quantile(v, u, q)].sum() / w.sum() == pytest.approx(q, abs=2 / 512)
+
+
+def test_rows_walk_to_the_leaves_of_uneven_trees():
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, G.BINS, (500, 5)).astype(np.uint8)
+    for splits in ([], [0], [0, 2], [0, 1, 4, 9], [0, 2, 5, 6, 12, 13]):
+        tree = G.Tree.root(4)
+        tree.split[splits] = True
+        tree.feature[:], tree.left[:] = rng.integers(0, 5, len(tree.split)), rng.random(tree.left.shape) < 0.5
+        want = []
+        for row in bins:
+            k = 0
+            while tree.split[k]:
+                k = 2 * k + (1 if tree.left[k, row[tree.feature[k]]] else 2)
+            want.append(k)
+        assert tree.nodes(bins).tolist() == want and tree.nodes(bins[:, ::-1][:, ::-1]).tolist() == want
+        assert tree.nodes(bins[:0]).tolist() == []
